@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from attestary.functions.text import strip
+
 
 def _lines(*parts: Column | str | None) -> Column:
     """Lines in order; a NULL line is left out, an empty one is kept."""
@@ -72,11 +74,11 @@ def _history() -> Column:
 
 def _visits() -> Column:
     def optional(title: str, c: Column) -> Column:
-        return F.when(_given(c), F.concat(F.lit(f"## {title}\n\n"), F.trim(c), F.lit("\n")))
+        return F.when(_given(c), F.concat(F.lit(f"## {title}\n\n"), strip(c), F.lit("\n")))
     return _lines(
         "# Notes de consultation", "", _who(", "), "Format SOAP, ordre antichronologique.", "",
         _bullets(F.col("consultations"), lambda c: F.concat(
-            F.lit("## Consultation du "), c["date"], F.lit("\n\n"), F.trim(c["note"]), F.lit("\n"))),
+            F.lit("## Consultation du "), c["date"], F.lit("\n\n"), strip(c["note"]), F.lit("\n"))),
         optional("Évolution", F.col("evolution")), optional("Pronostic", F.col("pronostic")))
 
 
@@ -84,7 +86,7 @@ def _accident() -> Column:
     a = "accident."
 
     def block(title: str, c: Column) -> Column:
-        return F.when(_given(c), F.concat(F.lit(f"## {title}\n\n"), F.trim(c), F.lit("\n")))
+        return F.when(_given(c), F.concat(F.lit(f"## {title}\n\n"), strip(c), F.lit("\n")))
     text = _lines(
         "# Déclaration d'accident", "", _who(", "), "",
         _item("Date de l'accident", F.col(a + "date")), _item("Heure", F.col(a + "heure")),
@@ -93,7 +95,7 @@ def _accident() -> Column:
               F.coalesce(F.col(a + "employeur"), F.col("patient.employeur"))),
         F.concat(F.lit("- Assureur-accidents : "), F.col("assureur"), F.lit(", police "),
                  F.col("police")), "",
-        "## Déroulement", "", F.trim(F.col(a + "description")), "",
+        "## Déroulement", "", strip(F.col(a + "description")), "",
         block("Témoin", F.col(a + "temoin")), block("Premiers soins", F.col(a + "premiers_soins")))
     return F.when(F.col("accident").isNotNull(), text)
 
@@ -120,7 +122,7 @@ def render_dossier(scenarios: DataFrame) -> DataFrame:
     own = F.transform("documents", lambda d: F.struct(
         d["nom"].alias("name"),
         F.concat(F.lit("# "), d["titre"], F.lit("\n\n"), _who(", "), F.lit("\n\n"),
-                 F.trim(d["corps"]), F.lit("\n")).alias("text")))
+                 strip(d["corps"]), F.lit("\n")).alias("text")))
     docs = F.concat(
         F.array(doc("fiche-administrative", _admin()), doc("anamnese-antecedents", _history()),
                 doc("consultations", _visits())),

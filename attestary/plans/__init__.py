@@ -1,0 +1,12 @@
+"""Plans: the operators composed into named queries."""
+
+import importlib
+
+MODULES = ["admit", "texts"]
+
+
+def load():
+    for name in MODULES:
+        importlib.import_module(f"attestary.plans.{name}")
+    registry = importlib.import_module("attestary.plans.registry")
+    return registry.QUERIES, registry.ORACLES
