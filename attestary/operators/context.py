@@ -91,7 +91,7 @@ SYNTHESIS_SCALARS = ["pronostic", "canton_traitement"]
 
 
 def merge_summaries(summaries: DataFrame) -> DataFrame:
-    """``(job_id, part, doc_no, at, entry)``: the union of all lists, every version of a scalar.
+    """``(job_id, part, doc_no, entry_no, entry)``: the union of all lists, every version of a scalar.
 
     ``summaries(job_id, doc_no, filename, summary)`` with JSON texts, NULL for failures. Every entry
     carries the document it comes from. The result stays a table of entries: a dossier's merged
@@ -106,7 +106,7 @@ def merge_summaries(summaries: DataFrame) -> DataFrame:
     return (ok.select("job_id", "doc_no", F.col("filename").alias("document_source"),
                       F.inline(F.concat(lists, scalars)))
             .select("job_id", "part", "doc_no", "document_source",
-                    F.posexplode("v").alias("at", "entry"))
+                    F.posexplode("v").alias("entry_no", "entry"))
             .where("entry IS NOT NULL"))
 
 

@@ -120,8 +120,9 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int = fixed.KNN_K) -> DataFr
              .select("job_id", "field_id", q_block.alias("q_block"), "embedding"))
     q_blocks = asked.select("job_id", "q_block").distinct()
     c_blocks = blocked.select("job_id", "c_block").distinct()
-    left = asked.join(c_blocks, "job_id")
-    right = blocked.join(q_blocks, "job_id")
+    left, right = asked.join(c_blocks, "job_id"), blocked.join(q_blocks, "job_id")
+    # fresh column identities: each side carries the other's block numbers
+    left, right = left.toDF(*left.columns), right.toDF(*right.columns)
     keys = ["job_id", "c_block", "q_block"]
     kinds = {f.name: f.dataType for f in asked.schema.fields}
     schema = T.StructType([

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["admit", "texts"]
+MODULES = ["admit", "texts", "provenance", "retrieve", "contexts"]
 
 
 def load():
