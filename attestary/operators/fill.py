@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from attestary import fixed
 from attestary.functions.paths import split_segment
 from attestary.functions.text import strip
+from attestary.session import stage
 from attestary.functions.values import (convert, norm_field_value, resolve_option,
                                         to_on_off, to_on_off_xfa, xfa_text)
 
@@ -86,14 +87,14 @@ def checkbox_paths(leaves: DataFrame) -> DataFrame:
     """Paths whose leaf reads On or Off, numbered in first-seen order."""
     seen = (leaves.where(strip(F.col("text")).isin("On", "Off")).groupBy("form_id", "path")
             .agg(F.min("ord").alias("ord")))
-    n = F.row_number().over(W.partitionBy("form_id").orderBy("ord")) - 1
+    n = F.row_number().over(W.partitionBy("form_id").orderBy("ord", "path")) - 1
     return seen.withColumn("no", n.cast("bigint"))
 
 
 def normalize_checkboxes(values: DataFrame, paths: DataFrame) -> DataFrame:
     boxes = paths.select("form_id", "path").distinct().withColumn("_box", F.lit(True))
     return (values.join(boxes, ["form_id", "path"], "left")
-            .withColumn("value", F.when("_box", to_on_off_xfa(F.col("value")))
+            .withColumn("value", F.when(F.col("_box"), to_on_off_xfa(F.col("value")))
                         .otherwise(F.col("value"))).drop("_box"))
 
 
@@ -136,11 +137,11 @@ def match_paths(elements: DataFrame, paths: DataFrame) -> DataFrame:
     done = at.where(F.size("_s") == 1)
     for level in range(2, depth + 1):
         seg = F.try_element_at("_s", F.lit(level))
-        at = (at.where(F.size("_s") >= level)
-              .select("form_id", "path", "_s", F.col("node").alias("parent"),
-                      seg["tag"].alias("tag"), seg["index"].alias("_child"))
-              .join(tree, ["form_id", "parent", "tag", "_child"])
-              .select("form_id", "path", "_s", "node", "ord"))
+        at = stage(at.where(F.size("_s") >= level)
+                   .select("form_id", "path", "_s", F.col("node").alias("parent"),
+                           seg["tag"].alias("tag"), seg["index"].alias("_child"))
+                   .join(tree, ["form_id", "parent", "tag", "_child"])
+                   .select("form_id", "path", "_s", "node", "ord"), "path-level")
         done = done.unionByName(at.where(F.size("_s") == level))
     return (done.groupBy("form_id", "path").agg(F.min(F.struct("ord", "node"))["node"].alias("node")))
 

@@ -13,6 +13,7 @@ from attestary import fixed
 from attestary.functions.paths import canonical_som, path_key, som_section, xml_path
 from attestary.functions.text import WS, strip
 from attestary.operators.fill import first_by
+from attestary.session import stage
 
 
 def sibling_index(nodes: DataFrame) -> DataFrame:
@@ -20,23 +21,26 @@ def sibling_index(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("sibling", (F.row_number().over(w) - 1).cast("bigint"))
 
 
-def node_paths(nodes: DataFrame, depth: int = 12) -> DataFrame:
-    """Adds ``som``, ``xml_path`` and ``ancestors`` (root first) to every node.
+def node_paths(nodes: DataFrame) -> DataFrame:
+    """Adds ``som`` and ``ancestors`` (root first) and ``xml_path`` to every node.
 
-    Children take their parent's path one level per join; the walk ends where no child is left or
-    at ``depth`` levels, which must cover the deepest form.
+    Children take their parent's path, one join per level of the form until no child is left;
+    each level is staged, so its plan does not repeat those above it.
     """
     rows = sibling_index(nodes)
     part = F.concat(F.col("name"), F.lit("["), F.col("sibling").cast("string"), F.lit("]"))
     rows = rows.withColumn("_part", part)
-    level = (rows.where("parent IS NULL").withColumn("som", F.col("_part"))
-             .withColumn("ancestors", F.array().cast("array<string>")))
+    level = stage(rows.where("parent IS NULL").withColumn("som", F.col("_part"))
+                  .withColumn("ancestors", F.array().cast("array<string>")), "form-level")
     done = level
-    for _ in range(depth - 1):
+    while True:
         above = level.select("form_id", F.col("node").alias("parent"), F.col("som").alias("_som"),
                              F.concat("ancestors", F.array("name")).alias("ancestors"))
-        level = (rows.join(above, ["form_id", "parent"])
-                 .withColumn("som", F.concat_ws(".", "_som", "_part")).drop("_som"))
+        level = stage(rows.join(above, ["form_id", "parent"])
+                      .withColumn("som", F.concat_ws(".", "_som", "_part"))
+                      .select(*done.columns), "form-level")
+        if level.isEmpty():
+            break
         done = done.unionByName(level)
     return done.drop("_part").withColumn("xml_path", xml_path(F.col("som")))
 
@@ -63,27 +67,33 @@ def describe(nodes: DataFrame, contexts: DataFrame, leaves: DataFrame,
     ``roles(struct, role)``. The nearest ancestor wins for context and role alike; a question with
     a role placeholder and no role is left blank.
     """
-    up = (nodes.select("form_id", "node", F.col("name").alias("leaf"),
-                       F.posexplode(F.reverse("ancestors")).alias("distance", "ancestor"))
-          .withColumn("struct", struct_name(F.col("ancestor"))))
-    c = contexts.select("struct", "leaf", F.struct("question", "vocab_type").alias("entry"))
-    near = (up.join(c, ["struct", "leaf"]).groupBy("form_id", "node")
-            .agg(F.min_by("entry", "distance").alias("ctx")))
-    r = roles.select(F.col("struct").alias("ancestor"), "role")
-    role = (up.join(r, "ancestor").groupBy("form_id", "node")
-            .agg(F.min_by("role", "distance").alias("role")))
-    plain = leaves.select(F.col("leaf").alias("name"),
-                          F.struct("question", "vocab_type").alias("plain"))
-    entry = F.coalesce("ctx", "plain")
-    text = entry["question"]
-    filled = F.replace(F.replace(text, F.lit("{role}"), F.coalesce("role", F.lit(""))),
+    def lookup(df: DataFrame, key: Column, value: Column) -> Column:
+        """A vocabulary as a map: it is a few hundred rows by nature, and the nodes stay put."""
+        return df.agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
+
+    entry_of = F.struct("question", "vocab_type")
+    ctx = lookup(contexts, F.concat_ws("/", "struct", "leaf"), entry_of)
+    role_of = lookup(roles, F.col("struct"), F.col("role"))
+    plain = lookup(leaves, F.col("leaf"), entry_of)
+
+    def nearest(values: Column) -> Column:
+        return F.try_element_at(F.filter(values, lambda x: x.isNotNull()), F.lit(1))
+    up = F.reverse("ancestors")
+    found = (nodes.withColumn("_c", ctx).withColumn("_r", role_of).withColumn("_p", plain)
+             .withColumn("_entry", F.coalesce(
+                 nearest(F.transform(up, lambda a: F.try_element_at(
+                     F.col("_c"), F.concat_ws("/", struct_name(a), F.col("name"))))),
+                 F.try_element_at("_p", F.col("name"))))
+             .withColumn("_role", nearest(F.transform(
+                 up, lambda a: F.try_element_at(F.col("_r"), a)))))
+    text = F.col("_entry.question")
+    filled = F.replace(F.replace(text, F.lit("{role}"), F.coalesce("_role", F.lit(""))),
                        F.lit("  "), F.lit(" "))
-    question = (F.when(entry.isNull(), "")
-                .when(text.contains("{role}") & F.col("role").isNull(), "").otherwise(filled))
-    return (nodes.join(near, ["form_id", "node"], "left").join(role, ["form_id", "node"], "left")
-            .join(plain, "name", "left")
-            .withColumn("question", question).withColumn("vocab_type", entry["vocab_type"])
-            .drop("ctx", "role", "plain"))
+    question = (F.when(F.col("_entry").isNull(), "")
+                .when(text.contains("{role}") & F.col("_role").isNull(), "").otherwise(filled))
+    return (found.withColumn("question", question)
+            .withColumn("vocab_type", F.col("_entry.vocab_type"))
+            .drop("_c", "_r", "_p", "_entry", "_role"))
 
 
 def group_options(nodes: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import importlib
 
-MODULES = ["admit", "texts", "provenance", "retrieve", "contexts"]
+MODULES = ["admit", "texts", "provenance", "retrieve", "contexts", "filling", "forms"]
 
 
 def load():
