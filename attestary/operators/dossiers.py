@@ -135,55 +135,55 @@ def render_dossier(scenarios: DataFrame) -> DataFrame:
                     F.col("d.text").alias("markdown")))
 
 
-def corpus_plan(spark, count: int, noise: int, styles: list[str]) -> DataFrame:
-    """``(doc_no, kind, style, filename)``: documents shared out over styles, then noise.
+def corpus_plan(requests: DataFrame, styles: list[str]) -> DataFrame:
+    """``(job_id, doc_no, kind, style, filename)``: documents shared out over styles, then noise.
 
-    Each style gets at least one document, the first ones one more each while a remainder lasts.
+    ``requests(job_id, count, noise)``. Each style gets at least one document, the first ones one more
+    each while a remainder lasts.
     """
-    each = max(1, count // len(styles))
-    rest = count - each * len(styles)
-    sizes = [each + (1 if i < rest else 0) for i in range(len(styles))]
-    ends = [sum(sizes[:i + 1]) for i in range(len(sizes))]
-    n = F.col("id") + 1
+    k = len(styles)
+    each = F.greatest(F.lit(1), F.floor(F.col("count") / k))
+    rest = F.greatest(F.lit(0), F.col("count") - each * k)
+    patients = each * k + rest
+    n = F.col("doc_no")
     style = F.lit(None).cast("string")
-    for end, name in zip(ends, styles):
-        style = F.coalesce(style, F.when(n <= end, name))
-    return (spark.range(ends[-1] + noise)
-            .select(n.alias("doc_no"), F.when(style.isNotNull(), "patient").otherwise("noise")
-                    .alias("kind"), style.alias("style"))
-            .withColumn("filename", F.when(F.col("style").isNotNull(), F.concat(
-                F.lit("patient_"), F.format_string("%03d", "doc_no"), F.lit("_"), F.col("style")))
-                .otherwise(F.concat(F.lit("noise_"), F.format_string("%03d", "doc_no")))))
+    for i, name in enumerate(styles, 1):
+        style = F.coalesce(style, F.when(n <= each * i + F.least(rest, F.lit(i)), name))
+    name = F.when(style.isNotNull(), F.concat(
+        F.lit("patient_"), F.format_string("%03d", n), F.lit("_"), style)) \
+        .otherwise(F.concat(F.lit("noise_"), F.format_string("%03d", n)))
+    return (requests.withColumn("doc_no", F.explode(F.sequence(
+                F.lit(1).cast("bigint"), patients + F.col("noise"))))
+            .select("job_id", "doc_no", style.alias("style"),
+                    F.when(style.isNotNull(), "patient").otherwise("noise").alias("kind"),
+                    name.alias("filename")))
 
 
 def make_corpus(plan: DataFrame, truth: DataFrame, templates: DataFrame, noise: DataFrame,
                 seed: int = 42) -> DataFrame:
     """Documents of a corpus plan.
 
-    ``truth(field_id, expected)`` fills the ``{field_id}`` marks of ``templates(style, template)``;
-    ``noise(no, text)`` numbered from 0 is drawn from with a seed.
+    ``truth(job_id, field_id, expected)`` fills the ``{field_id}`` marks of ``templates(style, template)``;
+    ``noise(no, text)``, numbered from 0, is drawn from with a seed.
     """
-    values = truth.agg(F.map_from_entries(F.collect_list(
-        F.struct("field_id", F.coalesce("expected", F.lit(""))))).alias("v")).scalar()
-    pieces = F.split("template", r"(?=\{[0-9.]+\})|(?<=\})", -1)
+    values = truth.groupBy("job_id").agg(F.map_from_entries(F.collect_list(
+        F.struct("field_id", F.coalesce("expected", F.lit(""))))).alias("_v"))
     mark = r"^\{([0-9.]+)\}$"
-    filled = F.array_join(F.transform(F.col("_p"), lambda x: F.when(
-        x.rlike(mark), F.coalesce(F.try_element_at(F.col("_v"), F.regexp_extract(x, mark, 1)),
-                                  F.lit(""))).otherwise(x)), "")
-    texts = (templates.withColumn("_p", pieces).withColumn("_v", values)
-             .select("style", filled.alias("_text")))
+    filled = F.array_join(F.transform(F.split("template", r"(?=\{[0-9.]+\})|(?<=\})", -1), lambda x: F.when(
+        x.rlike(mark), F.coalesce(F.try_element_at("_v", F.regexp_extract(x, mark, 1)), F.lit("")))
+        .otherwise(x)), "")
     n = noise.agg(F.count(F.lit(1))).scalar()
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_no")), n)
+    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("job_id"), F.col("doc_no")), n)
     other = noise.select(F.col("no").alias("_no"), F.col("text").alias("_noise"))
     return (plan.withColumn("_no", F.when(F.col("kind") == "noise", drawn))
-            .join(texts, "style", "left").join(other, "_no", "left")
-            .select("doc_no", "kind", "style", "filename",
-                    F.coalesce("_text", "_noise").alias("markdown")))
+            .join(templates, "style", "left").join(values, "job_id", "left")
+            .join(other, "_no", "left")
+            .select("job_id", "doc_no", "kind", "style", "filename",
+                    F.coalesce(F.when(F.col("kind") == "patient", filled), "_noise").alias("markdown")))
 
 
 def corpus_manifest(plan: DataFrame) -> DataFrame:
-    return plan.agg(
+    return plan.groupBy("job_id").agg(
         F.count(F.lit(1)).alias("total_docs"),
         F.count_if(F.col("kind") == "patient").alias("patient_docs"),
-        F.count_if(F.col("kind") == "noise").alias("noise_docs"),
-        F.array_sort(F.collect_set("style")).alias("styles"))
+        F.count_if(F.col("kind") == "noise").alias("noise_docs"))

@@ -2,7 +2,8 @@
 
 import importlib
 
-MODULES = ["admit", "texts", "provenance", "retrieve", "contexts", "filling", "forms"]
+MODULES = ["admit", "texts", "provenance", "retrieve", "contexts", "filling", "forms", "reporting",
+           "scoring", "live"]
 
 
 def load():

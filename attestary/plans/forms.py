@@ -90,9 +90,9 @@ def node_types(s: Source) -> DataFrame:
         "form_id", "node", D.node_type(F.col("ui"), F.col("tag"), F.col("options")).alias("type"))
 
 
-def widgets(s: Source) -> DataFrame:
+def widgets(rows: DataFrame) -> DataFrame:
     w = F.regexp_replace("som", r"^form\[0\]\.", "form[0].#area[0].")
-    return paths(s).where("node % 3 > 0").select("form_id", "ord", w.alias("widget"), F.when(
+    return rows.where("node % 3 > 0").select("form_id", "ord", w.alias("widget"), F.when(
         F.col("node") % 5 == 0, "<TT.MM.JJJJ>").when(F.col("node") % 5 == 1, " ").otherwise(F.col("name")).alias("value"))
 
 
@@ -105,14 +105,15 @@ w AS (SELECT form_id, som, replace(som, 'form[0].', 'form[0].#area[0].') AS widg
 WITH {WIDGETS} SELECT p.form_id, p.node, w.widget, CASE WHEN trim(value) <> '' AND value NOT LIKE '<%' THEN value END AS preset
 FROM p LEFT JOIN w ON p.form_id = w.form_id AND p.som = w.som""")
 def match_widgets(s: Source) -> DataFrame:
-    out = D.match_widgets(paths(s), widgets(s))
+    p = paths(s)
+    out = D.match_widgets(p, widgets(p))
     return out.select("form_id", "node", "widget", D.preset_value(F.col("widget_value")).alias("preset"))
 
 
-def prior(s: Source) -> DataFrame:
+def prior(rows: DataFrame) -> DataFrame:
     """Earlier templates: some fields known by widget name, some by path, some gone."""
     n = F.col("node")
-    return paths(s).where("node > 0 AND node % 2 = 0").select(
+    return rows.where("node > 0 AND node % 2 = 0").select(
         "form_id", "ord", F.concat(F.when(n % 7 == 0, "x").otherwise((n % 7).cast("string")), F.lit("."), n.cast("string")).alias("field_id"),
         F.when(n % 10 != 0, F.concat(F.lit("Q"), n.cast("string"))).alias("question"),
         F.when(n % 4 == 0, F.col("som")).otherwise(F.concat(F.lit("gone"), n.cast("string"))).alias("acroform_name"),
@@ -133,15 +134,16 @@ m AS (SELECT k0.form_id, k0.node, k0.ord, k0.som, k0.page, coalesce(i1.question,
 
 @query("merge_prior", f"WITH {MERGED} SELECT form_id, node, question, old FROM m")
 def merge_prior(s: Source) -> DataFrame:
-    return D.merge_prior(paths(s), prior(s)).select(
+    p = paths(s)
+    return D.merge_prior(p, prior(p)).select(
         "form_id", "node", F.col("kept.question").alias("question"), F.col("kept.field_id").alias("old"))
 
 
 @query("orphans", f"""
 WITH {MERGED} SELECT DISTINCT form_id, question FROM ix WHERE (form_id, question) NOT IN (SELECT (form_id, question) FROM m WHERE question IS NOT NULL)""")
 def orphans(s: Source) -> DataFrame:
-    p = prior(s)
-    return D.orphans(p, D.merge_prior(paths(s), p))
+    p = paths(s)
+    return D.orphans(prior(p), D.merge_prior(p, prior(p)))
 
 
 @query("number_sections", f"""
@@ -151,8 +153,8 @@ g AS (SELECT form_id, pg, row_number() OVER (PARTITION BY form_id ORDER BY min(o
 z AS (SELECT r.form_id, node, ord, coalesce(sec, coalesce(top, 0) + k) AS section_no FROM r LEFT JOIN h USING (form_id) LEFT JOIN g USING (form_id, pg))
 SELECT form_id, node, CAST(section_no AS BIGINT) AS section_no, section_no || '.' || row_number() OVER (PARTITION BY form_id, section_no ORDER BY ord) AS field_id FROM z""")
 def number_sections(s: Source) -> DataFrame:
-    p = prior(s)
-    return D.number_sections(D.merge_prior(paths(s), p), p).select("form_id", "node", "section_no", "field_id")
+    p = paths(s)
+    return D.number_sections(D.merge_prior(p, prior(p)), prior(p)).select("form_id", "node", "section_no", "field_id")
 
 
 BLOCKS = """
