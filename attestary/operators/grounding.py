@@ -129,6 +129,14 @@ def _normals_of(index: DataFrame, candidates: DataFrame) -> DataFrame:
             .select("job_id", "ord", norm(F.col("markdown")).alias("normal")))
 
 
+def _postings(index: DataFrame, sought: DataFrame | None) -> DataFrame:
+    """``(job_id, anchor, ord)`` of all anchors, or of a counted set of sought ones."""
+    found = (index.select("job_id", "ord", norm(F.col("markdown")).alias("normal"))
+             .select("job_id", "ord", F.explode(document_anchors(F.col("normal"))).alias("anchor")))
+    return found if sought is None else found.join(
+        F.broadcast(sought), ["job_id", "anchor"], "left_semi")
+
+
 def find(needles: DataFrame, index: DataFrame) -> DataFrame:
     """First document of its job that holds each needle.
 
@@ -139,40 +147,40 @@ def find(needles: DataFrame, index: DataFrame) -> DataFrame:
     asked = (needles.where(F.length("needle") > 0)
              .select("job_id", "needle", _whole(F.col("needle"), F.col("whole")).alias("whole"))
              .distinct())
-    terms = (asked.withColumn("_a", needle_anchors(F.col("needle"), F.col("whole")))
-             .select(*key, F.size("_a").alias("n"), F.explode("_a").alias("anchor")))
-    terms = stage(terms, "needle-anchors")
-
-    def postings(keys: DataFrame) -> DataFrame:
-        """``(job_id, anchor, ord)``; few anchors are sought already where a document is read."""
-        normal = index.select("job_id", "ord", norm(F.col("markdown")).alias("normal"))
-        found = normal.select("job_id", "ord", F.explode(document_anchors(F.col("normal")))
-                              .alias("anchor"))
-        keys = keys.select("job_id", "anchor").distinct()
-        if within_rows(keys, BROADCAST_KEYS):
-            return found.join(F.broadcast(keys), ["job_id", "anchor"], "left_semi")
-        return found
+    terms = stage(asked.withColumn("_a", needle_anchors(F.col("needle"), F.col("whole")))
+                  .select(*key, F.size("_a").alias("n"), F.explode("_a").alias("anchor")),
+                  "needle-anchors")
+    sought = terms.select("job_id", "anchor").distinct()
+    few = within_rows(sought, BROADCAST_KEYS)
+    postings = _postings(index, sought if few else None)
+    if few:
+        # filtered where the documents are read, they are thin enough to keep for both passes
+        postings = stage(postings, "postings")
 
     # aggregated before it meets the needles: map-side, a hot anchor is one row per task
-    firsts = postings(terms).groupBy("job_id", "anchor").agg(
+    firsts = postings.groupBy("job_id", "anchor").agg(
         F.min("ord").alias("first"), F.count(F.lit(1)).alias("df"))
-    bounds = (terms.join(firsts, ["job_id", "anchor"])
-              .groupBy(*key).agg(F.max("first").alias("ord"), F.count(F.lit(1)).alias("found"),
-                                 F.max("n").alias("n"),
-                                 F.min(F.struct("df", "anchor"))["anchor"].alias("anchor"))
-              .where("found = n").select(*key, "ord", "anchor"))
-    checked = stage(
-        bounds.join(_normals_of(index, bounds), ["job_id", "ord"])
-        .withColumn("ok", matches(F.col("normal"), F.col("needle"), F.col("whole")))
-        .drop("normal"), "needle-bounds")
+    bounds = stage(
+        terms.join(firsts, ["job_id", "anchor"])
+        .groupBy(*key).agg(F.max("first").alias("ord"), F.count(F.lit(1)).alias("found"),
+                           F.max("n").alias("n"),
+                           F.min(F.struct("df", "anchor"))["anchor"].alias("anchor"))
+        .where("found = n").select(*key, "ord", "anchor"), "needle-bounds")
+    ok = matches(F.col("normal"), F.col("needle"), F.col("whole"))
+    checked = stage(bounds.join(_normals_of(index, bounds), ["job_id", "ord"])
+                    .select(*key, "ord", "anchor", ok.alias("ok")), "needle-checks")
     found = checked.where("ok").select(*key, "ord")
 
     # needles whose bound failed: later documents that hold their rarest anchor
-    open_ = checked.where("NOT ok").withColumnRenamed("ord", "bound").drop("ok")
-    later = (postings(open_).join(open_, ["job_id", "anchor"]).where(F.col("ord") > F.col("bound"))
-             .select(*key, "ord"))
-    rest = (later.join(_normals_of(index, later), ["job_id", "ord"])
-            .where(matches(F.col("normal"), F.col("needle"), F.col("whole")))
+    open_ = checked.where("NOT ok").select(*key, "anchor", F.col("ord").alias("bound"))
+    if open_.isEmpty():
+        return found
+    rare = open_.select("job_id", "anchor").distinct()
+    if not few:
+        postings = _postings(index, rare if within_rows(rare, BROADCAST_KEYS) else None)
+    later = stage(postings.join(open_, ["job_id", "anchor"]).where(F.col("ord") > F.col("bound"))
+                  .select(*key, "ord"), "needle-candidates")
+    rest = (later.join(_normals_of(index, later), ["job_id", "ord"]).where(ok)
             .groupBy(*key).agg(F.min("ord").alias("ord")))
     return found.unionByName(rest)
 

@@ -193,16 +193,25 @@ def knn_lsh(questions: DataFrame, chunks: DataFrame, dim: int, k: int = fixed.KN
 
 # --- reranking ------------------------------------------------------------------------------
 
+def distinct_words(text: Column) -> Column:
+    return F.array_distinct(F.split(norm(text), " ", -1))
+
+
 def lexical_overlap(question: Column, text: Column) -> Column:
-    """Share of the question's distinct words that the text holds; both in normal form."""
-    q, t = F.array_distinct(F.split(question, " ", -1)), F.split(text, " ", -1)
-    return F.when(F.length(question) > 0, F.size(F.array_intersect(q, t)) / F.size(q)) \
-        .otherwise(0.0)
+    """Share of the question's distinct words that the text holds; both as word arrays.
+
+    Words are cut once per question and once per chunk, before the two meet.
+    """
+    return F.size(F.array_intersect(question, text)) / F.size(question)
 
 
 def rerank(candidates: DataFrame, score: Column, k: int = fixed.RERANK_K) -> DataFrame:
-    """Best ``k`` candidates by a pair score, ties in the order they were retrieved."""
-    scored = candidates.withColumn("rerank_score", score).withColumnRenamed("rank", "_was")
+    """Best ``k`` candidates by a pair score, ties in the order they were retrieved.
+
+    What the score is computed from is left behind: only ids and ranks are sorted.
+    """
+    scored = candidates.select("job_id", "field_id", "chunk_no", F.col("rank").alias("_was"),
+                               score.alias("rerank_score"))
     return rank_top(scored, [F.desc("rerank_score"), F.asc("_was")], k).drop("_was")
 
 
@@ -219,24 +228,31 @@ def _joined(rows: Column, separator: str = fixed.CHUNK_SEPARATOR) -> Column:
                         separator)
 
 
-def retrieve_context(ranked: DataFrame) -> DataFrame:
-    """Context of an ad-hoc question: its reranked texts, joined."""
-    return ranked.groupBy("job_id", "field_id").agg(
-        _joined(F.struct(F.col("rank").alias("o"), "text")).alias("context"))
+def retrieve_context(ranked: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Context of an ad-hoc question: the texts of its reranked chunks, joined."""
+    return (ranked.join(chunks.select("job_id", "chunk_no", "text"), ["job_id", "chunk_no"])
+            .groupBy("job_id", "field_id")
+            .agg(_joined(F.struct(F.col("rank").alias("o"), "text")).alias("context")))
 
 
-def batch_context(ranked: DataFrame, batches: DataFrame, k: int = fixed.CONTEXT_K) -> DataFrame:
+def batch_context(ranked: DataFrame, batches: DataFrame, chunks: DataFrame,
+                  k: int = fixed.CONTEXT_K) -> DataFrame:
     """Merged context per batch: fields in batch order, chunks in rank order, first occurrence of
     a text kept, first ``k``.
 
-    ``batches(job_id, field_id, batch_no, field_ord)``. A batch has a handful of fields and each of
-    them a handful of chunks, so its group is small whatever the size of the job.
+    ``batches(job_id, field_id, batch_no, field_ord)``. Texts are told apart by their SHA-256 and join
+    only the kept chunks. A batch has a handful of fields and each of them a handful of chunks,
+    so its group is small whatever the size of the job.
     """
-    walked = ranked.join(batches, ["job_id", "field_id"])
-    at = F.struct("field_ord", "rank")
-    first = (walked.groupBy("job_id", "batch_no", "text").agg(F.min(at).alias("at")))
+    digests = chunks.select("job_id", "chunk_no", F.sha2("text", 256).alias("digest"))
+    at = F.struct("field_ord", "rank", "chunk_no")
+    first = (ranked.join(batches, ["job_id", "field_id"])
+             .join(digests, ["job_id", "chunk_no"])
+             .groupBy("job_id", "batch_no", "digest").agg(F.min(at).alias("at")))
     kept = F.row_number().over(W.partitionBy("job_id", "batch_no").orderBy("at"))
     return (first.withColumn("_n", kept).where(F.col("_n") <= k)
+            .select("job_id", "batch_no", "at", F.col("at.chunk_no").alias("chunk_no"))
+            .join(chunks.select("job_id", "chunk_no", "text"), ["job_id", "chunk_no"])
             .groupBy("job_id", "batch_no")
             .agg(_joined(F.struct("at", "text")).alias("context"),
                  F.count(F.lit(1)).alias("n_chunks")))

@@ -2,7 +2,6 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from attestary.functions.text import norm
 from attestary.operators import context as B, retrieval as R
 from attestary.plans.registry import Source, plain, query
 from attestary.plans.texts import NORM
@@ -70,21 +69,20 @@ SELECT job_id, field_id, ord, question FROM (SELECT DISTINCT source AS job_id, '
 JOIN ({FIELDS}) f USING (form_id)"""
 
 
-def candidates(s: Source, k: int) -> DataFrame:
-    chunks = R.embed(s.table("documents").select(
-        F.col("source").alias("job_id"), F.col("doc_id").alias("chunk_no"), "text"), "text")
-    fields = R.embed(s.shape(FIELDS), "question")
-    asked = s.shape(ASKED).select("job_id", "field_id").join(
-        fields.select("field_id", "question", "embedding"), "field_id")
-    near = R.knn(asked, chunks, k)
-    return near.join(chunks.select("job_id", "chunk_no", "text"), ["job_id", "chunk_no"]) \
-        .join(fields.select("field_id", "question"), "field_id")
+def chunk_table(s: Source) -> DataFrame:
+    return s.table("documents").select(F.col("source").alias("job_id"),
+                                       F.col("doc_id").alias("chunk_no"), "text")
 
 
 def ranked(s: Source, k: int, keep: int) -> DataFrame:
-    score = R.lexical_overlap(F.col("qn"), F.col("tn"))
-    found = candidates(s, k).withColumn("qn", norm(F.col("question"))).withColumn("tn", norm(F.col("text")))
-    return R.rerank(found, score, keep)
+    chunks = chunk_table(s)
+    fields = R.embed(s.shape(FIELDS), "question").withColumn("_q", R.distinct_words(F.col("question")))
+    asked = s.shape(ASKED).select("job_id", "field_id").join(
+        fields.select("field_id", "embedding"), "field_id")
+    near = R.knn(asked, R.embed(chunks, "text"), k)
+    texts = chunks.select("job_id", "chunk_no", R.distinct_words(F.col("text")).alias("_t"))
+    pairs = near.join(texts, ["job_id", "chunk_no"]).join(fields.select("field_id", "_q"), "field_id")
+    return R.rerank(pairs, R.lexical_overlap(F.col("_q"), F.col("_t")), keep)
 
 
 def ranked_sql(k: int, keep: int) -> str:
@@ -120,7 +118,7 @@ def best_score(s: Source) -> DataFrame:
 WITH {ranked_sql(15, 6)} SELECT job_id, field_id, md5(string_agg(text, chr(10) || '---' || chr(10) ORDER BY rank)) AS context
 FROM top GROUP BY ALL""")
 def retrieve_context(s: Source) -> DataFrame:
-    out = R.retrieve_context(ranked(s, 15, 6))
+    out = R.retrieve_context(ranked(s, 15, 6), chunk_table(s))
     return out.select("job_id", "field_id", F.md5("context").alias("context"))
 
 
@@ -137,7 +135,7 @@ def batch_context(s: Source) -> DataFrame:
     batches = B.batch_fields(s.shape(FIELDS)).select("form_id", "field_id", "batch_no", "field_ord")
     jobs = s.table("documents").select(F.col("source").alias("job_id"),
                                        F.lit("benchmark").alias("form_id")).distinct()
-    out = R.batch_context(ranked(s, 30, 12), jobs.join(batches, "form_id").drop("form_id"))
+    out = R.batch_context(ranked(s, 30, 12), jobs.join(batches, "form_id").drop("form_id"), chunk_table(s))
     return out.select("job_id", "batch_no", F.md5("context").alias("context"), "n_chunks")
 
 
