@@ -27,8 +27,10 @@ def word_windows(section: Column, size: int = fixed.CHUNK_WORDS,
         return F.when(F.size(w) > size, F.transform(
             starts, lambda i: F.array_join(F.slice(w, i + 1, F.lit(size)), " "))) \
             .otherwise(F.array(section))
-    # the one-element array binds the split words, so they are split once per section
-    return F.element_at(F.transform(F.array(words(section)), cut), 1)
+    # the one-element array binds the split words, so they are split once per section; a section
+    # too short to hold more than ``size`` words is not split at all
+    return F.when(F.length(section) < 2 * size, F.array(section)) \
+        .otherwise(F.element_at(F.transform(F.array(words(section)), cut), 1))
 
 
 def chunk_texts(text: Column) -> Column:

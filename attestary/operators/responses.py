@@ -56,13 +56,17 @@ def explode_responses(batches: DataFrame, responses: DataFrame) -> DataFrame:
 
     ``batches(job_id, batch_no, field_id)``, ``responses(job_id, batch_no, raw)``.
     """
-    answers = F.from_json("raw", "map<string,string>")
     entry = F.try_element_at(F.col("_a"), F.col("field_id"))
     is_object = entry.startswith("{")
     payload = F.from_json(F.when(is_object, entry), "value string, source_quote string")
-    error = (F.when(F.try_parse_json("raw").isNull() | F.col("_a").isNull(), "extraction_failed")
+    error = (F.when(~F.coalesce("_ok", F.lit(False)), "extraction_failed")
              .when(~F.coalesce(is_object, F.lit(False)), "field_missing_in_response"))
-    return (batches.join(responses.withColumn("_a", answers), ["job_id", "batch_no"], "left")
+    # each answer is parsed once, before it meets the fields asked of it
+    parsed = responses.select("job_id", "batch_no", F.try_parse_json("raw").isNotNull().alias("_v"),
+                              F.from_json("raw", "map<string,string>").alias("_a"))
+    parsed = parsed.select("job_id", "batch_no", "_a",
+                           (F.col("_v") & F.col("_a").isNotNull()).alias("_ok"))
+    return (batches.join(parsed, ["job_id", "batch_no"], "left")
             .withColumn("_p", payload).withColumn("error", error)
             .select("job_id", "batch_no", "field_id", F.col("_p.value").alias("value"),
                     F.col("_p.source_quote").alias("source_quote"), "error"))

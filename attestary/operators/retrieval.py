@@ -92,17 +92,6 @@ def question_embeddings(fields: DataFrame, cache: DataFrame, encoder=None,
 
 # --- nearest chunks -------------------------------------------------------------------------
 
-def _top(scores: np.ndarray, numbers: np.ndarray, k: int) -> np.ndarray:
-    """Positions of the k best, by score, then by lower chunk number."""
-    if len(scores) > 4 * k:
-        # everything at or above the k-th score, so ties at the edge are still ordered here
-        edge = np.partition(scores, -k)[-k]
-        keep = np.flatnonzero(scores >= edge)
-    else:
-        keep = np.arange(len(scores))
-    return keep[np.lexsort((numbers[keep], -scores[keep]))[:k]]
-
-
 def knn(questions: DataFrame, chunks: DataFrame, k: int = fixed.KNN_K) -> DataFrame:
     """Exact top ``k`` chunks per field of the same job, by cosine of unit vectors.
 
@@ -130,18 +119,19 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int = fixed.KNN_K) -> DataFr
         T.StructField("chunk_no", T.LongType()), T.StructField("score", T.DoubleType())])
 
     def score(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"job_id": [], "field_id": [], "chunk_no": [], "score": []})
         if not len(q) or not len(c):
-            return empty
+            return pd.DataFrame({"job_id": [], "field_id": [], "chunk_no": [], "score": []})
+        c = c.sort_values("chunk_no")
         m = np.stack(q["embedding"].to_numpy()).astype(np.float64)
         n = np.stack(c["embedding"].to_numpy()).astype(np.float64)
-        s, numbers = np.round(m @ n.T, SCORE_DIGITS) + 0.0, c["chunk_no"].to_numpy(np.int64)
-        parts = []
-        for i, field in enumerate(q["field_id"].tolist()):
-            best = _top(s[i], numbers, k)
-            parts.append(pd.DataFrame({"job_id": q["job_id"].iloc[0], "field_id": field,
-                                       "chunk_no": numbers[best], "score": s[i][best]}))
-        return pd.concat(parts)
+        s = np.round(m @ n.T, SCORE_DIGITS)
+        # chunks are in number order, so a stable sort leaves the lower number first in a tie
+        best = np.argsort(-s, axis=1, kind="stable")[:, :k]
+        return pd.DataFrame({
+            "job_id": q["job_id"].iloc[0],
+            "field_id": np.repeat(q["field_id"].to_numpy(), best.shape[1]),
+            "chunk_no": c["chunk_no"].to_numpy(np.int64)[best.ravel()],
+            "score": np.take_along_axis(s, best, axis=1).ravel()})
     scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
     return rank_top(scored, [F.desc("score"), F.asc("chunk_no")], k)
 

@@ -43,8 +43,8 @@ def read_canton_tables(spark: SparkSession, path: str) -> DataFrame:
 def read_dossiers(spark: SparkSession, path: str) -> DataFrame:
     """``<job>/NN_name.md`` files, one text per row, ordered by NN."""
     name = r"([0-9]+)_[^/]*\.md$"
-    return (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-            .option("pathGlobFilter", "*.md").text(path)
+    return (spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.md")
+            .text(path, wholetext=True)
             .select(F.regexp_extract("_metadata.file_path", r"([^/]+)/[^/]+$", 1).alias("job_id"),
                     F.regexp_extract(_FILE, name, 1).try_cast("bigint").alias("doc_no"),
                     F.col(_FILE).alias("filename"), F.col("value").alias("markdown"))
