@@ -69,13 +69,12 @@ def chat_history(messages: DataFrame) -> DataFrame:
 
     The turn limit counts the history as sent, before the filter.
     """
-    w = W.partitionBy("conv_id")
-    last = F.row_number().over(w.orderBy(F.desc("turn"))) == 1
-    within = ((F.count(F.lit(1)).over(w) - 1 <= fixed.MAX_CHAT_TURNS)
-              & (F.max(F.when(F.col("_last"), F.length("text"))).over(w) <= fixed.MAX_CHAT_CHARS))
-    return (messages.withColumn("_last", last).withColumn("within_limits", within)
-            .where(F.col("role").isin("user", "assistant") & (F.length("text") > 0))
-            .drop("_last"))
+    size = messages.groupBy("conv_id").agg(
+        (F.count(F.lit(1)) - 1).alias("_turns"), F.max_by(F.length("text"), "turn").alias("_chars"))
+    within = (F.col("_turns") <= fixed.MAX_CHAT_TURNS) & (F.col("_chars") <= fixed.MAX_CHAT_CHARS)
+    return (messages.where(F.col("role").isin("user", "assistant") & (F.length("text") > 0))
+            .join(size, "conv_id").withColumn("within_limits", within)
+            .drop("_turns", "_chars"))
 
 
 def nonblank_docs(docs: DataFrame, col: str = "markdown") -> DataFrame:

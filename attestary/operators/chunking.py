@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from attestary import fixed
 from attestary.functions.text import strip, words
+from attestary.operators.numbering import running_offsets
 
 
 def with_source_header(docs: DataFrame) -> DataFrame:
@@ -43,27 +44,6 @@ def chunk_documents(docs: DataFrame, col: str = "markdown") -> DataFrame:
             .select("job_id", "doc_no", F.posexplode("_c").alias("part", "text")))
 
 
-def running_offsets(counts: DataFrame, group: str, unit: str, n: str,
-                    block: int = 1024) -> DataFrame:
-    """Rows of the same group that come before each unit, in unit order.
-
-    ``counts`` has one row per (group, unit). Sums are taken per block of unit numbers first,
-    so a group holding a third of all units is never one sorted partition: only its block sums
-    are, and those are a thousand times fewer.
-    """
-    blocked = counts.withColumn("_b", F.floor(F.col(unit) / block))
-    before_block = (W.partitionBy(group).orderBy("_b")
-                    .rowsBetween(W.unboundedPreceding, -1))
-    sums = (blocked.groupBy(group, "_b").agg(F.sum(n).alias("_s"))
-            .withColumn("_base", F.coalesce(F.sum("_s").over(before_block), F.lit(0)))
-            .drop("_s"))
-    in_block = (W.partitionBy(group, "_b").orderBy(unit)
-                .rowsBetween(W.unboundedPreceding, -1))
-    return (blocked.withColumn("_in", F.coalesce(F.sum(n).over(in_block), F.lit(0)))
-            .join(sums, [group, "_b"])
-            .select(group, unit, (F.col("_base") + F.col("_in")).alias("offset")))
-
-
 def number_chunks(chunks: DataFrame) -> DataFrame:
     """Adds ``chunk_no``: 0, 1, 2 … per job, in document and part order."""
     counts = chunks.groupBy("job_id", "doc_no").agg(F.count(F.lit(1)).alias("n"))

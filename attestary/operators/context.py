@@ -8,6 +8,7 @@ from attestary import fixed
 from attestary.functions.paths import section_of
 from attestary.functions.text import estimate_tokens
 from attestary.operators.admission import nonblank_docs
+from attestary.operators.numbering import number_rows, running_offsets
 
 
 def batch_fields(fields: DataFrame, size: int = fixed.BATCH_FIELDS) -> DataFrame:
@@ -15,14 +16,16 @@ def batch_fields(fields: DataFrame, size: int = fixed.BATCH_FIELDS) -> DataFrame
 
     Sections come in the order of their first field, ``size`` fields to a batch.
     """
-    rows = fields.withColumn("section", section_of(F.col("field_id")))
-    in_section = W.partitionBy("form_id", "section")
-    rows = (rows.withColumn("_first", F.min("ord").over(in_section))
-            .withColumn("_n", F.row_number().over(in_section.orderBy("ord")) - 1)
-            .withColumn("_cut", F.floor(F.col("_n") / size)))
-    by_batch = W.partitionBy("form_id").orderBy("_first", "_cut")
-    return (rows.withColumn("batch_no", (F.dense_rank().over(by_batch) - 1).cast("bigint"))
-            .withColumnRenamed("ord", "field_ord").drop("_first", "_n", "_cut"))
+    rows = number_rows(fields.withColumn("section", section_of(F.col("field_id"))),
+                       ["form_id", "section"], "ord", "_n")
+    rows = rows.withColumn("_cut", F.floor(F.col("_n") / size))
+    # batches are numbered as a table of their own, ``size`` times fewer rows than fields
+    firsts = rows.groupBy("form_id", "section").agg(F.min("ord").alias("_first"))
+    batches = rows.select("form_id", "section", "_cut").distinct().join(firsts, ["form_id", "section"])
+    place = F.row_number().over(W.partitionBy("form_id").orderBy("_first", "_cut")) - 1
+    batches = batches.select("form_id", "section", "_cut", place.cast("bigint").alias("batch_no"))
+    return (rows.join(batches, ["form_id", "section", "_cut"])
+            .withColumnRenamed("ord", "field_ord").drop("_n", "_cut"))
 
 
 # --- synthesis ------------------------------------------------------------------------------
@@ -181,20 +184,23 @@ def chat_messages(requests: DataFrame, history: DataFrame, system: str = CHAT_SY
     """
     given = F.concat_ws("\n\n---\n\n", *[F.when(F.length(c) > 0, F.concat(F.lit(h), F.col(c)))
                                          for c, h in CHAT_HEADS])
-    r = requests.withColumn("_g", given)
-
-    def message(df: DataFrame, seq: Column, role: Column, content: Column) -> DataFrame:
-        return df.select("conv_id", seq.cast("bigint").alias("seq"), role.alias("role"),
-                         content.alias("content"))
-    fixed_rows = F.array(
-        F.struct(F.lit(-3).alias("s"), F.lit("system").alias("r"), F.lit(system).alias("c")),
-        F.struct(F.lit(-2).alias("s"), F.lit("user").alias("r"),
-                 F.when(F.length("_g") > 0, F.concat(F.lit(CHAT_OPEN), F.col("_g"))).alias("c")),
-        F.struct(F.lit(-1).alias("s"), F.lit("assistant").alias("r"),
-                 F.when(F.length("_g") > 0, F.lit(CHAT_READY)).alias("c")),
-        F.struct(F.lit(2**53).alias("s"), F.lit("user").alias("r"), F.col("question").alias("c")))
-    around = r.select("conv_id", F.inline(fixed_rows)).where("c IS NOT NULL")
-    rows = message(around, F.col("s"), F.col("r"), F.col("c")).unionByName(
-        message(history, F.col("turn"), F.col("role"), F.col("text")))
-    dense = F.row_number().over(W.partitionBy("conv_id").orderBy("seq")) - 1
-    return rows.withColumn("seq", dense.cast("bigint"))
+    turns = history.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
+    total = history.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_turns"))
+    lead = F.when(F.length("_g") > 0, 3).otherwise(1)
+    r = (requests.withColumn("_g", given).withColumn("_lead", lead).join(total, "conv_id", "left")
+         .withColumn("_last", F.col("_lead") + F.coalesce("_turns", F.lit(0))))
+
+    def row(seq: Column, role: str, content: Column) -> Column:
+        return F.struct(seq.cast("bigint").alias("seq"), F.lit(role).alias("role"),
+                        content.alias("content"))
+    some = F.length("_g") > 0
+    around = r.select("conv_id", F.inline(F.array(
+        row(F.lit(0), "system", F.lit(system)),
+        row(F.lit(1), "user", F.when(some, F.concat(F.lit(CHAT_OPEN), F.col("_g")))),
+        row(F.lit(2), "assistant", F.when(some, F.lit(CHAT_READY))),
+        row(F.col("_last"), "user", F.col("question"))))).where("content IS NOT NULL")
+    said = (history.join(running_offsets(turns, "conv_id", "turn", "n"), ["conv_id", "turn"])
+            .join(r.select("conv_id", "_lead"), "conv_id")
+            .select("conv_id", (F.col("_lead") + F.col("offset")).cast("bigint").alias("seq"),
+                    "role", F.col("text").alias("content")))
+    return around.unionByName(said)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from attestary import fixed
 from attestary.functions.paths import split_segment
 from attestary.functions.text import strip
+from attestary.operators.numbering import number_rows
 from attestary.session import stage
 from attestary.functions.values import (convert, norm_field_value, resolve_option,
                                         to_on_off, to_on_off_xfa, xfa_text)
@@ -87,8 +88,7 @@ def checkbox_paths(leaves: DataFrame) -> DataFrame:
     """Paths whose leaf reads On or Off, numbered in first-seen order."""
     seen = (leaves.where(strip(F.col("text")).isin("On", "Off")).groupBy("form_id", "path")
             .agg(F.min("ord").alias("ord")))
-    n = F.row_number().over(W.partitionBy("form_id").orderBy("ord", "path")) - 1
-    return seen.withColumn("no", n.cast("bigint"))
+    return number_rows(seen, ["form_id"], "ord", "no", ties="path")
 
 
 def normalize_checkboxes(values: DataFrame, paths: DataFrame) -> DataFrame:
@@ -124,11 +124,9 @@ def match_paths(elements: DataFrame, paths: DataFrame) -> DataFrame:
                         lambda p: split_segment(p))
     todo = paths.select("form_id", "path").distinct().withColumn("_s", parts)
     depth = todo.agg(F.max(F.size("_s")).alias("d")).first()["d"] or 0
-    among = W.partitionBy("form_id", "tag").orderBy("ord")
-    below = W.partitionBy("form_id", "parent", "tag").orderBy("ord")
-    tree = (elements.withColumn("_doc", F.row_number().over(among) - 1)
-            .withColumn("_child", F.row_number().over(below) - 1)
-            .select("form_id", "node", "parent", "tag", "ord", "_doc", "_child"))
+    tree = number_rows(number_rows(elements, ["form_id", "tag"], "ord", "_doc"),
+                       ["form_id", "parent", "tag"], "ord", "_child")
+    tree = (tree.select("form_id", "node", "parent", "tag", "ord", "_doc", "_child"))
     step = todo.withColumn("tag", F.try_element_at("_s", F.lit(1))["tag"]) \
         .withColumn("_i", F.try_element_at("_s", F.lit(1))["index"])
     at = (step.join(tree, ["form_id", "tag"])

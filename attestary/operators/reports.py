@@ -14,8 +14,9 @@ def _summary(runs: DataFrame, recent: DataFrame, keys: list[str]) -> DataFrame:
         F.count("seconds").alias("runs"), F.sum("seconds").alias("_sum"),
         F.sum(F.coalesce("documents", F.lit(0))).alias("_docs"),
         F.max_by("seconds", F.when(seconds.isNotNull(), F.col("log_no"))).alias("last_seconds"))
-    late = recent.groupBy(*keys).agg(F.avg("seconds").alias("_recent"))
-    both = total.join(late, keys, "left") if keys else total.join(late, F.lit(True), "left")
+    mean = F.avg("seconds").alias("_recent")
+    both = total.join(recent.groupBy(*keys).agg(mean), keys, "left") if keys \
+        else total.withColumn("_recent", recent.agg(mean).scalar())
     some = F.col("runs") > 0
     return both.select(
         *(keys or [F.lit(None).cast("string").alias("form_id")]), "runs",

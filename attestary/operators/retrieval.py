@@ -15,6 +15,7 @@ from attestary.functions.text import norm
 CHUNK_BLOCK = 512
 QUESTION_BLOCK = 256
 SCORE_DIGITS = 9
+SALTS = 64
 
 
 # --- vectors --------------------------------------------------------------------------------
@@ -108,8 +109,12 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int = fixed.KNN_K) -> DataFr
     asked = (questions.join(n_questions, "job_id")
              .select("job_id", "field_id", q_block.alias("q_block"), "embedding"))
     q_blocks = asked.select("job_id", "q_block").distinct()
-    c_blocks = blocked.select("job_id", "c_block").distinct()
-    left, right = asked.join(c_blocks, "job_id"), blocked.join(q_blocks, "job_id")
+    salt = F.pmod("c_block", F.lit(SALTS))
+    c_blocks = blocked.select("job_id", "c_block", salt.alias("_salt")).distinct()
+    # a job has as many salts as it has blocks, up to SALTS: its questions meet them in parts
+    salts = c_blocks.select("job_id", "_salt").distinct()
+    left = asked.join(salts, "job_id").join(c_blocks, ["job_id", "_salt"]).drop("_salt")
+    right = blocked.join(q_blocks, "job_id")
     # fresh column identities: each side carries the other's block numbers
     left, right = left.toDF(*left.columns), right.toDF(*right.columns)
     keys = ["job_id", "c_block", "q_block"]
@@ -132,6 +137,8 @@ def knn(questions: DataFrame, chunks: DataFrame, k: int = fixed.KNN_K) -> DataFr
             "field_id": np.repeat(q["field_id"].to_numpy(), best.shape[1]),
             "chunk_no": c["chunk_no"].to_numpy(np.int64)[best.ravel()],
             "score": np.take_along_axis(s, best, axis=1).ravel()})
+    # by all keys, so the blocks of one job do not stay in the partition of that job
+    left, right = left.repartition(*keys), right.repartition(*keys)
     scored = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, schema)
     return rank_top(scored, [F.desc("score"), F.asc("chunk_no")], k)
 

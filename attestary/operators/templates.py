@@ -13,12 +13,12 @@ from attestary import fixed
 from attestary.functions.paths import canonical_som, path_key, som_section, xml_path
 from attestary.functions.text import WS, strip
 from attestary.operators.fill import first_by
+from attestary.operators.numbering import number_rows
 from attestary.session import stage
 
 
 def sibling_index(nodes: DataFrame) -> DataFrame:
-    w = W.partitionBy("form_id", "parent", "name").orderBy("ord")
-    return nodes.withColumn("sibling", (F.row_number().over(w) - 1).cast("bigint"))
+    return number_rows(nodes, ["form_id", "parent", "name"], "ord", "sibling")
 
 
 def node_paths(nodes: DataFrame) -> DataFrame:
@@ -174,12 +174,12 @@ def number_sections(nodes: DataFrame, prior: DataFrame) -> DataFrame:
                  .withColumn("_n", F.row_number().over(W.partitionBy("form_id").orderBy("_first")))
                  .drop("_first"))
     section = F.coalesce(F.col("_old"), F.coalesce("_max", F.lit(0)) + F.col("_n"))
-    counter = F.row_number().over(W.partitionBy("form_id", "section_no").orderBy("ord"))
-    return (rows.join(highest, "form_id", "left").join(new_pages, ["form_id", "page"], "left")
-            .withColumn("section_no", section.cast("bigint"))
-            .withColumn("field_id", F.concat_ws(".", F.col("section_no").cast("string"),
-                                                counter.cast("string")))
-            .drop("_old", "_max", "_n"))
+    placed = (rows.join(highest, "form_id", "left").join(new_pages, ["form_id", "page"], "left")
+            .withColumn("section_no", section.cast("bigint")).drop("_old", "_max", "_n"))
+    counted = number_rows(placed, ["form_id", "section_no"], "ord", "_counter")
+    return (counted.withColumn("field_id", F.concat_ws(".", F.col("section_no").cast("string"),
+                                                       (F.col("_counter") + 1).cast("string")))
+            .drop("_counter"))
 
 
 def preset_value(widget_value: Column) -> Column:

@@ -1,6 +1,6 @@
 """Evaluation plans, and test dossiers rendered from customers and nations."""
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from attestary.operators import dossiers as D, evaluation as E
 from attestary.plans.registry import Source, plain, query
@@ -168,7 +168,7 @@ def corpus_texts(s: Source) -> DataFrame:
         F.inline(F.array(F.struct(F.lit("2.1").alias("field_id"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("expected")),
                          F.struct(F.lit("2.2").alias("field_id"), F.col("n_name").alias("expected")))))
     templates = s.spark.createDataFrame(TEMPLATES, "style string, template string")
-    noise = s.table("benchmark").select((F.row_number().over(W.orderBy("item_id")) - 1).alias("no"), "text")
+    noise = s.table("benchmark").select(F.col("item_id").alias("no"), "text")
     return D.make_corpus(corpus(s), truth, templates, noise)
 
 
