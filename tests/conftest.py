@@ -6,9 +6,17 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from pyspark import cloudpickle
+
 from attestary.session import get_spark
 
 
+def pytest_collection_modifyitems(items):
+    """Callables written in a test module reach the workers by value."""
+    for module in {item.module for item in items}:
+        cloudpickle.register_pickle_by_value(module)
+
+
 @pytest.fixture(scope="session")
 def spark():
     session = get_spark("attestary-tests", "local[8]", **{
