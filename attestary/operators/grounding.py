@@ -144,11 +144,14 @@ def find(needles: DataFrame, index: DataFrame) -> DataFrame:
     distinct needle that is found.
     """
     key = ["job_id", "needle", "whole"]
-    asked = (needles.where(F.length("needle") > 0)
-             .select("job_id", "needle", _whole(F.col("needle"), F.col("whole")).alias("whole"))
-             .distinct())
+    # a needle has dozens of anchors, so they carry its digest and not its text
+    digest = F.unhex(F.md5(F.concat("needle", F.when(F.col("whole"), "|w").otherwise("|s"))))
+    asked = stage(
+        needles.where(F.length("needle") > 0)
+        .select("job_id", "needle", _whole(F.col("needle"), F.col("whole")).alias("whole"))
+        .distinct().withColumn("nid", digest), "needles")
     terms = stage(asked.withColumn("_a", needle_anchors(F.col("needle"), F.col("whole")))
-                  .select(*key, F.size("_a").alias("n"), F.explode("_a").alias("anchor")),
+                  .select("job_id", "nid", F.size("_a").alias("n"), F.explode("_a").alias("anchor")),
                   "needle-anchors")
     sought = terms.select("job_id", "anchor").distinct()
     few = within_rows(sought, BROADCAST_KEYS)
@@ -162,12 +165,13 @@ def find(needles: DataFrame, index: DataFrame) -> DataFrame:
         F.min("ord").alias("first"), F.count(F.lit(1)).alias("df"))
     bounds = stage(
         terms.join(firsts, ["job_id", "anchor"])
-        .groupBy(*key).agg(F.max("first").alias("ord"), F.count(F.lit(1)).alias("found"),
-                           F.max("n").alias("n"),
-                           F.min(F.struct("df", "anchor"))["anchor"].alias("anchor"))
-        .where("found = n").select(*key, "ord", "anchor"), "needle-bounds")
+        .groupBy("job_id", "nid")
+        .agg(F.max("first").alias("ord"), F.count(F.lit(1)).alias("found"), F.max("n").alias("n"),
+             F.min(F.struct("df", "anchor"))["anchor"].alias("anchor"))
+        .where("found = n").select("job_id", "nid", "ord", "anchor"), "needle-bounds")
     ok = matches(F.col("normal"), F.col("needle"), F.col("whole"))
-    checked = stage(bounds.join(_normals_of(index, bounds), ["job_id", "ord"])
+    checked = stage(bounds.join(asked, ["job_id", "nid"])
+                    .join(_normals_of(index, bounds), ["job_id", "ord"])
                     .select(*key, "ord", "anchor", ok.alias("ok")), "needle-checks")
     found = checked.where("ok").select(*key, "ord")
 
@@ -285,7 +289,7 @@ def asked_needles(results: DataFrame) -> DataFrame:
 
 def _found(results: DataFrame, index: DataFrame) -> DataFrame:
     """Per result: quote hit, best segment hit, best value hit, and what was asked."""
-    asks = asked_needles(results)
+    asks = stage(asked_needles(results), "asked")
     hits = find(asks.where("kept").select("job_id", "needle", "whole"), index)
     joined = asks.join(hits, ["job_id", "needle", "whole"], "left")
 
