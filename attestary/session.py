@@ -45,17 +45,13 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
 
 
 def stage(df: DataFrame, purpose: str) -> DataFrame:
-    """A thin table used more than once, with its lineage cut.
+    """A thin table used more than once, written to the shared folder, with its lineage cut.
 
-    Written below ``spark.checkpoint.dir`` where that is set, so a lost executor costs a re-read
-    and not the plan behind it; kept in the cache of a local test session otherwise.
+    A lost executor then costs a re-read and not the plan behind it.
     """
-    spark = df.sparkSession
-    if spark.conf.get("spark.checkpoint.dir", None):
-        path = shared_dir(spark, purpose)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-    return df.persist()
+    path = shared_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def within_rows(df: DataFrame, rows: int) -> bool:
