@@ -28,6 +28,24 @@ def worker_state(name: str, make: Callable[[], object]) -> object:
     return home.__dict__[name]
 
 
+def whole(docs: DataFrame) -> Column:
+    """A row as one struct ``doc``, so that no column of it can clash with an operator's own."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc")
+
+
+def unfolded(df: DataFrame, docs: DataFrame, text: Column | None = None) -> DataFrame:
+    """The columns of ``docs`` again; with ``text``, that is their text and ``n_chars`` is its length."""
+    out = []
+    for c in docs.columns:
+        value = F.col("doc")[c]
+        if text is not None and c == "text":
+            value = text
+        elif text is not None and c == "n_chars":
+            value = F.length(text).cast(docs.schema[c].dataType)
+        out.append(value.alias(c))
+    return df.select(*out)
+
+
 def drawn(seed: int, *columns: str) -> Column:
     """A seeded uniform number in [0, 2^60), the same in any engine that has MD5."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]

@@ -29,6 +29,7 @@ class WordIds(dict):
         super().__init__()
         self.tokenizer, self.lower = Tokenizer.from_file(path), lower
         self.model, self.bytes = self.tokenizer.model, BYTE_CHARS
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
@@ -64,10 +65,11 @@ class Encoder:
         """The ids as little-endian unsigned 32-bit bytes.
 
         Both kinds of tokenizer divide a text at white space before they merge, so units between
-        blanks can be encoded one by one and remembered.
+        blanks can be encoded one by one and remembered. Texts with a special token's string, which
+        divides them first, are encoded whole.
         """
         words = worker_state(f"ids:{self.path}", lambda: WordIds(self.path, self.drops_blanks))
-        if ODD_BLANKS.search(text):
+        if ODD_BLANKS.search(text) or any(s in text for s in words.special):
             return words.encode(text)
         units = text.split() if self.drops_blanks else SPACED.findall(text)
         return b"".join(map(words.__getitem__, units))

@@ -11,12 +11,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIGNS = 256   # lanes that add 1 or 65 535, mod 2^16: two fingerprints' distance is read from them
+from attestary.llm.common import worker_state
+
+LANES = 128   # lanes that add Cauchy numbers, mod 2^32: two fingerprints' distance is read from them
 WIDE = 8      # lanes that add any 64-bit number, mod 2^64
 PIECE = 8     # a longer paragraph is divided at content-chosen words, every PIECE words on average
 BATCH = 4096  # pieces hashed into lanes at once
-LANE_BYTES = SIGNS // 8
-EMPTY = (0, np.zeros(WIDE, dtype=np.uint64), np.zeros(SIGNS, dtype=np.uint16))
+SCALE = 256   # a Cauchy number of 1
+STEPS = np.arange(1, LANES // 4 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+EMPTY = (0, np.zeros(WIDE, dtype=np.uint64), np.zeros(LANES, dtype=np.uint32))
+
+
+def cauchy_numbers() -> np.ndarray:
+    """65 536 equally likely Cauchy numbers as integers."""
+    return np.rint(np.tan(np.pi * ((np.arange(1 << 16) + 0.5) / (1 << 16) - 0.5)) * SCALE).astype(np.int64)
 
 
 def pieces(text: str) -> list[bytes]:
@@ -44,16 +52,19 @@ def pieces(text: str) -> list[bytes]:
 def of_pieces(parts: Iterable[bytes]) -> tuple[int, np.ndarray, np.ndarray]:
     """Count and lanes of a multiset: the sum of its members' vectors."""
     parts = list(parts)
-    wide, signs = EMPTY[1].copy(), EMPTY[2].copy()
+    table = worker_state("cauchy", cauchy_numbers)
+    wide, lanes = EMPTY[1].copy(), EMPTY[2].copy()
     for i in range(0, len(parts), BATCH):
-        digests = b"".join([hashlib.blake2b(p, digest_size=64).digest() for p in parts[i:i + BATCH]])
-        rows = np.frombuffer(digests, dtype=np.uint8).reshape(-1, 64)
-        ones = np.unpackbits(rows[:, :LANE_BYTES], axis=1).sum(axis=0, dtype=np.int64)
-        signs += (2 * ones - len(rows)).astype(np.uint16)
-        # the second half of the digest is spread to the wide lanes
-        seeds = rows[:, LANE_BYTES:].copy().view(np.uint64)
+        digests = b"".join([hashlib.blake2b(p, digest_size=32).digest() for p in parts[i:i + BATCH]])
+        seeds = np.frombuffer(digests, dtype="<u8").reshape(-1, 4)
         wide += np.concatenate([seeds.sum(axis=0), (seeds * (seeds | np.uint64(1))).sum(axis=0)])
-    return len(parts), wide, signs
+        # the digest's first number is spread over all lanes, 16 bits for each
+        x = seeds[:, :1] + STEPS
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        lanes += table[x.view(np.uint16)].sum(axis=0).astype(np.uint32)
+    return len(parts), wide, lanes
 
 
 def fingerprint(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
@@ -70,26 +81,26 @@ def combine(a, b, sign: int = 1):
 def likeness(a, b) -> float:
     """Estimated share of common members, |A and B| / |A or B| as multisets, in 0..1; 1 for equal prints.
 
-    A lane of the difference is a sum of random signs over the members not in common, so its mean
-    square estimates how many these are.
+    A lane of the difference is a sum of Cauchy numbers, each times how often its member is in one
+    multiset more than in the other; the median size of such sums is the sum of these counts.
     """
     if a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all():
         return 1.0
-    apart = float(((a[2] - b[2]).astype(np.int16).astype(np.float64) ** 2).mean())
+    apart = float(np.median(np.abs((a[2] - b[2]).view(np.int32).astype(np.int64)))) / SCALE
     total = a[0] + b[0]
     apart = min(max(apart, abs(a[0] - b[0]), 1.0), total)
     return (total - apart) / (total + apart)
 
 
 def as_hex(print_) -> str:
-    count, wide, signs = print_
-    return (np.array([count], dtype="<u8").tobytes() + wide.astype("<u8").tobytes() + signs.astype("<u2").tobytes()).hex()
+    count, wide, lanes = print_
+    return (np.array([count], dtype="<u8").tobytes() + wide.astype("<u8").tobytes() + lanes.astype("<u4").tobytes()).hex()
 
 
 def from_hex(text: str):
     raw = bytes.fromhex(text)
     head = np.frombuffer(raw[:8 + 8 * WIDE], dtype="<u8")
-    return int(head[0]), head[1:].astype(np.uint64), np.frombuffer(raw[8 + 8 * WIDE:], dtype="<u2").astype(np.uint16)
+    return int(head[0]), head[1:].astype(np.uint64), np.frombuffer(raw[8 + 8 * WIDE:], dtype="<u4").astype(np.uint32)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:

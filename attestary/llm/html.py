@@ -150,24 +150,26 @@ def labelled_counts(page: str) -> Counter:
     parts = tokens(page)
     if any(t[3] == "in" for t in parts):
         for kind, text, beside, zone, parent in parts:
+            if zone == "in" and beside:
+                continue  # left out wherever the run ends, so it says nothing about that
             n = len(text.split()) if kind == "#text" else 1
             for f in (_feature(kind, beside, zone, parent), _general(_feature(kind, beside, zone, parent))):
-                out[f, zone == "in" and not beside] += n
+                out[f, zone == "in"] += n
     return out
 
 
 def weights_of(counts: dict[tuple[str, bool], int]) -> dict[str, float]:
-    """Words score 0 to 1 and tags -8 to -0.1, by the log odds of standing in main text."""
+    """Words score 0 to 1 and tags -8 to -0.01, by the log odds of standing in main text."""
     out = {}
     for f in {f for f, _ in counts}:
         odds = math.log((counts.get((f, True), 0) + 0.5) / (counts.get((f, False), 0) + 0.5))
-        out[f] = min(1.0, max(0.0, odds)) if f.split(" ")[1] == "words" else max(-8.0, min(-0.1, odds))
+        out[f] = min(1.0, max(0.0, odds)) if f.split(" ")[1] == "words" else max(-8.0, min(-0.01, odds))
     return out
 
 
 # for features no labelled page has: words of unmarked pages and of main elements count, others hardly
-UNSEEN = {"in words": 1.0, "none words": 1.0, "out words": 0.2, "in <": -0.2, "none <": -0.3, "out <": -2.0,
-          "in < beside": -0.5, "none < beside": -0.5, "out < beside": -4.0}
+UNSEEN = {"in words": 1.0, "none words": 1.0, "out words": 0.2, "in <": -0.01, "none <": -0.3, "out <": -2.0,
+          "in < beside": -0.001, "none < beside": -0.01, "out < beside": -4.0}
 
 
 def extract(page: str | None, weights: dict[str, float]) -> str:

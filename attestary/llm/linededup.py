@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestary.llm.common import unfolded, whole
 from attestary.session import stage
 
 BLANKS = "\t\n\x0b\x0c\r "
@@ -113,18 +114,17 @@ def keep_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
 
 def with_bitmaps(docs: DataFrame, min_chars: int = 10) -> DataFrame:
-    """The documents with ``_n_lines``, ``_n_dropped``, ``_bitmap`` (null: all lines stay) and ``_kept``,
-    the text that remains (null and empty texts remain empty)."""
-    maps = keep_bitmaps(docs, min_chars).select("id", "row", "n_dropped", "bitmap").toDF("_id", "_row", "_d", "_bitmap")
-    rows = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(NOBODY)), "_row": F.xxhash64("text")})
-    text = F.coalesce(F.col("text"), F.lit(""))
-    joined = rows.join(maps, ["_id", "_row"], "left")
+    """``doc`` (all columns of a document), ``n_lines``, ``n_dropped``, ``bitmap`` (null: all lines stay) and
+    ``kept``, the text that remains (null and empty texts are the empty text)."""
+    maps = keep_bitmaps(docs, min_chars).select("id", "row", F.col("n_dropped").alias("gone"), "bitmap")
+    rows = docs.select(whole(docs), F.coalesce("doc_id", F.lit(NOBODY)).alias("id"), F.xxhash64("text").alias("row"))
+    text = F.coalesce(F.col("doc.text"), F.lit(""))
+    joined = rows.join(maps, ["id", "row"], "left")
     # only texts that lose lines travel to Python
-    short = kept_lines(F.when(F.col("_bitmap").isNotNull(), F.col("text")), F.col("_bitmap"))
-    return joined.withColumns({
-        "_n_lines": (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long"),
-        "_n_dropped": F.coalesce("_d", F.lit(0)).cast("long"),
-        "_kept": F.coalesce(short, text)}).drop("_id", "_row", "_d")
+    short = kept_lines(F.when(F.col("bitmap").isNotNull(), F.col("doc.text")), F.col("bitmap"))
+    return joined.select(
+        "doc", (F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
+        F.coalesce("gone", F.lit(0)).cast("long").alias("n_dropped"), "bitmap", F.coalesce(short, text).alias("kept"))
 
 
 def drop_repeated_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
@@ -132,7 +132,4 @@ def drop_repeated_lines(docs: DataFrame, min_chars: int = 10) -> DataFrame:
 
     Every document stays, also one that has lost all its lines.
     """
-    out = with_bitmaps(docs, min_chars).withColumn("text", F.col("_kept"))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+    return unfolded(with_bitmaps(docs, min_chars), docs, F.col("kept"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from attestary.llm.common import SPACE, WORD, drawn, running
+from attestary.llm.common import SPACE, WORD, drawn, running, unfolded, whole
 from attestary.session import stage
 
 
@@ -87,7 +87,7 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, share
     nobody = F.lit(-(2 ** 63))
     lots = (served.groupBy(F.coalesce("doc_id", nobody).alias("_doc"), "_text")
             .agg(F.array_sort(F.collect_list(F.struct("_before", "size", "source_size", "target"))).alias("_lots")))
-    base = docs.withColumns({"_doc": F.coalesce("doc_id", nobody), "_text": F.xxhash64("text")})
+    base = docs.select(whole(docs), F.coalesce("doc_id", nobody).alias("_doc"), F.xxhash64("text").alias("_text"))
     base = base.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_text").orderBy(F.lit(0))))
     lot = F.get("_lots", F.col("_n") - 1)
     copies = (base.join(lots, ["_doc", "_text"]).withColumn("_lot", lot).where("_lot is not null")
@@ -95,9 +95,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, share
     start = F.col("_lot.source_size") * F.col("_copy") + F.col("_lot._before")
     copies = (copies.withColumn("_words", F.least(F.col("_lot.size"), F.floor("_lot.target") - start)).where("_words > 0")
               .withColumn("_finish", (start + F.col("_words")).cast("double") / F.col("_lot.target")))
-    parts = F.regexp_extract_all("text", F.lit(f"({WORD}[{SPACE}]*)"))
+    text = F.col("doc.text")
+    parts = F.regexp_extract_all(text, F.lit(f"({WORD}[{SPACE}]*)"))
     head = F.array_join(F.slice(parts, F.lit(1), F.col("_words").cast("int")), "")
-    copies = copies.withColumn("text", F.when(F.col("_words") == F.col("_lot.size"), F.col("text")).otherwise(head))
-    if "n_chars" in docs.columns:
-        copies = copies.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return copies.orderBy("_finish", "_doc", "_copy").select(*docs.columns)
+    cut = F.when(F.col("_words") == F.col("_lot.size"), text).otherwise(head)
+    return unfolded(copies.orderBy("_finish", "_doc", "_copy"), docs, cut)

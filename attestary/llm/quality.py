@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from attestary.llm.common import unfolded, whole
+
 BUCKETS = 4096        # features of the linear scorer
 SAMPLE = 3000         # documents the linear scorer is fitted on, at most
 ROUNDS = 100          # of expectation-maximisation, at most
@@ -197,15 +199,15 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
 
 
 def scored(docs: DataFrame, model: QualityModel | None = None) -> DataFrame:
-    """All columns and ``_quality``, struct<votes, posterior, score>; a score of at least 0.5 is kept.
+    """``doc`` (all columns of a document) and ``quality``, struct<votes, posterior, score>.
 
     Nulls and texts without words get no vote and score 1: nothing speaks against them. Repeated rows
     score alike. A text is hashed in chunks; an empty table gives no rows.
     """
     model = model or fit(docs)
-    return docs.withColumn("_quality", model.apply(F.col("text")))
+    return docs.select(whole(docs), model.apply(F.col("text")).alias("quality"))
 
 
 def keep_good(docs: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The documents, all columns, that the classifier does not reject."""
-    return scored(docs).where(F.col("_quality.score") >= threshold).select(*docs.columns)
+    """The documents, all columns, that the classifier does not reject: those scoring ``threshold`` or more."""
+    return unfolded(scored(docs).where(F.col("quality.score") >= threshold), docs)

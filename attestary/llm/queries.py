@@ -52,8 +52,8 @@ def op3(docs: DataFrame) -> DataFrame:
 @query("op4_quality", "documents")
 def op4(docs: DataFrame) -> DataFrame:
     return quality.scored(docs).select(
-        "doc_id", F.col("_quality.votes").alias("votes"), F.col("_quality.posterior").alias("posterior"),
-        F.col("_quality.score").alias("score"), (F.col("_quality.score") >= 0.5).alias("keep"))
+        F.col("doc.doc_id").alias("doc_id"), "quality.votes", "quality.posterior", "quality.score",
+        (F.col("quality.score") >= 0.5).alias("keep"))
 
 
 @query("op5_multiset_hash", "documents")
@@ -78,8 +78,7 @@ def op5(docs: DataFrame) -> DataFrame:
     FROM marked GROUP BY doc_id""")
 def op6(docs: DataFrame) -> DataFrame:
     return linededup.with_bitmaps(docs).select(
-        "doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_dropped").alias("n_dropped"),
-        F.sha2("_kept", 256).alias("kept_sha256"))
+        F.col("doc.doc_id").alias("doc_id"), "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 @query("op7_fair_queue_mix", "documents", r"""

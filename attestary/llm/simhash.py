@@ -11,6 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from attestary.llm.common import unfolded, whole
 from attestary.llm.components import components
 from attestary.session import stage
 
@@ -201,6 +202,7 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Da
     groups = near_groups(docs, shingle, max_bits)
     nobody = F.lit(2 ** 63 - 1)
     first = groups.groupBy("root").agg(F.min(F.struct(F.coalesce("doc_id", nobody).alias("_id"), "row")).alias("m"))
-    keep = first.select("root", F.col("m._id").alias("_id"), F.col("m.row").alias("_row"))
-    rows = docs.withColumns({"_id": F.coalesce("doc_id", nobody), "_row": F.xxhash64("text")})
-    return rows.join(keep, ["_id", "_row"]).dropDuplicates(["_id", "_row", "root"]).select(*docs.columns)
+    keep = first.select("root", F.col("m._id").alias("id"), F.col("m.row").alias("row"))
+    rows = docs.select(whole(docs), F.coalesce("doc_id", nobody).alias("id"), F.xxhash64("text").alias("row"))
+    kept = rows.join(keep, ["id", "row"]).dropDuplicates(["id", "row", "root"])
+    return unfolded(kept, docs)

@@ -105,7 +105,7 @@ def top_k(queries: DataFrame, rows: DataFrame, k: int = 5) -> DataFrame:
     sample: dict[int, list] = {}
     for r in rows.select("id", "dim", "vec").orderBy(at, "id").limit(PIVOT_SAMPLE).collect():
         sample.setdefault(r.dim, []).append((r.id, r.vec))
-    known = {dim: (np.array([i for i, _ in s], dtype=np.int64), np.array([v for _, v in s], dtype=np.int64).reshape(-1, dim))
+    known = {dim: (np.array([i for i, _ in s], dtype=np.int64), np.array([v for _, v in s], dtype=np.int64).reshape(len(s), dim))
              for dim, s in sample.items()}
     pivots = {dim: _far_apart(vecs.astype(float), PIVOTS) for dim, (_, vecs) in known.items()}
 
