@@ -17,8 +17,6 @@ hash collisions cost time and never a wrong answer.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F, types as T
@@ -26,13 +24,12 @@ from pyspark.sql.functions import pandas_udf
 
 from attestary import fixed
 from attestary.functions.text import (excerpt, flatten_text, fold_with_origin, has_whole, norm,
-                                      page_offsets, squash, strip)
+                                      page_marks, squash, strip)
 from attestary.functions.values import date_variants
-from attestary.session import stage, within_rows
+from attestary.session import stage
 
 GRAM, WINDOW = 5, 7
 GRAM_FROM = GRAM + WINDOW - 1
-BROADCAST_KEYS = 500_000
 
 
 # --- anchors --------------------------------------------------------------------------------
@@ -129,12 +126,11 @@ def _normals_of(index: DataFrame, candidates: DataFrame) -> DataFrame:
             .select("job_id", "ord", norm(F.col("markdown")).alias("normal")))
 
 
-def _postings(index: DataFrame, sought: DataFrame | None) -> DataFrame:
-    """``(job_id, anchor, ord)`` of all anchors, or of a counted set of sought ones."""
+def _postings(index: DataFrame, sought: DataFrame) -> DataFrame:
+    """``(job_id, anchor, ord)`` of the sought anchors. Spark sizes this join itself."""
     found = (index.select("job_id", "ord", norm(F.col("markdown")).alias("normal"))
              .select("job_id", "ord", F.explode(document_anchors(F.col("normal"))).alias("anchor")))
-    return found if sought is None else found.join(
-        F.broadcast(sought), ["job_id", "anchor"], "left_semi")
+    return found.join(sought, ["job_id", "anchor"], "left_semi")
 
 
 def find(needles: DataFrame, index: DataFrame) -> DataFrame:
@@ -153,12 +149,8 @@ def find(needles: DataFrame, index: DataFrame) -> DataFrame:
     terms = stage(asked.withColumn("_a", needle_anchors(F.col("needle"), F.col("whole")))
                   .select("job_id", "nid", F.size("_a").alias("n"), F.explode("_a").alias("anchor")),
                   "needle-anchors")
-    sought = terms.select("job_id", "anchor").distinct()
-    few = within_rows(sought, BROADCAST_KEYS)
-    postings = _postings(index, sought if few else None)
-    if few:
-        # filtered where the documents are read, they are thin enough to keep for both passes
-        postings = stage(postings, "postings")
+    # only sought anchors go on from the documents: thin enough to keep for both passes
+    postings = stage(_postings(index, terms.select("job_id", "anchor").distinct()), "postings")
 
     # aggregated before it meets the needles: map-side, a hot anchor is one row per task
     firsts = postings.groupBy("job_id", "anchor").agg(
@@ -177,11 +169,6 @@ def find(needles: DataFrame, index: DataFrame) -> DataFrame:
 
     # needles whose bound failed: later documents that hold their rarest anchor
     open_ = checked.where("NOT ok").select(*key, "anchor", F.col("ord").alias("bound"))
-    if open_.isEmpty():
-        return found
-    rare = open_.select("job_id", "anchor").distinct()
-    if not few:
-        postings = _postings(index, rare if within_rows(rare, BROADCAST_KEYS) else None)
     later = stage(postings.join(open_, ["job_id", "anchor"]).where(F.col("ord") > F.col("bound"))
                   .select(*key, "ord"), "needle-candidates")
     rest = (later.join(_normals_of(index, later), ["job_id", "ord"]).where(ok)
@@ -191,64 +178,68 @@ def find(needles: DataFrame, index: DataFrame) -> DataFrame:
 
 # --- where in the document ------------------------------------------------------------------
 
-_SPAN = T.StructType([T.StructField("start", T.IntegerType()),
-                      T.StructField("stop", T.IntegerType()),
-                      T.StructField("page", T.IntegerType())])
+# of the needles that share a document, about this many parts go to Python apart
+PARTS = 16
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()),
+                                   T.StructField("page", T.IntegerType())]))
+_NEVER = (None, None, None)
 
 
-@pandas_udf(_SPAN)
-def locate_span(texts: pd.Series, needles: pd.Series, wholes: pd.Series) -> pd.DataFrame:
-    """Offsets of a needle in the original text, and the page they fall on.
+class _Places:
+    """Where needles stand in one text: its normal form and the offset of each of its characters."""
 
-    Rows of one document follow each other, so its offset map is built once for all of them.
-    """
-    last, normal, origin, pages, tight, tight_origin = None, "", [], [], None, []
-    out = []
-    for text, needle, whole in zip(texts, needles, wholes):
-        if not isinstance(text, str) or not isinstance(needle, str):
-            out.append((None, None, None))
-            continue
-        if text is not last and text != last:
-            normal, origin = fold_with_origin(text)
-            last, pages, tight = text, page_offsets(text), None
-        if whole:
-            m = re.search(r"\b" + re.escape(needle) + r"\b", normal)
-            at = m.start() if m else -1
-        else:
-            at = normal.find(needle)
-        where, length = origin, len(needle)
+    def __init__(self, text: str, marks):
+        self.normal, self.origin = fold_with_origin(text)
+        self.padded, self.tight = f" {self.normal} ", self.normal.replace(" ", "")
+        codes = np.frombuffer(self.normal.encode("utf-32-le"), dtype="<u4")
+        self.solid = np.flatnonzero(codes != ord(" "))
+        self.starts = np.array([m["start"] for m in marks], dtype=np.int64)
+        self.pages = [m["page"] for m in marks]
+
+    def of(self, needle: str, whole: bool) -> tuple:
+        at = self.padded.find(f" {needle} ") if whole else self.normal.find(needle)
+        first, last = at, at + len(needle) - 1
         if at < 0:
-            if tight is None:
-                tight = normal.replace(" ", "")
-                tight_origin = [o for c, o in zip(normal, origin) if c != " "]
             short = needle.replace(" ", "")
-            at, where, length = tight.find(short), tight_origin, len(short)
-        if at < 0:
-            out.append((None, None, None))
-            continue
-        start = where[at]
-        page = None
-        for offset, number in pages:
-            if offset > start:
-                break
-            page = number
-        out.append((start, where[at + length - 1] + 1, page))
-    return pd.DataFrame(out, columns=["start", "stop", "page"]).astype("Int32")
+            at = self.tight.find(short)
+            if at < 0 or not short:
+                return _NEVER
+            first, last = self.solid[at], self.solid[at + len(short) - 1]
+        start, stop = int(self.origin[first]), int(self.origin[last]) + 1
+        before = int(np.searchsorted(self.starts, start, side="right"))
+        return start, stop, self.pages[before - 1] if before else None
+
+
+@pandas_udf(_SPANS)
+def _spans(texts: pd.Series, marks: pd.Series, needles: pd.Series) -> pd.Series:
+    """Offsets and page of every needle of a text; the text is folded once for all of them."""
+    out = []
+    for text, heads, wanted in zip(texts, marks, needles):
+        places = _Places(text, heads)
+        out.append([places.of(n["needle"], n["whole"]) for n in wanted])
+    return pd.Series(out, dtype=object)
 
 
 def locate(hits: DataFrame, index: DataFrame) -> DataFrame:
-    """Adds document, page, excerpt, match and offset to ``hits(job_id, ord, needle, whole, …)``."""
-    held = hits.select("job_id", "ord").distinct()
-    texts = index.join(held, ["job_id", "ord"], "left_semi")
-    span = locate_span(F.col("markdown"), F.col("needle"), F.col("whole"))
-    text, start, stop = F.col("markdown"), F.col("_s.start"), F.col("_s.stop")
-    return (hits.join(texts, ["job_id", "ord"]).withColumn("_s", span)
-            .withColumn("source_document", F.col("filename"))
-            .withColumn("source_page", F.col("_s.page"))
-            .withColumn("source_excerpt", excerpt(text, start, stop))
-            .withColumn("source_match", flatten_text(F.substring(text, start + 1, stop - start)))
-            .withColumn("source_offset", start)
-            .drop("_s", "markdown", "filename"))
+    """Adds document, page, excerpt, match and offset to ``hits(job_id, ord, needle, whole, …)``.
+
+    Needles come to their document, not the document to each needle: a text is read once per part
+    of its needles.
+    """
+    key = ["job_id", "ord", "needle", "whole"]
+    part = F.pmod(F.xxhash64("needle"), F.lit(PARTS))
+    wanted = (hits.groupBy("job_id", "ord", part.alias("_part"))
+              .agg(F.collect_set(F.struct("needle", "whole")).alias("_n")))
+    text, at = F.col("markdown"), F.col("_s")
+    found = F.transform(F.arrays_zip("_n", "_at"), lambda x: F.struct(
+        x["_n"]["needle"].alias("needle"), x["_n"]["whole"].alias("whole"), x["_at"]["page"].alias("source_page"),
+        excerpt(text, x["_at"]["start"], x["_at"]["stop"]).alias("source_excerpt"),
+        flatten_text(F.substring(text, x["_at"]["start"] + 1, x["_at"]["stop"] - x["_at"]["start"])).alias("source_match"),
+        x["_at"]["start"].alias("source_offset")))
+    placed = (index.join(wanted, ["job_id", "ord"])
+              .withColumn("_at", _spans(text, page_marks(text), F.col("_n")))
+              .select("job_id", "ord", F.col("filename").alias("source_document"), F.inline(found)))
+    return hits.join(placed, key)
 
 
 # --- quotes and values ----------------------------------------------------------------------
@@ -273,9 +264,10 @@ def asked_needles(results: DataFrame) -> DataFrame:
     rows = F.concat(tag(QUOTE, F.array(quote)), tag(SEGMENT, segments), tag(VALUE, spellings))
     n = F.length("needle")
     least = F.when(F.col("kind") == VALUE, fixed.MIN_VALUE_CHARS).otherwise(fixed.MIN_QUOTE_CHARS)
-    return (results.select("job_id", "field_id", quote.alias("quote"), F.explode(rows).alias("r"))
-            .select("job_id", "field_id", "r.kind", "r.at", norm(F.col("r.raw")).alias("needle"),
-                    F.when(F.col("r.kind") == VALUE, norm(F.col("quote"))).alias("quote_norm"))
+    # the quote is folded once, before its segments become rows
+    return (results.select("job_id", "field_id", norm(quote).alias("quote_norm"), rows.alias("rows"))
+            .select("job_id", "field_id", "quote_norm", F.explode("rows").alias("r"))
+            .select("job_id", "field_id", "quote_norm", "r.kind", "r.at", norm(F.col("r.raw")).alias("needle"))
             .withColumn("kept", n >= least)
             # the first spelling says whether the value can be checked at all
             .where(F.col("kept") | ((F.col("kind") == VALUE) & (F.col("at") == 0)))
@@ -283,7 +275,7 @@ def asked_needles(results: DataFrame) -> DataFrame:
                         .otherwise(F.struct(F.lit(0).alias("a"), "at")))
             .withColumn("whole", _whole(F.col("needle"), F.col("kind") == VALUE))
             .withColumn("in_quote", F.coalesce(
-                F.col("kept") & has_whole(F.col("quote_norm"), F.col("needle")), F.lit(False)))
+                F.col("kept") & (F.col("kind") == VALUE) & has_whole(F.col("quote_norm"), F.col("needle")), F.lit(False)))
             .drop("at", "quote_norm"))
 
 

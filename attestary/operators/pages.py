@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from attestary import fixed
-from attestary.functions.text import clean_text, page_offsets, strip
+from attestary.functions.text import clean_text, page_marks, strip
 
 
 def page_usable(text: Column) -> Column:
@@ -65,19 +63,9 @@ def cache_evict(cache: DataFrame, size: int = fixed.CACHE_SIZE) -> DataFrame:
     return cache.orderBy(F.desc("cached_at"), "content_hash").limit(size)
 
 
-_PAGES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()),
-                                   T.StructField("page", T.IntegerType())]))
-
-
-@pandas_udf(_PAGES)
-def page_table(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: [{"start": s, "page": p} for s, p in page_offsets(t)],
-                     na_action="ignore")
-
-
 def page_starts(docs: DataFrame) -> DataFrame:
     """``(job_id, doc_no, start, page)``, one row per page heading."""
-    return (docs.select("job_id", "doc_no", page_table("markdown").alias("_t"))
+    return (docs.select("job_id", "doc_no", page_marks(F.col("markdown")).alias("_t"))
             .select("job_id", "doc_no", F.inline("_t")))
 
 

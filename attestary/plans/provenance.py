@@ -7,7 +7,7 @@ from attestary.operators import context as B, grounding as G, reports as R
 from attestary.plans.registry import Source, plain, query
 from attestary.plans.texts import DOCS, NORM
 
-# Every dossier has the same form, the benchmark items its fields. The five kinds of answer: value in
+# Dossiers have one of two forms, both with the benchmark items as fields. The five kinds of answer: value in
 # its quote, value nowhere, quote made of a real and an invented part, one-letter value, invented quote.
 RESULTS = """
 SELECT job_id, item_id AS field_id,
@@ -16,8 +16,8 @@ SELECT job_id, item_id AS field_id,
     ELSE concat_ws(' ', split_part(text, ' ', 1), split_part(text, ' ', 2), split_part(text, ' ', 3)) END AS value,
   CASE item_id % 5 WHEN 2 THEN concat('Zzq qxw invented part; ', substr(text, 1, 60), ' xqz. Nothing of it')
     WHEN 4 THEN 'zzq completely invented quote' ELSE text END AS source_quote
-FROM (SELECT DISTINCT source AS job_id, 'benchmark' AS form_id FROM {documents}) j
-JOIN (SELECT *, 'benchmark' AS form_id FROM {benchmark}) b USING (form_id)"""
+FROM (SELECT DISTINCT source AS job_id, length(source) % 2 AS form_id FROM {documents}) j
+JOIN (SELECT *, 0 AS form_id FROM {benchmark} UNION ALL SELECT *, 1 AS form_id FROM {benchmark}) b USING (form_id)"""
 
 MATCH = """CASE WHEN length(replace(needle, ' ', '')) >= 16 THEN contains(replace(n, ' ', ''), replace(needle, ' ', ''))
   WHEN whole THEN contains(' ' || n || ' ', ' ' || needle || ' ') ELSE contains(n, needle) END"""
@@ -88,8 +88,8 @@ SELECT DISTINCT job_id, raw, whole FROM (
   UNION ALL SELECT job_id, substr(text, 5, 14), false FROM ({x}) c
   UNION ALL SELECT job_id, split_part(text, ' ', 3), true FROM ({x}) d
   UNION ALL SELECT job_id, substr(text, 3, 80), true FROM ({x}) e) n""".replace("{x}", """
-  SELECT job_id, item_id, text FROM (SELECT DISTINCT source AS job_id, 'benchmark' AS form_id FROM {documents}) j
-  JOIN (SELECT *, 'benchmark' AS form_id FROM {benchmark}) b USING (form_id)""")
+  SELECT job_id, item_id, text FROM (SELECT DISTINCT source AS job_id, length(source) % 2 AS form_id FROM {documents}) j
+  JOIN (SELECT *, 0 AS form_id FROM {benchmark} UNION ALL SELECT *, 1 AS form_id FROM {benchmark}) b USING (form_id)""")
 
 
 @query("find_needles", rf"""

@@ -12,14 +12,10 @@ from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestary.session import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
-# texts that every query reads whole: worth all cores even when one small file holds them
-WIDE = {"documents", "pages"}
 
 
 class Source:
@@ -29,8 +25,7 @@ class Source:
         self.spark, self.folder = spark, folder
 
     def table(self, name: str) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        return spread(df) if name in WIDE else df
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def shape(self, sql: str) -> DataFrame:
         names = {n for _, n, _, _ in Formatter().parse(sql) if n}

@@ -52,17 +52,3 @@ def stage(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_dir(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def within_rows(df: DataFrame, rows: int) -> bool:
-    """Whether a table has at most ``rows`` rows; reads no more than it must to know."""
-    return df.limit(rows + 1).count() <= rows
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on an input that arrives in fewer partitions than there are cores.
-
-    A large input is left as it is read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -53,11 +53,9 @@ def corpus(seed):
     return docs, sorted(needles)
 
 
-@pytest.mark.parametrize("limit", [G.BROADCAST_KEYS, 0])
-def test_find_equals_brute_force(spark, monkeypatch, limit):
-    """Both ways of reading the documents: few sought anchors, and too many to broadcast."""
-    monkeypatch.setattr(G, "BROADCAST_KEYS", limit)
-    docs, needles = corpus(limit)
+@pytest.mark.parametrize("seed", [0, 500_000])
+def test_find_equals_brute_force(spark, seed):
+    docs, needles = corpus(seed)
     index = G.source_index(spark.createDataFrame(docs, DOCS))
     found = {(r.job_id, r.needle, r.whole): r.ord.doc_no
              for r in G.find(spark.createDataFrame(needles, ASKED), index).collect()}
