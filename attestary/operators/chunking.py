@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from attestary import fixed
 from attestary.functions.text import strip, words
 from attestary.operators.numbering import running_offsets
+from attestary.session import stage
 
 
 def with_source_header(docs: DataFrame) -> DataFrame:
@@ -40,12 +41,18 @@ def chunk_texts(text: Column) -> Column:
 
 def chunk_documents(docs: DataFrame, col: str = "markdown") -> DataFrame:
     """``(job_id, doc_no, part, text)``, ``part`` counting within the document."""
+    # the outer form: an inner one has Spark test the size of the array, which cuts the text again
     return (docs.select("job_id", "doc_no", chunk_texts(F.col(col)).alias("_c"))
-            .select("job_id", "doc_no", F.posexplode("_c").alias("part", "text")))
+            .select("job_id", "doc_no", F.posexplode_outer("_c").alias("part", "text"))
+            .where("part IS NOT NULL"))
 
 
 def number_chunks(chunks: DataFrame) -> DataFrame:
-    """Adds ``chunk_no``: 0, 1, 2 … per job, in document and part order."""
+    """Adds ``chunk_no``: 0, 1, 2 … per job, in document and part order.
+
+    The chunks are staged, so documents are cut once; the count reads their numbers alone.
+    """
+    chunks = stage(chunks, "chunk-texts")
     counts = chunks.groupBy("job_id", "doc_no").agg(F.count(F.lit(1)).alias("n"))
     return (chunks.join(running_offsets(counts, "job_id", "doc_no", "n"), ["job_id", "doc_no"])
             .withColumn("chunk_no", (F.col("offset") + F.col("part")).cast("bigint"))

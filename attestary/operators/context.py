@@ -89,30 +89,47 @@ def synthesis_prompts(docs: DataFrame, plan: DataFrame, direct: str = "{docs}",
     return whole.unionByName(single_rows)
 
 
-SYNTHESIS_LISTS = ["diagnostics", "incapacites_travail", "traitements", "medecins"]
-SYNTHESIS_SCALARS = ["pronostic", "canton_traitement"]
-
-
 def merge_summaries(summaries: DataFrame) -> DataFrame:
-    """``(job_id, part, doc_no, entry_no, entry)``: the union of all lists, every version of a scalar.
+    """``(job_id, part, doc_no, document_source, entry_no, entry)``: every entry of every part of all summaries.
 
-    ``summaries(job_id, doc_no, filename, summary)`` with JSON texts, NULL for failures. Every entry
-    carries the document it comes from. The result stays a table of entries: a dossier's merged
-    lists grow with it and are never one cell.
+    ``summaries(job_id, doc_no, filename, summary)`` with JSON objects, NULL for failures. A list gives
+    an entry per element, anything else one; nested values are JSON texts. The result stays a table: a
+    dossier's merged lists grow with it.
     """
-    ok = summaries.where("summary IS NOT NULL")
-    lists = F.array(*[F.struct(F.lit(p).alias("part"), F.from_json(
-        F.get_json_object("summary", f"$.{p}"), "array<string>").alias("v"))
-        for p in SYNTHESIS_LISTS])
-    scalars = F.array(*[F.struct(F.lit(p).alias("part"), F.array(F.get_json_object(
-        "summary", f"$.{p}")).alias("v")) for p in SYNTHESIS_SCALARS])
-    return (ok.select("job_id", "doc_no", F.col("filename").alias("document_source"),
-                      F.inline(F.concat(lists, scalars)))
+    parts = F.from_json("summary", "map<string,string>")
+    listed = F.when(F.startswith("value", F.lit("[")), F.from_json("value", "array<string>"))
+    return (summaries.where("summary IS NOT NULL")
+            .select("job_id", "doc_no", F.col("filename").alias("document_source"),
+                    F.explode(parts).alias("part", "value"))
             .select("job_id", "part", "doc_no", "document_source",
-                    F.posexplode("v").alias("entry_no", "entry"))
+                    F.posexplode(F.coalesce(listed, F.array("value"))).alias("entry_no", "entry"))
             .where("entry IS NOT NULL"))
 
 
+def _json_text(c: Column) -> Column:
+    quoted = F.to_json(F.array(c))
+    return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
+
+
+def merged_synthesis(jobs: DataFrame, summaries: DataFrame) -> DataFrame:
+    """``(job_id, synthesis)`` of every job: NULL without a summary, a single summary as it is, else a
+    JSON object with all entries of all summaries under their part, each with its document."""
+    ok = summaries.where("summary IS NOT NULL")
+    single = ok.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.min("summary").alias("only"))
+    nested = F.col("entry").rlike(r"^\s*[\[{]") & F.try_parse_json("entry").isNotNull()
+    item = F.concat(F.lit('{"document_source": '), _json_text(F.col("document_source")), F.lit(', "valeur": '),
+                    F.when(nested, F.col("entry")).otherwise(_json_text(F.col("entry"))), F.lit("}"))
+    rows = F.array_sort(F.collect_list(F.struct("doc_no", "entry_no", item.alias("t"))))
+    parts = (merge_summaries(ok).groupBy("job_id", "part")
+             .agg(F.array_join(F.transform(rows, lambda r: r["t"]), ", ").alias("l")))
+    pair = F.concat(_json_text(F.col("part")), F.lit(": ["), F.col("l"), F.lit("]"))
+    whole = (parts.groupBy("job_id").agg(F.array_sort(F.collect_list(pair)).alias("p"))
+             .select("job_id", F.concat(F.lit("{"), F.array_join("p", ", "), F.lit("}")).alias("merged")))
+    return (jobs.select("job_id").join(single, "job_id", "left").join(whole, "job_id", "left")
+            .select("job_id", F.when(F.col("n") == 1, F.col("only")).when(F.col("n") > 1, F.col("merged"))
+                    .alias("synthesis")))
+
+
 def derived_docs(synthesis: DataFrame) -> DataFrame:
     """The synthesis as a searchable text, marked as derived."""
     return synthesis.where("synthesis IS NOT NULL").select(

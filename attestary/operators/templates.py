@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from attestary import fixed
 from attestary.functions.paths import canonical_som, path_key, som_section, xml_path
-from attestary.functions.text import WS, strip
+from attestary.functions.text import WS, strip, unescaped
 from attestary.operators.fill import first_by
 from attestary.operators.numbering import number_rows
 from attestary.session import stage
@@ -29,7 +29,7 @@ def node_paths(nodes: DataFrame) -> DataFrame:
     """
     rows = sibling_index(nodes)
     part = F.concat(F.col("name"), F.lit("["), F.col("sibling").cast("string"), F.lit("]"))
-    rows = rows.withColumn("_part", part)
+    rows = stage(rows.withColumn("_part", part), "form-nodes")
     level = stage(rows.where("parent IS NULL").withColumn("som", F.col("_part"))
                   .withColumn("ancestors", F.array().cast("array<string>")), "form-level")
     done = level
@@ -223,19 +223,19 @@ def recipient_block(fields: DataFrame, by_canton: DataFrame) -> DataFrame:
 
 
 def canton_table(scripts: DataFrame) -> DataFrame:
-    """``(form_id, canton, name, value)`` from the switch over cantons in a form's script.
+    """``(form_id, canton, name, value)`` from the switch over cantons in a form's template.
 
-    Cases read ``case 'XX': { … } break`` with ``.name.rawValue = "text"`` or ``= blockAddress``; a
-    case listed twice counts the last time, as does a name assigned twice.
+    Tags give way to blanks and references to their characters first. Cases read ``case 'XX': { … }
+    break`` with ``.name.rawValue = "text"`` or ``= blockAddress``; of several cases of a canton the last
+    that assigns anything counts, and the last of several assignments of a name.
     """
-    case = r"(?s)case\s*'([A-Z]{2})'\s*:\s*\{(.*?)\}\s*break"
-    assign = r'\.(\w+)\.rawValue\s*=\s*("((?:[^"\\]|\\.)*)"|blockAddress)'
-    block = r'var\s+blockAddress\s*=\s*"((?:[^"\\]|\\.)*)"'
+    case, assign, block = fixed.CANTON_CASE, fixed.CANTON_ASSIGN, fixed.CANTON_BLOCK
+    scripts = scripts.select("form_id", unescaped(F.regexp_replace("script", "<[^>]+>", " ")).alias("script"))
     cases = scripts.select("form_id", F.posexplode(F.arrays_zip(
         F.regexp_extract_all("script", F.lit(case), F.lit(1)).alias("canton"),
         F.regexp_extract_all("script", F.lit(case), F.lit(2)).alias("body"))).alias("at", "c"))
-    cases = first_by(cases.select("form_id", "at", "c.canton", "c.body"), ["form_id", "canton"],
-                     F.desc("at"))
+    cases = first_by(cases.select("form_id", "at", "c.canton", "c.body").where(F.col("body").rlike(assign)),
+                     ["form_id", "canton"], F.desc("at"))
     rows = cases.select("form_id", "canton",
                         F.regexp_extract("body", block, 1).alias("_block"),
                         F.posexplode(F.arrays_zip(

@@ -94,7 +94,7 @@ def synthesis_prompts(s: Source) -> DataFrame:
 SUMMARIES = """
 SELECT source AS job_id, doc_id AS doc_no, concat('doc', CAST(doc_id AS STRING)) AS filename,
   CASE WHEN lang = 'de' THEN NULL ELSE concat('{{"diagnostics": ["', lang, '", "d', CAST(n_chars AS STRING), '"], "traitements": [',
-    CASE WHEN n_chars > 1000 THEN '"repos"' ELSE '' END, '], "pronostic": ', CASE WHEN lang = 'fr' THEN 'null' ELSE concat('"p', CAST(doc_id % 3 AS STRING), '"') END, '}}') END AS summary
+    CASE WHEN n_chars > 1000 THEN '"repos"' ELSE '' END, '], "pronostic": ', CASE WHEN lang = 'fr' THEN 'null' ELSE concat('"p', CAST(doc_id % 3 AS STRING), '"') END, ', "patient": {{"nom": "', source, '"}}, "dates_cles": {{"d": ', CAST(doc_id AS STRING), '}}}}') END AS summary
 FROM {documents}"""
 
 
@@ -104,12 +104,30 @@ l AS (SELECT job_id, doc_no, filename, p AS part, unnest(CAST(json_extract(summa
     generate_subscripts(CAST(json_extract(summary, '$.' || p) AS VARCHAR[]), 1) - 1 AS entry_no FROM s, (VALUES ('diagnostics'), ('traitements')) v(p))
 SELECT job_id, part, doc_no, filename AS document_source, entry_no, entry FROM l
 UNION ALL SELECT job_id, 'pronostic', doc_no, filename, 0, json_extract_string(summary, '$.pronostic') FROM s
-WHERE json_extract_string(summary, '$.pronostic') IS NOT NULL""")
+WHERE json_extract_string(summary, '$.pronostic') IS NOT NULL
+UNION ALL SELECT job_id, p, doc_no, filename, 0, CAST(json_extract(summary, '$.' || p) AS VARCHAR) FROM s, (VALUES ('patient'), ('dates_cles')) v(p)""")
 def merge_summaries(s: Source) -> DataFrame:
     out = B.merge_summaries(s.shape(SUMMARIES))
     return out.withColumn("entry_no", F.col("entry_no").cast("bigint"))
 
 
+FEW = """SELECT doc_id AS doc_no, CASE WHEN lang = 'de' THEN lang ELSE concat(source, ':', CAST(doc_id % 40 AS STRING)) END AS job_id,
+  concat('doc', CAST(doc_id AS STRING)) AS filename, CASE WHEN lang <> 'de' THEN concat('{{"diagnostics": ["', lang, '", "x"], "patient": {{"n": ', CAST(doc_id AS STRING), '}}, "pronostic": "p"}}') END AS summary
+FROM {documents}"""
+
+
+@query("synthesis", rf"""
+WITH s AS ({plain(FEW)}), n AS (SELECT job_id, count(summary) AS n, min(summary) AS sole FROM s GROUP BY ALL),
+e AS (SELECT job_id, doc_no, filename, unnest(['diagnostics', 'diagnostics', 'patient', 'pronostic']) AS part, unnest([0, 1, 0, 0]) AS entry_no,
+  unnest(['"' || json_extract_string(summary, '$.diagnostics[0]') || '"', '"x"', CAST(summary->'patient' AS VARCHAR), '"p"']) AS entry FROM s WHERE summary IS NOT NULL),
+p AS (SELECT job_id, part, string_agg('{{"document_source": "' || filename || '", "valeur": ' || entry || '}}', ', ' ORDER BY doc_no, entry_no) AS l FROM e GROUP BY ALL),
+m AS (SELECT job_id, '{{' || string_agg('"' || part || '": [' || l || ']', ', ' ORDER BY part) || '}}' AS merged FROM p GROUP BY ALL)
+SELECT job_id, CASE WHEN n = 1 THEN sole WHEN n > 1 THEN merged END AS synthesis FROM n LEFT JOIN m USING (job_id)""".replace("{{", "{").replace("}}", "}"))
+def synthesis(s: Source) -> DataFrame:
+    summaries = s.shape(FEW)
+    return B.merged_synthesis(summaries.select("job_id").distinct(), summaries)
+
+
 REQUESTS = """
 SELECT conv_id, concat('Question ', CAST(conv_id AS STRING), ' ?') AS question, CASE WHEN conv_id % 3 = 0 THEN '[1]' END AS synthesis,
   CASE WHEN conv_id % 2 = 0 THEN '[1.1] Nom : X' ELSE '' END AS fields_context, CAST(NULL AS STRING) AS context

@@ -52,9 +52,10 @@ def rank_chunks(d: Dossiers, chunks: DataFrame, encoder=None, k: int = fixed.KNN
     asked = admission.extractable_fields(d.fields).select("form_id", "field_id", "question")
     vectors = retrieval.embed(asked, "question", encoder) \
         .withColumn("_q", retrieval.distinct_words(F.col("question")))
-    near = retrieval.knn(d.jobs.join(vectors.select("form_id", "field_id", "embedding"), "form_id"),
-                         chunks, k)
-    texts = chunks.select("job_id", "chunk_no", retrieval.distinct_words(F.col("text")).alias("_t"))
+    near = stage(retrieval.knn(d.jobs.join(vectors.select("form_id", "field_id", "embedding"), "form_id"),
+                               chunks, k), "near")
+    held = near.select("job_id", "chunk_no").distinct()
+    texts = chunks.join(held, ["job_id", "chunk_no"], "left_semi").select("job_id", "chunk_no", retrieval.distinct_words(F.col("text")).alias("_t"))
     pairs = (near.join(texts, ["job_id", "chunk_no"]).join(d.jobs, "job_id")
              .join(vectors.select("form_id", "field_id", "_q"), ["form_id", "field_id"]))
     score = (scorer or retrieval.lexical_overlap)(F.col("_q"), F.col("_t"))

@@ -115,6 +115,7 @@ n AS (SELECT g.job_id, g.field_id, CASE WHEN field_id % 11 = 0 THEN 'extraction_
     CASE WHEN field_id % 7 <> 0 THEN value END AS value,
     CASE WHEN field_id % 11 <> 0 THEN round_even(CASE WHEN field_id % 3 > 0 THEN field_id / 7 ELSE 0 END, 4) END AS rerank_score,
     CASE WHEN field_id % 11 <> 0 AND field_id % 7 <> 0 THEN grounding END AS grounding,
+    CASE WHEN field_id % 11 <> 0 AND field_id % 7 <> 0 THEN quote_verified END AS quote_verified,
     CASE WHEN field_id % 11 <> 0 AND field_id % 7 <> 0 AND anchor IS NOT NULL THEN 'doc' || anchor.doc_id || '.pdf' END AS source_document
   FROM g)"""
 
@@ -122,7 +123,7 @@ n AS (SELECT g.job_id, g.field_id, CASE WHEN field_id % 11 = 0 THEN 'extraction_
 @query("annotated_results", f"WITH {ANNOTATED} SELECT * FROM n")
 def annotated_results(s: Source) -> DataFrame:
     return annotated(s).select("job_id", "field_id", "error", "value", "rerank_score", "grounding",
-                               "source_document")
+                               "quote_verified", "source_document")
 
 
 @query("source_anchors")
@@ -156,9 +157,11 @@ def verified_samples(s: Source) -> DataFrame:
 
 
 @query("debug_view", f"""
-WITH {ANNOTATED} SELECT job_id, field_id, value, rerank_score, grounding, source_document, error FROM n""")
+WITH {ANNOTATED} SELECT n.job_id, n.field_id, n.value, rerank_score, grounding, source_document, error, quote_verified,
+  r.source_quote, CAST(NULL AS INTEGER) AS source_page FROM n JOIN r USING (job_id, field_id)""")
 def debug_view(s: Source) -> DataFrame:
-    return R.debug_view(annotated(s)).drop("source_quote", "quote_verified", "source_page")
+    """No document of the table has a page heading, so no answer has a page."""
+    return R.debug_view(annotated(s))
 
 
 @query("derived_docs", r"""

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from attestary.operators import context as B, retrieval as R
 from attestary.plans.registry import Source, plain, query
 from attestary.plans.texts import NORM
+from attestary.session import stage
 
 
 def words_sql(table: str, key: str, text: str) -> str:
@@ -33,8 +34,9 @@ def embed_tfidf(s: Source) -> DataFrame:
 
 # The earliest vector of each label is a question; the form of every dossier asks all of them.
 QUESTIONS = """
-SELECT job_id, field_id, embedding FROM (SELECT DISTINCT label AS job_id, 1 AS form_id FROM {embeddings}) j
-JOIN (SELECT label AS field_id, 1 AS form_id, min_by(embedding, vec_id) AS embedding FROM {embeddings} GROUP BY label) q USING (form_id)"""
+SELECT job_id, field_id, embedding FROM (SELECT DISTINCT label AS job_id, label % 2 AS form_id FROM {embeddings}) j
+JOIN (SELECT label AS field_id, embedding, 0 AS form_id FROM {first} UNION ALL SELECT label, embedding, 1 FROM {first}) q USING (form_id)""".replace(
+    "{first}", "(SELECT label, min_by(embedding, vec_id) AS embedding FROM {embeddings} GROUP BY label) f")
 VECTORS = "SELECT label AS job_id, vec_id AS chunk_no, embedding FROM {embeddings}"
 KNN = f"""
 SELECT q.job_id, q.field_id, c.chunk_no,
@@ -65,8 +67,8 @@ SELECT 'benchmark' AS form_id, item_id AS ord, text AS question,
   concat(CAST(CAST(floor(item_id / 10) AS BIGINT) + 1 AS STRING), '.', CAST(item_id % 10 + 1 AS STRING)) AS field_id
 FROM {benchmark}"""
 ASKED = f"""
-SELECT job_id, field_id, ord, question FROM (SELECT DISTINCT source AS job_id, 'benchmark' AS form_id FROM {{documents}}) j
-JOIN ({FIELDS}) f USING (form_id)"""
+SELECT job_id, field_id, ord, question FROM (SELECT DISTINCT source AS job_id, length(source) % 2 AS form FROM {{documents}}) j
+JOIN (SELECT *, 0 AS form FROM ({FIELDS}) g UNION ALL SELECT *, 1 AS form FROM ({FIELDS}) h) f USING (form)"""
 
 
 def chunk_table(s: Source) -> DataFrame:
@@ -79,8 +81,9 @@ def ranked(s: Source, k: int, keep: int) -> DataFrame:
     fields = R.embed(s.shape(FIELDS), "question").withColumn("_q", R.distinct_words(F.col("question")))
     asked = s.shape(ASKED).select("job_id", "field_id").join(
         fields.select("field_id", "embedding"), "field_id")
-    near = R.knn(asked, R.embed(chunks, "text"), k)
-    texts = chunks.select("job_id", "chunk_no", R.distinct_words(F.col("text")).alias("_t"))
+    near = stage(R.knn(asked, R.embed(chunks, "text"), k), "near")
+    held = near.select("job_id", "chunk_no").distinct()
+    texts = chunks.join(held, ["job_id", "chunk_no"], "left_semi").select("job_id", "chunk_no", R.distinct_words(F.col("text")).alias("_t"))
     pairs = near.join(texts, ["job_id", "chunk_no"]).join(fields.select("field_id", "_q"), "field_id")
     return R.rerank(pairs, R.lexical_overlap(F.col("_q"), F.col("_t")), keep)
 

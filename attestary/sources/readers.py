@@ -52,14 +52,19 @@ def read_dossiers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """``<job>/file`` bytes, numbered by name within the job."""
-    n = F.row_number().over(W.partitionBy("job_id").orderBy("name")) - 1
-    return (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-            .select(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("job_id"),
-                    F.regexp_extract("path", r"([^/]+)$", 1).alias("name"),
-                    F.substring("content", 1, 4).cast("string").alias("head"),
-                    F.col("length").alias("size"), "content")
-            .withColumn("file_no", n))
+    """``<job>/file`` bytes, numbered in the order they came in, then by name.
+
+    Names are numbered first and meet the contents afterwards: no bytes are sorted.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    job, name = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)$", 1)
+    n = F.row_number().over(W.partitionBy("job_id").orderBy("modificationTime", "name")) - 1
+    numbered = (files.select("path", "modificationTime", job.alias("job_id"), name.alias("name"))
+                .withColumn("file_no", n).drop("modificationTime"))
+    contents = files.select("path", F.substring("content", 1, 4).cast("string").alias("head"),
+                            F.col("length").alias("size"), "content")
+    return (numbered.join(contents, "path")
+            .select("job_id", "name", "head", "size", "content", "file_no"))
 
 
 def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
@@ -72,13 +77,27 @@ def read_ground_truth(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_runs(spark: SparkSession, path: str) -> DataFrame:
-    """Run log; blank and truncated lines are dropped, a missing log is empty."""
+    """Run log with ``log_no``, the order of its lines; blank and truncated lines are dropped, a missing
+    log is empty.
+
+    Files count in the order they were written. Within a file a line's number is where its block
+    begins plus its place in the block, as no line is shorter than a byte.
+    """
     try:
-        rows = (spark.read.schema(schemas.RUNS).option("mode", "DROPMALFORMED").json(path)
-                .where("ts IS NOT NULL OR form_id IS NOT NULL OR seconds IS NOT NULL"))
+        rows = spark.read.schema(schemas.RUNS).option("mode", "DROPMALFORMED").json(path)
     except AnalysisException:
-        rows = spark.createDataFrame([], schemas.RUNS)
-    return rows.withColumn("log_no", F.col("ts"))
+        return spark.createDataFrame([], schemas.RUNS + ", log_no bigint")
+    rows = rows.select("*", F.col("_metadata.file_modification_time").alias("_t"),
+                       F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_b"),
+                       F.monotonically_increasing_id().alias("_r"))
+    rows = rows.where("ts IS NOT NULL OR form_id IS NOT NULL OR seconds IS NOT NULL")
+    # one row per file of the log
+    files = rows.select("_t", "_f").distinct().select(
+        "_f", F.row_number().over(W.orderBy("_t", "_f")).alias("_n"))
+    place = F.col("_b") + F.col("_r") - F.min("_r").over(W.partitionBy("_f", "_b"))
+    return (rows.withColumn("_p", place).join(files, "_f")
+            .withColumn("log_no", F.col("_n") * F.lit(2 ** 40) + F.col("_p"))
+            .drop("_t", "_f", "_b", "_r", "_n", "_p"))
 
 
 def read_catalog(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
