@@ -7,7 +7,7 @@ steps read (chunks with vectors, ranked candidates, answers) are staged once.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -102,12 +102,27 @@ def target_values(d: Dossiers, results: DataFrame, rerun: bool = False) -> DataF
     return fill.resolve_targets(values, computed, canton)
 
 
+def synthesise(d: Dossiers, answer: Callable[[str], str], **calls) -> DataFrame:
+    """``(job_id, synthesis)`` of every job: planned, asked for whole or document by document, and merged.
+
+    Answers without valid JSON are failures; a job without any good answer has a NULL synthesis.
+    """
+    prompts = context.synthesis_prompts(d.docs, context.synthesis_plan(d.docs))
+    said = stage(responses.infer(prompts, answer, **calls).select(
+        "job_id", "doc_no", responses.json_salvage(F.col("raw")).alias("summary")), "summaries")
+    names = d.docs.select("job_id", F.col("doc_no").cast("bigint").alias("doc_no"), "filename")
+    return context.merged_synthesis(d.jobs, said.join(names, ["job_id", "doc_no"], "left"))
+
+
 def fill_forms(d: Dossiers, answer: Callable[[str], str], encoder=None, chunks: DataFrame | None = None,
-               **calls) -> tuple[DataFrame, DataFrame]:
+               summarise: Callable[[str], str] | None = None, **calls) -> tuple[DataFrame, DataFrame]:
     """(results, targets). Pass the kept ``chunks`` of an earlier run to repeat from there.
 
-    ``calls`` go to :func:`responses.infer`: tries, pause, tasks.
+    With ``summarise``, dossiers given without a synthesis get one first. ``calls`` go to
+    :func:`responses.infer`: tries, pause, tasks.
     """
+    if d.synthesis is None and summarise is not None:
+        d = replace(d, synthesis=stage(synthesise(d, summarise, **calls), "synthesis"))
     rerun = chunks is not None
     chunks = chunks if rerun else stage(chunk_table(d.docs, encoder), "chunks")
     ranked = stage(rank_chunks(d, chunks, encoder), "ranked")

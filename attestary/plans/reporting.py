@@ -97,10 +97,10 @@ def section_view(s: Source) -> DataFrame:
 
 STATUS_EVENTS = """
 SELECT CAST(user_id AS STRING) AS job_id, event_id AS event_no, ts, CASE event_type WHEN 'view' THEN 'pending' WHEN 'click' THEN 'processing' WHEN 'purchase' THEN 'completed'
-  WHEN 'signup' THEN 'failed' ELSE 'processing' END AS status, props AS message, CAST(value / 5 AS INT) AS progress FROM {events}"""
+  WHEN 'signup' THEN 'failed' ELSE 'processing' END AS status, props AS message, CAST(floor(value / 5) AS INT) AS progress FROM {events}"""
 STATUS = f"""
-SELECT job_id, arg_max(status, struct_pack(a := ts, b := event_no)) AS status, arg_max(message, struct_pack(a := ts, b := event_no)) AS message, min(ts) AS started, max(ts) AS ended
-FROM ({plain(STATUS_EVENTS.replace('CAST(value / 5 AS INT)', '0'))}) e GROUP BY job_id"""
+SELECT job_id, arg_max(status, struct_pack(a := ts, b := event_no)) AS status, arg_max(message, struct_pack(a := ts, b := event_no)) AS message, arg_max(progress, struct_pack(a := ts, b := event_no)) AS progress, min(ts) AS started, max(ts) AS ended
+FROM ({plain(STATUS_EVENTS)}) e GROUP BY job_id"""
 
 
 def status_events(s: Source) -> DataFrame:
@@ -108,8 +108,8 @@ def status_events(s: Source) -> DataFrame:
 
 
 @query("job_status", f"""
-SELECT job_id, status, message, round_even((epoch_us((SELECT max(ts) FROM events)) - epoch_us(started)) / 1000000, 1) AS elapsed_s,
+SELECT job_id, status, message, progress, round_even((epoch_us((SELECT max(ts) FROM events)) - epoch_us(started)) / 1000000, 1) AS elapsed_s,
   CASE WHEN status IN ('completed', 'failed') THEN round_even((epoch_us(ended) - epoch_us(started)) / 1000000, 1) END AS duration_s FROM ({STATUS}) x""")
 def job_status(s: Source) -> DataFrame:
     now = s.table("events").agg(F.max("ts").cast("timestamp")).scalar()
-    return R.job_status(status_events(s), now).drop("progress")
+    return R.job_status(status_events(s), now)

@@ -52,15 +52,15 @@ def read_dossiers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_uploads(spark: SparkSession, path: str) -> DataFrame:
-    """``<job>/file`` bytes, numbered in the order they came in, then by name.
+    """``<job>/file`` bytes, numbered by name within the job.
 
     Names are numbered first and meet the contents afterwards: no bytes are sorted.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     job, name = F.regexp_extract("path", r"([^/]+)/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)$", 1)
-    n = F.row_number().over(W.partitionBy("job_id").orderBy("modificationTime", "name")) - 1
-    numbered = (files.select("path", "modificationTime", job.alias("job_id"), name.alias("name"))
-                .withColumn("file_no", n).drop("modificationTime"))
+    n = F.row_number().over(W.partitionBy("job_id").orderBy("name")) - 1
+    numbered = (files.select("path", job.alias("job_id"), name.alias("name"))
+                .withColumn("file_no", n))
     contents = files.select("path", F.substring("content", 1, 4).cast("string").alias("head"),
                             F.col("length").alias("size"), "content")
     return (numbered.join(contents, "path")

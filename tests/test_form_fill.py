@@ -65,3 +65,35 @@ def test_fill_and_rerun(spark, dossiers):
     _, again = P.fill_forms(dossiers, canned(KNOWN), chunks=chunks, pause=0.0)
     kept = {r["name"] for r in again.where("job_id = 'j1' AND target = 'xml_path'").collect()}
     assert kept == {"f/canton", "f/name", "f/sex", "f/date"}
+
+
+def test_synthesis_comes_from_the_documents(spark, dossiers):
+    bare = P.Dossiers(dossiers.jobs, dossiers.docs, dossiers.fields)
+
+    def summary(prompt):
+        if "Jean Martin" in prompt:
+            return "no JSON at all"
+        return 'Voici : {"patient": {"nom": "Dubois"}, "diagnostics": ["d1"], "dates_cles": {"debut": "15.03.2025"}} fin'
+    got = {r.job_id: r.synthesis for r in P.synthesise(bare, summary, pause=0.0).collect()}
+    assert got["j2"] is None
+    assert json.loads(got["j1"]) == {"patient": {"nom": "Dubois"}, "diagnostics": ["d1"], "dates_cles": {"debut": "15.03.2025"}}
+
+    results, _ = P.fill_forms(bare, canned(KNOWN), summarise=summary, pause=0.0)
+    assert {r.field_id for r in results.where("job_id = 'j1' AND grounding = 'verified'").collect()} == {"1.1", "2.1"}
+
+
+def test_several_summaries_keep_every_version(spark):
+    from attestary.operators import context
+    jobs = spark.createDataFrame([("a",), ("b",), ("c",)], "job_id string")
+    rows = [("a", 1, 'x "1".pdf', '{"patient": {"nom": "A"}, "diagnostics": ["d1", {"code": "M54"}], "dates_cles": {"d": "1"}, "pronostic": null}'),
+            ("a", 2, "y.pdf", '{"patient": {"nom": "B"}, "diagnostics": [], "pronostic": "bon \\"oui\\""}'), ("a", 3, "z.pdf", None),
+            ("b", 1, "x.pdf", '{"pronostic": "seul"}')]
+    summaries = spark.createDataFrame(rows, "job_id string, doc_no bigint, filename string, summary string")
+    got = {r.job_id: r.synthesis for r in context.merged_synthesis(jobs, summaries).collect()}
+    assert got["b"] == '{"pronostic": "seul"}' and got["c"] is None
+    merged = json.loads(got["a"])
+    assert merged == {
+        "patient": [{"document_source": 'x "1".pdf', "valeur": {"nom": "A"}}, {"document_source": "y.pdf", "valeur": {"nom": "B"}}],
+        "diagnostics": [{"document_source": 'x "1".pdf', "valeur": "d1"}, {"document_source": 'x "1".pdf', "valeur": {"code": "M54"}}],
+        "dates_cles": [{"document_source": 'x "1".pdf', "valeur": {"d": "1"}}],
+        "pronostic": [{"document_source": "y.pdf", "valeur": 'bon "oui"'}]}

@@ -178,3 +178,18 @@ def test_duplicate_siblings_get_indices(spark):
     nodes = spark.createDataFrame(rows, "form_id string, node int, parent int, ord int, name string")
     got = {r.node: r.xml_path for r in T.node_paths(nodes).collect()}
     assert got == {1: "form", 2: "form/phone", 3: "form/phone[1]", 4: "form/phone[1]/x"}
+
+
+def test_canton_table_skips_empty_cases_and_markup(spark):
+    from attestary.operators import templates
+    script = ("switch (c) {<br/>case 'VD': {a.companyName.rawValue=&quot;Office &amp; VD&quot;;} break;"
+              "case 'VD': {} break; case 'GE': {a.zip.rawValue = \"1200\"; a.zip.rawValue = \"1201\";} break; }")
+    got = templates.canton_table(spark.createDataFrame([("F", script)], "form_id string, script string")).collect()
+    assert sorted((r.canton, r["name"], r.value) for r in got) == [("GE", "zip", "1201"), ("VD", "companyName", "Office & VD")]
+
+
+def test_dense_numbers_of_null_groups(spark):
+    from attestary.operators.numbering import number_rows
+    rows = [(None, "a", i) for i in range(3000)] + [("g", None, i) for i in range(5)]
+    got = number_rows(spark.createDataFrame(rows, "g string, h string, o int"), ["g", "h"], "o", "n").collect()
+    assert len(got) == 3005 and all(r.n == r.o for r in got)
