@@ -8,7 +8,7 @@ from array import array
 
 from attestary.llm.common import worker_state
 
-REMEMBERED = 500_000  # words a worker process remembers; further ones are encoded each time they occur
+REMEMBERED = 600_000  # words a worker process remembers; further ones are encoded each time they occur
 CLOSERS = ".,;:!?%$&*#|"
 # a blank before a word belongs to it, the last of several as well
 SPACED = re.compile(r" ?\S+|\s+(?!\S)|\s+")
@@ -38,7 +38,7 @@ class WordIds(dict):
         stem = unit.rstrip(CLOSERS)
         letters = stem[1:] if stem[:1] == " " else stem
         # below U+0100 letters and closing signs never join, and case changes letter by letter
-        if not letters.isalpha() or max(letters) >= "\u0100":
+        if not letters.isalpha() or not (letters.isascii() or max(letters) < "\u0100"):
             ids = self.encode(unit)
         elif len(stem) < len(unit):
             ids = self[stem] + self[unit[len(stem):]]
