@@ -117,15 +117,18 @@ def node_type(ui: Column, tag: Column, options: Column) -> Column:
     return F.when((tag == "exclGroup") & (F.size(options) > 0), "choice").otherwise(by_ui)
 
 
+def named_widgets(widgets: DataFrame) -> DataFrame:
+    """``form_id, canon, widget, widget_value``: one widget per canonical name; of several, the last listed."""
+    return (widgets.withColumn("canon", canonical_som(F.col("widget")))
+            .groupBy("form_id", "canon")
+            .agg(F.max_by(F.struct("widget", "value"), "ord").alias("_w"))
+            .select("form_id", "canon", "_w.widget", F.col("_w.value").alias("widget_value")))
+
+
 def match_widgets(nodes: DataFrame, widgets: DataFrame) -> DataFrame:
-    """Adds the widget whose canonical name is the node's; of several, the last listed."""
-    named = (widgets.withColumn("canon", canonical_som(F.col("widget")))
-             .groupBy("form_id", "canon")
-             .agg(F.max_by(F.struct("widget", "value"), "ord").alias("_w")))
+    """Adds the widget whose canonical name is the node's."""
     return (nodes.withColumn("canon", canonical_som(F.col("som")))
-            .join(named, ["form_id", "canon"], "left")
-            .withColumn("widget", F.col("_w.widget")).withColumn("widget_value", F.col("_w.value"))
-            .drop("_w"))
+            .join(named_widgets(widgets), ["form_id", "canon"], "left"))
 
 
 def prior_index(prior: DataFrame) -> DataFrame:

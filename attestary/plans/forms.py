@@ -4,7 +4,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from attestary import fixed
 from attestary.operators import templates as D
+from attestary.plans.derive import Forms, derive_templates
 from attestary.plans.registry import Source, plain, query
+from attestary.session import stage
 
 PAGE = """CASE p_type WHEN 'ECONOMY' THEN 'patientS1Address' WHEN 'MEDIUM' THEN 'employerS1Address' WHEN 'PROMO' THEN 'adiagnosisS1Struct'
   WHEN 'LARGE' THEN 'anamnesis' WHEN 'SMALL' THEN 'Seite1' ELSE 'Seite2' END"""
@@ -57,13 +59,16 @@ def vocabularies(s: Source) -> tuple[DataFrame, DataFrame, DataFrame]:
 ROLE = "CASE page WHEN 'patientS1Address' THEN 'du patient' WHEN 'employerS1Address' THEN 'de l''employeur' END"
 
 
-@query("describe", f"""
-WITH {PATHS}, q AS (SELECT *, {ROLE} AS role FROM p)
-SELECT form_id, node, CASE WHEN page = 'adiagnosisS1Struct' AND name = 'code' THEN 'Code CIM du diagnostic ?'
+WORDING = """CASE WHEN page = 'adiagnosisS1Struct' AND name = 'code' THEN 'Code CIM du diagnostic ?'
     WHEN page = 'anamnesis' AND name = 'phone' THEN 'Numéro noté ?' WHEN name = 'code' THEN 'Quel code ?'
     WHEN role IS NULL THEN '' WHEN name = 'lastName' THEN 'Quel est le nom ' || role || ' ?'
-    WHEN name = 'city' THEN 'Quelle est la localité de l''adresse ' || role || ' ?' ELSE '' END AS question,
-  CASE WHEN page = 'anamnesis' AND name = 'phone' THEN 'int' WHEN name = 'city' THEN 'date' END AS vocab_type FROM q""")
+    WHEN name = 'city' THEN 'Quelle est la localité de l''adresse ' || role || ' ?' ELSE '' END"""
+VOCAB_TYPE = "CASE WHEN page = 'anamnesis' AND name = 'phone' THEN 'int' WHEN name = 'city' THEN 'date' END"
+
+
+@query("describe", f"""
+WITH {PATHS}, q AS (SELECT *, {ROLE} AS role FROM p)
+SELECT form_id, node, {WORDING} AS question, {VOCAB_TYPE} AS vocab_type FROM q""")
 def describe(s: Source) -> DataFrame:
     return D.describe(paths(s), *vocabularies(s)).select("form_id", "node", "question", "vocab_type")
 
@@ -90,19 +95,24 @@ def node_types(s: Source) -> DataFrame:
         "form_id", "node", D.node_type(F.col("ui"), F.col("tag"), F.col("options")).alias("type"))
 
 
-def widgets(rows: DataFrame) -> DataFrame:
+def widgets(rows: DataFrame, which: str = "node % 3 > 0") -> DataFrame:
     w = F.regexp_replace("som", r"^form\[0\]\.", "form[0].#area[0].")
-    return rows.where("node % 3 > 0").select("form_id", "ord", w.alias("widget"), F.when(
+    return rows.where(which).select("form_id", "ord", w.alias("widget"), F.when(
         F.col("node") % 5 == 0, "<TT.MM.JJJJ>").when(F.col("node") % 5 == 1, " ").otherwise(F.col("name")).alias("value"))
 
 
-WIDGETS = f"""{PATHS},
+def widgets_sql(which: str) -> str:
+    return f"""
 w AS (SELECT form_id, som, replace(som, 'form[0].', 'form[0].#area[0].') AS widget,
-  CASE node % 5 WHEN 0 THEN '<TT.MM.JJJJ>' WHEN 1 THEN ' ' ELSE name END AS value FROM p WHERE node % 3 > 0)"""
+  CASE node % 5 WHEN 0 THEN '<TT.MM.JJJJ>' WHEN 1 THEN ' ' ELSE name END AS value FROM p WHERE {which})"""
+
+
+WIDGETS = f"{PATHS}, {widgets_sql('node % 3 > 0')}"
+PRESET = "CASE WHEN trim(value) <> '' AND value NOT LIKE '<%' THEN value END"
 
 
 @query("match_widgets", f"""
-WITH {WIDGETS} SELECT p.form_id, p.node, w.widget, CASE WHEN trim(value) <> '' AND value NOT LIKE '<%' THEN value END AS preset
+WITH {WIDGETS} SELECT p.form_id, p.node, w.widget, {PRESET} AS preset
 FROM p LEFT JOIN w ON p.form_id = w.form_id AND p.som = w.som""")
 def match_widgets(s: Source) -> DataFrame:
     p = paths(s)
@@ -118,7 +128,7 @@ def prior(rows: DataFrame) -> DataFrame:
         F.when(n % 10 != 0, F.concat(F.lit("Q"), n.cast("string"))).alias("question"),
         F.when(n % 4 == 0, F.col("som")).otherwise(F.concat(F.lit("gone"), n.cast("string"))).alias("acroform_name"),
         F.when(n % 3 == 0, F.concat(F.lit("other/"), F.col("xml_path"))).alias("xml_path"),
-        F.lit(None).cast("string").alias("type"), F.lit(True).alias("required"))
+        F.when(n % 8 == 0, "percent").alias("type"), F.lit(True).alias("required"))
 
 
 MERGED = f"""{PATHS},
@@ -146,17 +156,45 @@ def orphans(s: Source) -> DataFrame:
     return D.orphans(prior(p), D.merge_prior(p, prior(p)))
 
 
-@query("number_sections", f"""
-WITH {MERGED}, h AS (SELECT form_id, max(TRY_CAST(split_part(field_id, '.', 1) AS INT)) AS top FROM ix GROUP BY form_id),
-r AS (SELECT *, TRY_CAST(split_part(old, '.', 1) AS INT) AS sec, CASE WHEN som LIKE '%.%' THEN page ELSE 'misc' END AS pg FROM m),
+def sections_sql(rows: str) -> str:
+    return f"""
+h AS (SELECT form_id, max(TRY_CAST(split_part(field_id, '.', 1) AS INT)) AS top FROM ix GROUP BY form_id),
+r AS (SELECT *, TRY_CAST(split_part(old, '.', 1) AS INT) AS sec, CASE WHEN som LIKE '%.%' THEN page ELSE 'misc' END AS pg FROM {rows}),
 g AS (SELECT form_id, pg, row_number() OVER (PARTITION BY form_id ORDER BY min(ord)) AS k FROM r WHERE sec IS NULL GROUP BY form_id, pg),
-z AS (SELECT r.form_id, node, ord, coalesce(sec, coalesce(top, 0) + k) AS section_no FROM r LEFT JOIN h USING (form_id) LEFT JOIN g USING (form_id, pg))
-SELECT form_id, node, CAST(section_no AS BIGINT) AS section_no, section_no || '.' || row_number() OVER (PARTITION BY form_id, section_no ORDER BY ord) AS field_id FROM z""")
+z AS (SELECT r.*, coalesce(sec, coalesce(top, 0) + k) AS section_no FROM r LEFT JOIN h USING (form_id) LEFT JOIN g USING (form_id, pg)),
+numbered AS (SELECT *, section_no || '.' || row_number() OVER (PARTITION BY form_id, section_no ORDER BY ord) AS field_id FROM z)"""
+
+
+@query("number_sections", f"""
+WITH {MERGED}, {sections_sql('m')} SELECT form_id, node, CAST(section_no AS BIGINT) AS section_no, field_id FROM numbered""")
 def number_sections(s: Source) -> DataFrame:
     p = paths(s)
     return D.number_sections(D.merge_prior(p, prior(p)), prior(p)).select("form_id", "node", "section_no", "field_id")
 
 
+WITH_WIDGETS = "node % 3 <> 0"
+
+
+@query("derive_template", f"""
+WITH {MERGED}, {widgets_sql(WITH_WIDGETS)}, {OPTIONS},
+f AS (SELECT p.*, m.question AS kept, m.old, w.widget, w.value, {ROLE.replace('page', 'p.page')} AS role
+  FROM p JOIN m ON p.form_id = m.form_id AND p.node = m.node LEFT JOIN w ON p.form_id = w.form_id AND p.som = w.som),
+ok AS (SELECT form_id FROM f GROUP BY form_id HAVING count(widget) > 0 AND count(widget) * 2 >= count(*)),
+e AS (SELECT * FROM f WHERE widget IS NOT NULL AND form_id IN (SELECT form_id FROM ok)), {sections_sql('e')}
+SELECT n.form_id, ord, field_id, name, coalesce(nullif(trim(regexp_replace(caption, '\\s+', ' ', 'g')), ''), name) AS label,
+  coalesce(kept, {WORDING}) AS question, kept IS NOT NULL AS required, xml_path, widget AS acroform_name,
+  coalesce(CASE WHEN CAST(substr(kept, 2) AS BIGINT) % 8 = 0 THEN 'percent' END, {VOCAB_TYPE},
+    CASE WHEN tag = 'exclGroup' AND o.node IS NOT NULL THEN 'choice' WHEN ui = 'checkButton' THEN 'bool'
+      WHEN ui = 'dateTimeEdit' THEN 'date' WHEN ui = 'choiceList' THEN 'choice' END) AS type,
+  o.options, o.option_values, {PRESET} AS preset, CAST(NULL AS VARCHAR) AS computed
+FROM numbered n LEFT JOIN o ON n.form_id = o.form_id AND n.node = o.node""")
+def derive_template(s: Source) -> DataFrame:
+    p = stage(paths(s), "paths")
+    scripts = s.shape(SCRIPTS).withColumn("form_id", F.col("form_id").cast("string"))
+    fields, _ = derive_templates(Forms(nodes(s), widgets(p, WITH_WIDGETS), prior(p), *vocabularies(s), scripts))
+    return fields.withColumns({c: F.array_join(c, "|") for c in ("options", "option_values")})
+
+
 BLOCKS = """
 SELECT c_custkey AS form_id, 1 AS ord, 'companyName' AS name, CASE WHEN c_acctbal > 3000 THEN c_name END AS preset, 'f/insuranceS1Address/companyName' AS xml_path, 'Q1' AS question FROM {customer}
 UNION ALL SELECT c_custkey, 2, 'street', CASE WHEN c_nationkey > 5 THEN concat(' Rue ', CAST(c_nationkey AS STRING)) END, 'f/consumerS1Address/street', 'Q2' FROM {customer}
