@@ -173,7 +173,8 @@ def make_corpus(plan: DataFrame, truth: DataFrame, templates: DataFrame, noise:
         x.rlike(mark), F.coalesce(F.try_element_at("_v", F.regexp_extract(x, mark, 1)), F.lit("")))
         .otherwise(x)), "")
     n = noise.agg(F.count(F.lit(1))).scalar()
-    drawn = F.pmod(F.xxhash64(F.lit(seed), F.col("job_id"), F.col("doc_no")), n)
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("job_id").cast("string"), F.col("doc_no").cast("string")))
+    drawn = F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint") % n
     other = noise.select(F.col("no").alias("_no"), F.col("text").alias("_noise"))
     return (plan.withColumn("_no", F.when(F.col("kind") == "noise", drawn))
             .join(templates, "style", "left").join(values, "job_id", "left")

@@ -16,6 +16,7 @@ CHUNK_BLOCK = 512
 QUESTION_BLOCK = 256
 SCORE_DIGITS = 9
 SALTS = 64
+LSH_BANDS, LSH_BITS, LSH_SEED = 12, 4, 7
 
 
 # --- vectors --------------------------------------------------------------------------------
@@ -150,8 +151,13 @@ def rank_top(scored: DataFrame, order: list[Column], k: int,
     return scored.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def sign_planes(dim: int, bands: int = LSH_BANDS, bits: int = LSH_BITS, seed: int = LSH_SEED) -> np.ndarray:
+    """One column per plane, those of a band side by side."""
+    return np.random.default_rng(seed).standard_normal((dim, bands * bits))
+
+
 def _sign_bands(dim: int, bands: int, bits: int, seed: int):
-    planes = np.random.default_rng(seed).standard_normal((dim, bands * bits))
+    planes = sign_planes(dim, bands, bits, seed)
 
     @pandas_udf(T.ArrayType(T.IntegerType()))
     def signature(vectors: pd.Series) -> pd.Series:
@@ -169,7 +175,7 @@ def dot(a: Column, b: Column) -> Column:
 
 
 def knn_lsh(questions: DataFrame, chunks: DataFrame, dim: int, k: int = fixed.KNN_K,
-            bands: int = 12, bits: int = 4, seed: int = 7) -> DataFrame:
+            bands: int = LSH_BANDS, bits: int = LSH_BITS, seed: int = LSH_SEED) -> DataFrame:
     """Approximate top ``k``: only chunks that share a band of sign bits with the question.
 
     A pair sharing several bands is scored once, at the first of them.

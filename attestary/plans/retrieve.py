@@ -15,12 +15,13 @@ def words_sql(table: str, key: str, text: str) -> str:
 
 
 @query("embed", f"""
-SELECT doc_id, count(*) AS buckets, round(1.0, 6) AS length FROM ({words_sql('documents', 'doc_id', 'text')}) x GROUP BY doc_id""")
+WITH c AS ({words_sql('documents', 'doc_id', 'text')})
+SELECT doc_id, bucket, round(c / sqrt(sum(c * c) OVER (PARTITION BY doc_id)), 6) AS value FROM c""")
 def embed(s: Source) -> DataFrame:
+    """The buckets of every text that hold a word, with their values."""
     e = R.embed(s.table("documents").select("doc_id", "text"), "text")
-    squares = F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)
-    return e.select("doc_id", F.size(F.filter("embedding", lambda x: x > 0)).cast("bigint").alias("buckets"),
-                    F.round(F.sqrt(squares), 6).alias("length"))
+    return (e.select("doc_id", F.posexplode("embedding").alias("bucket", "value")).where("value > 0")
+            .select("doc_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("value", 6).alias("value")))
 
 
 @query("embed_tfidf")
@@ -54,10 +55,31 @@ def knn(s: Source) -> DataFrame:
                       F.col("rank").cast("bigint").alias("rank"))
 
 
-@query("knn_lsh")
+LSH_DIM = 64
+
+
+def lsh_sql() -> str:
+    """The same planes as values: vectors on the same side of all planes of a band may be neighbours."""
+    planes = R.sign_planes(LSH_DIM)
+    sides = [[f"list_dot_product(v, {planes[:, i].tolist()}::DOUBLE[]) > 0" for i in range(b, b + R.LSH_BITS)]
+             for b in range(0, planes.shape[1], R.LSH_BITS)]
+    bands = ", ".join("[" + ", ".join(band) + "]" for band in sides)
+    return f"""
+WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+s AS (SELECT *, [{bands}] AS s FROM v),
+q AS (SELECT j.job_id, f.* FROM (SELECT DISTINCT label AS job_id FROM s) j
+  JOIN (SELECT label AS field_id, v AS qv, s AS qs FROM s QUALIFY row_number() OVER (PARTITION BY label ORDER BY vec_id) = 1) f ON true),
+p AS (SELECT job_id, field_id, vec_id AS chunk_no, round(list_dot_product(qv, v), 9) AS score FROM q JOIN s ON s.label = q.job_id
+  WHERE len(list_filter(range(1, len(s) + 1), lambda i: qs[i] = s[i])) > 0)
+SELECT job_id, field_id, chunk_no, round(score, 4) AS score, row_number() OVER (PARTITION BY job_id, field_id ORDER BY score DESC, chunk_no) AS rank
+FROM p QUALIFY rank <= 30"""
+
+
+@query("knn_lsh", lsh_sql())
 def knn_lsh(s: Source) -> DataFrame:
     """Approximate; its share of the exact neighbours is checked in the tests."""
-    return R.knn_lsh(s.shape(QUESTIONS), s.shape(VECTORS), dim=64)
+    out = R.knn_lsh(s.shape(QUESTIONS), s.shape(VECTORS), dim=LSH_DIM)
+    return out.select("job_id", "field_id", "chunk_no", F.round("score", 4).alias("score"), F.col("rank").cast("bigint").alias("rank"))
 
 
 # --- texts: documents are the chunks of their source, benchmark items the questions -----------

@@ -162,12 +162,17 @@ def norm(s: Source) -> DataFrame:
         "doc_id", F.md5("n").alias("norm"), F.md5(X.squash(F.col("n"))).alias("squash"))
 
 
-@query("norm_offsets")
+@query("norm_offsets", r"""
+WITH c AS (SELECT doc_id, unnest(string_split(text, '')) AS ch, generate_subscripts(string_split(text, ''), 1) - 1 AS pos FROM documents),
+k AS (SELECT doc_id, pos, regexp_matches(strip_accents(lower(ch)), '[\p{L}\p{N}]') AS solid FROM c),
+m AS (SELECT *, lag(solid) OVER (PARTITION BY doc_id ORDER BY pos) AS after, max(CASE WHEN solid THEN pos END) OVER (PARTITION BY doc_id) AS last FROM k),
+o AS (SELECT doc_id, count(*) AS n, md5(string_agg(pos, ',' ORDER BY pos)) AS digest FROM m WHERE (solid OR after) AND pos <= last GROUP BY doc_id)
+SELECT doc_id, coalesce(n, 0) AS chars, coalesce(n, 0) AS offsets, coalesce(digest, md5('')) AS digest FROM documents LEFT JOIN o USING (doc_id)""")
 def norm_offsets(s: Source) -> DataFrame:
-    """Every normal character and the offset it came from; checked against the text in the tests."""
-    m = s.table("documents").select("doc_id", X.norm_map("text").alias("m"))
-    return m.select("doc_id", F.length("m.norm").alias("chars"), F.size("m.origin").alias("offsets"),
-                    F.try_element_at("m.origin", F.lit(-1)).alias("last_origin"))
+    """Every normal character has the offset it came from."""
+    m = s.table("documents").select("doc_id", X.norm_map(F.coalesce("text", F.lit(""))).alias("m"))
+    return m.select("doc_id", F.length("m.norm").cast("bigint").alias("chars"), F.size("m.origin").cast("bigint").alias("offsets"),
+                    F.md5(F.array_join("m.origin", ",")).alias("digest"))
 
 
 DATES = """

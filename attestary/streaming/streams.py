@@ -154,7 +154,7 @@ class RunFigures(StatefulProcessor):
             n, seconds = n + len(timed), seconds + float(timed["seconds"].sum())
             documents += int(pdf["documents"].fillna(0).sum())
             kept += list(zip(timed["log_no"].astype(int).tolist(), timed["seconds"].tolist()))
-            kept = sorted(kept)[-fixed_recent:]
+            kept = sorted(kept)[-fixed.RECENT_RUNS:]
         self.totals.update((n, seconds, documents))
         self.recent.put(kept)
         yield pd.DataFrame([(key[0], int(key[1]), n, seconds, documents, [k for k, _ in kept],
@@ -164,7 +164,6 @@ class RunFigures(StatefulProcessor):
         pass
 
 
-fixed_recent = fixed.RECENT_RUNS
 SALTS = 16
 
 
