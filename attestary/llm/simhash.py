@@ -1,7 +1,12 @@
-"""SimHash near-dedup with pigeonring filtering."""
+"""SimHash near-dedup with pigeonring filtering.
+
+``near_groups`` links by one 64-bit fingerprint of 4-word shingles. ``similar_groups`` links by the
+similarity of 5-word shingle sets: several fingerprints propose, an exact check decides.
+"""
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,13 +16,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestary.llm.common import unfolded, whole
+from attestary.llm.common import unfolded, whole, worker_state
 from attestary.llm.components import components
 from attestary.session import stage
 
 BITS = 64
 CHUNK = 1 << 16  # shingle hashes counted at once
-SEGMENT_SHIFT = 58  # a bucket's number: the chain's first segment above its key bits
+FAMILY_SHIFT, SEGMENT_SHIFT = 48, 58  # a bucket's number: family and the chain's first segment above its key bits
+NOBODY = 2 ** 63 - 1  # a null id stands behind all others
+WORDS = 300_000  # words whose hashes a worker process remembers
 
 
 def simhash(text: str | None, shingle: int, seed: int = 42) -> int:
@@ -126,10 +133,14 @@ def _bucket_rows(max_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = batch.column(0).to_numpy().view(np.uint64)
-            for i in range(0, len(prints), CHUNK):
-                buckets, values = _keys(prints[i:i + CHUNK], max_bits)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(buckets.view(np.int64)), pa.array(values.view(np.int64))], ["bucket", "print"])
+            family = batch.column(1).to_numpy()
+            for f in np.unique(family).tolist():
+                mine = prints[family == f]
+                for i in range(0, len(mine), CHUNK):
+                    buckets, values = _keys(mine[i:i + CHUNK], max_bits)
+                    buckets |= np.uint64(f << FAMILY_SHIFT)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(buckets.view(np.int64)), pa.array(values.view(np.int64))], ["bucket", "print"])
     return run
 
 
@@ -139,14 +150,15 @@ def _bucket_links(max_bits: int):
         kept_b, kept_p = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def links(b: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-            left, right = [], []
+            left, right, family = [], [], []
             edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
             for s, e in zip(edge[:-1][np.diff(edge) > 1].tolist(), edge[1:][np.diff(edge) > 1].tolist()):
                 u, v = _span(p[s:e].view(np.uint64), chains[int(b[s]) >> SEGMENT_SHIFT])
                 left += u
                 right += v
+                family += [int(b[s]) >> FAMILY_SHIFT & (1 << SEGMENT_SHIFT - FAMILY_SHIFT) - 1] * len(u)
             ends = [np.array(x, dtype=np.uint64).view(np.int64) for x in (left, right)]
-            return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], ["u", "v"])
+            return pa.RecordBatch.from_arrays([*map(pa.array, ends), pa.array(family, pa.int32())], ["u", "v", "family"])
 
         for batch in batches:
             b = np.concatenate([kept_b, batch.column(0).to_numpy()])
@@ -162,14 +174,16 @@ def _bucket_links(max_bits: int):
 
 
 def near_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
-    """Links ``u, v`` that connect the same fingerprints as all pairs at ``max_bits`` or fewer would.
+    """Links ``u, v, family`` that connect the same fingerprints as all pairs at ``max_bits`` or fewer would.
 
-    ``prints``: distinct fingerprints, one column. Not every pair is given: a bucket gives a
-    spanning forest of its links, so a large group of near copies costs no quadratic output.
+    ``prints``: distinct ``print`` and, where there are several independent fingerprints, the ``family``
+    (0..1023) each belongs to; only those of one family meet. Not every pair is given: a bucket gives
+    a spanning forest of its links, so a large group of near copies costs no quadratic output.
     """
-    rows = prints.mapInArrow(_bucket_rows(max_bits), "bucket long, print long")
+    family = F.col("family").cast("int") if "family" in prints.columns else F.lit(0)
+    rows = prints.select("print", family.alias("family")).mapInArrow(_bucket_rows(max_bits), "bucket long, print long")
     rows = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(_bucket_links(max_bits), "u long, v long").distinct()
+    return rows.mapInArrow(_bucket_links(max_bits), "u long, v long, family int").distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -185,7 +199,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFra
                              fingerprint(F.col("text"), shingle).alias("print")), "prints")
     least = rows.groupBy("print").agg(F.min("doc_id").alias("least"))
     least = stage(least, "distinct-prints")
-    roots = components(near_links(least.select("print"), max_bits))
+    roots = components(near_links(least.select("print"), max_bits).select("u", "v"))
     rooted = (least.join(roots.withColumnRenamed("node", "print"), "print", "left")
               .withColumn("root", F.coalesce("root", "print")))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -206,3 +220,127 @@ def keep_one_of_each(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> Da
     rows = docs.select(whole(docs), F.coalesce("doc_id", nobody).alias("id"), F.xxhash64("text").alias("row"))
     kept = rows.join(keep, ["id", "row"]).dropDuplicates(["id", "row", "root"])
     return unfolded(kept, docs)
+
+
+# --- similarity of shingle sets ---------------------------------------------------------------
+
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        value = xxhash.xxh64_intdigest(word, 42)
+        if len(self) < WORDS:
+            self[word] = value
+        return value
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """A hash of every run of ``shingle`` words, or of the whole sequence if it is shorter."""
+    known = worker_state("simhash-words", _WordHashes)
+    h = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=len(words))
+    k = min(shingle, len(h))
+    total = np.zeros(max(0, len(h) - k + 1) if k else 0, dtype=np.uint64)
+    for i in range(k):
+        total = _mixed(total + h[i:i + len(total)])
+    return total
+
+
+def shingle_set(text: str | None, shingle: int) -> np.ndarray:
+    """The distinct shingle hashes of a text in ascending order; none for a text without words."""
+    return np.unique(shingle_hashes((text or "").encode().lower().split(), shingle))
+
+
+def family_prints(hashes: np.ndarray, families: int) -> list[int]:
+    """One fingerprint per family: each family hashes the shingles anew."""
+    out = []
+    for f in range(1, families + 1):
+        ones = np.zeros(BITS, dtype=np.int64)
+        for i in range(0, len(hashes), CHUNK // 2):
+            octets = _mixed(hashes[i:i + CHUNK // 2] ^ np.uint64(f * 0x9E3779B97F4A7C15 % 2 ** 64)).view(np.uint8)
+            ones += np.unpackbits(octets.reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
+        out.append(int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0]))
+    return out
+
+
+def _similar_sketch(shingle: int, families: int, narrow: int):
+    @F.pandas_udf("key string, prints array<long>")
+    def run(texts: pd.Series) -> pd.DataFrame:
+        out = []
+        for t in texts:
+            words = (t or "").encode().lower().split()
+            members = np.unique(shingle_hashes(words, shingle))
+            prints = family_prints(shingle_hashes(words, narrow), families) if words else []
+            out.append((hashlib.blake2b(members.tobytes(), digest_size=16).hexdigest(), prints))
+        return pd.DataFrame(out, columns=["key", "prints"])
+    return run
+
+
+def _sets(shingle: int):
+    @F.pandas_udf("array<long>")
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([shingle_set(t, shingle).view(np.int64) for t in texts], dtype=object)
+    return run
+
+
+def similar_links(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, max_bits: int) -> DataFrame:
+    """Links ``u, v`` between keys of ``rows(id, row, key, prints)`` whose shingle sets are that similar.
+
+    Keys with an equal fingerprint are proposed as a star, those within ``max_bits`` as a spanning
+    forest of each bucket. Of the proposed keys alone, one text each is read again for the exact check.
+    """
+    keys = rows.groupBy("key").agg(F.min(F.struct("id", "row")).alias("at"), F.first("prints").alias("prints"))
+    keys = stage(keys, "shingle-sets")
+    printed = keys.select("key", F.posexplode("prints").alias("family", "print"))
+    hubs = stage(printed.groupBy("family", "print").agg(F.min("key").alias("hub")), "family-prints")
+    near = near_links(hubs.select("print", "family"), max_bits)
+    ends = [hubs.select("family", F.col("print").alias(c), F.col("hub").alias(f"_{c}")) for c in ("u", "v")]
+    near = (near.join(ends[0], ["family", "u"]).join(ends[1], ["family", "v"])
+            .select(F.col("_u").alias("u"), F.col("_v").alias("v")))
+    equal = printed.join(hubs, ["family", "print"]).where("key <> hub").select(F.col("hub").alias("u"), F.col("key").alias("v"))
+    proposed = stage(near.union(equal).where("u <> v")
+                     .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "proposed")
+    asked = proposed.select(F.col("u").alias("key")).union(proposed.select("v")).distinct()
+    places = keys.join(asked, "key", "left_semi").select("key", F.col("at.id").alias("id"), F.col("at.row").alias("row"))
+    texts = docs.select(F.coalesce("doc_id", F.lit(NOBODY)).alias("id"), F.xxhash64("text").alias("row"), "text")
+    sets = texts.join(places, ["id", "row"]).dropDuplicates(["key"]).select("key", _sets(shingle)("text").alias("members"))
+    sets = stage(sets, "members")
+    pairs = (proposed.join(sets.select(F.col("key").alias("u"), F.col("members").alias("_a")), "u")
+             .join(sets.select(F.col("key").alias("v"), F.col("members").alias("_b")), "v"))
+    both = F.size(F.array_intersect("_a", "_b"))
+    return pairs.where(both >= F.lit(similarity) * (F.size("_a") + F.size("_b") - both)).select("u", "v")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, families: int = 8,
+                   narrow: int = 2, max_bits: int = 4) -> DataFrame:
+    """``id, row, root`` of every document: those of one ``root`` reach each other over similar texts.
+
+    Texts are similar if the Jaccard similarity of their sets of ``shingle``-word shingles is
+    ``similarity`` or more. At 0.8 one 64-bit fingerprint of these shingles differs in nine bits, too
+    many for segments; so fingerprints are taken of ``narrow``-word shingles, which an edit changes less,
+    in ``families`` independent hashes, any of which may come within ``max_bits``. What they propose is
+    checked exactly, so no link is wrong; the README gives the share of links found.
+
+    Equal sets are one node, so copies cost one row. Nulls: a null text has no words; texts without
+    words are alike and like no other. ``id`` is ``doc_id`` (null ids behind all others), ``row`` the hash
+    of the text. Repeated rows share a root; other columns are ignored; an empty table gives no rows.
+    """
+    rows = docs.select(F.coalesce("doc_id", F.lit(NOBODY)).alias("id"), F.xxhash64("text").alias("row"),
+                       _similar_sketch(shingle, families, narrow)("text").alias("s"))
+    rows = stage(rows.select("id", "row", "s.key", "s.prints"), "sketches")
+    roots = components(similar_links(rows, docs, shingle, similarity, max_bits))
+    return (rows.drop("prints").join(roots.withColumnRenamed("node", "key"), "key", "left")
+            .select("id", "row", F.coalesce("root", "key").alias("root")))
+
+
+def keep_one_of_similar(docs: DataFrame, **settings) -> DataFrame:
+    """One document of each group of similar texts stays, with all its columns: that of the smallest id;
+    where rows share that id, the one with the smallest text hash. ``settings`` go to ``similar_groups``."""
+    groups = similar_groups(docs, **settings)
+    first = groups.groupBy("root").agg(F.min(F.struct("id", "row")).alias("m"))
+    keep = first.select(F.col("m.id").alias("id"), F.col("m.row").alias("row"))
+    rows = docs.select(whole(docs), F.coalesce("doc_id", F.lit(NOBODY)).alias("id"), F.xxhash64("text").alias("row"))
+    return unfolded(rows.join(keep, ["id", "row"]).dropDuplicates(["id", "row"]), docs)

@@ -85,6 +85,55 @@ def test_simhash_groups(tables, kind):
     assert len(kept.collect()) == len(least)
 
 
+@pytest.mark.parametrize("kind", KINDS)
+def test_similar_groups(tables, kind):
+    """No group reaches beyond true links of 5-word shingle sets, and nearly all true links are found."""
+    docs = tables[kind]
+    rows = [(2 ** 63 - 1 if r.doc_id is None else r.doc_id, r.text) for r in docs.collect()]
+    sets = {}
+    for _, text in rows:
+        words = WORDS.findall(lower(text or ""))
+        k = min(5, len(words))
+        sets[text] = frozenset(tuple(words[i:i + k]) for i in range(len(words) - k + 1)) if words else frozenset()
+    distinct = list(set(sets.values()))
+    parent = {s: s for s in distinct}
+
+    def top(s):
+        while parent[s] is not s:
+            s = parent[s]
+        return s
+    holders = defaultdict(list)
+    for s in distinct:
+        for x in s:
+            holders[x].append(s)
+    links = set()
+    for s in distinct:
+        shared = Counter(map(id, (o for x in s for o in holders[x])))
+        links |= {(s, o) for o in {id(o): o for x in s for o in holders[x]}.values()
+                  if o is not s and shared[id(o)] >= 0.8 * (len(s) + len(o) - shared[id(o)])}
+    for a, b in links:
+        parent[top(a)] = top(b)
+    got = simhash.similar_groups(docs).collect()
+    assert len(got) == len(rows)
+    hashes = dict(docs.select("text", F.xxhash64("text")).distinct().collect())
+    root = {(r.id, r.row): r.root for r in got}
+    of_set, reach = {}, defaultdict(set)
+    for name, text in rows:
+        r = root[name, hashes[text]]
+        assert of_set.setdefault(sets[text], r) == r
+        reach[r].add(top(sets[text]))
+    assert all(len(tops) == 1 for tops in reach.values())
+    assert sum(of_set[a] == of_set[b] for a, b in links) >= 0.95 * len(links)
+    kept = simhash.keep_one_of_similar(docs)
+    assert kept.columns == docs.columns
+    first = {}
+    for name, text in rows:
+        key = root[name, hashes[text]]
+        first[key] = min(first.get(key, (name, hashes[text])), (name, hashes[text]))
+    assert sorted(first.values()) == sorted(
+        (2 ** 63 - 1 if r.doc_id is None else r.doc_id, hashes[r.text]) for r in kept.collect())
+
+
 def test_native_hash_is_the_same(tables):
     got = tables["plain"].select("text", F.xxhash64("text").alias("h")).collect()
     assert all(r.h & (2 ** 64 - 1) == xxhash.xxh64_intdigest(r.text.encode(), 42) for r in got)
