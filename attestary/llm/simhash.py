@@ -1,7 +1,7 @@
 """SimHash near-dedup with pigeonring filtering.
 
 ``near_groups`` links by one 64-bit fingerprint of 4-word shingles. ``similar_groups`` links by the
-similarity of 5-word shingle sets: several fingerprints propose, an exact check decides.
+similarity of 5-word shingle sets: shared rare shingles propose, an exact check decides.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from attestary.llm.common import unfolded, whole, worker_state
 from attestary.llm.components import components
@@ -25,6 +26,8 @@ CHUNK = 1 << 16  # shingle hashes counted at once
 FAMILY_SHIFT, SEGMENT_SHIFT = 48, 58  # a bucket's number: family and the chain's first segment above its key bits
 NOBODY = 2 ** 63 - 1  # a null id stands behind all others
 WORDS = 300_000  # words whose hashes a worker process remembers
+APART = [1, 2, 16, 256]  # places of two sets in their bucket from which a round of proposals begins
+EPS = 1e-9
 
 
 def simhash(text: str | None, shingle: int, seed: int = 42) -> int:
@@ -254,28 +257,20 @@ def shingle_set(text: str | None, shingle: int) -> np.ndarray:
     return np.unique(shingle_hashes((text or "").encode().lower().split(), shingle))
 
 
-def family_prints(hashes: np.ndarray, families: int) -> list[int]:
-    """One fingerprint per family: each family hashes the shingles anew."""
-    out = []
-    for f in range(1, families + 1):
-        ones = np.zeros(BITS, dtype=np.int64)
-        for i in range(0, len(hashes), CHUNK // 2):
-            octets = _mixed(hashes[i:i + CHUNK // 2] ^ np.uint64(f * 0x9E3779B97F4A7C15 % 2 ** 64)).view(np.uint8)
-            ones += np.unpackbits(octets.reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint16)
-        out.append(int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0]))
-    return out
+def prefix_length(size: int | np.ndarray, similarity: float) -> int | np.ndarray:
+    """How many of a set's elements, the first in any order common to all sets, hold one of every set as similar."""
+    return np.where(size, size - np.ceil(similarity * size - EPS) + 1, 0).astype(np.int64)
 
 
-def _similar_sketch(shingle: int, families: int, narrow: int):
-    @F.pandas_udf("key string, prints array<long>")
+def _similar_sketch(shingle: int, similarity: float):
+    @F.pandas_udf("key string, size int, least array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
-            words = (t or "").encode().lower().split()
-            members = np.unique(shingle_hashes(words, shingle))
-            prints = family_prints(shingle_hashes(words, narrow), families) if words else []
-            out.append((hashlib.blake2b(members.tobytes(), digest_size=16).hexdigest(), prints))
-        return pd.DataFrame(out, columns=["key", "prints"])
+            members = shingle_set(t, shingle)
+            least = members[:int(prefix_length(len(members), similarity))]
+            out.append((hashlib.blake2b(members.tobytes(), digest_size=16).hexdigest(), len(members), least.view(np.int64)))
+        return pd.DataFrame(out, columns=["key", "size", "least"])
     return run
 
 
@@ -286,53 +281,136 @@ def _sets(shingle: int):
     return run
 
 
-def similar_links(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float, max_bits: int) -> DataFrame:
-    """Links ``u, v`` between keys of ``rows(id, row, key, prints)`` whose shingle sets are that similar.
+def _bucket_pairs(low: int, high: int | None, similarity: float):
+    """Pairs ``u, v`` of different roots in one bucket whose places, by size, are ``low`` to ``high`` - 1 apart."""
+    def pairs(node: np.ndarray, size: np.ndarray, at: np.ndarray, root: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def may(i, j) -> np.ndarray:
+            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            # no more is shared than stands from here on, if this shingle is the first that is shared
+            most = np.minimum(size[i] - at[i], size[j] - at[j])
+            return ((root[i] != root[j]) & (small >= similarity * large - EPS)
+                    & (most * (1 + similarity) >= similarity * (small + large) - EPS))
+
+        m = len(node)
+        if high is not None:
+            for d in range(low, min(high, m)):
+                i = np.arange(m - d)
+                i = i[may(i, i + d)]
+                yield node[i], node[i + d]
+            return
+        names, which, n = np.unique(root, return_inverse=True, return_counts=True)
+        rest = which != np.argmax(n)  # one of each pair stands outside the largest group
+        for i in np.flatnonzero(rest).tolist():
+            j = np.flatnonzero(~rest | (np.arange(m) > i))
+            j = j[np.abs(j - i) >= low]
+            j = j[may(np.full(len(j), i), j)]
+            yield np.full(len(j), node[i]), node[j]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = [np.empty(0, np.int64)] * 5
+
+        def found(columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            token, held, n = columns[0], [], 0
+            edge = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1], [True]]))
+            for s, e in zip(edge[:-1][np.diff(edge) > 1].tolist(), edge[1:][np.diff(edge) > 1].tolist()):
+                for u, v in pairs(*[c[s:e] for c in columns[1:]]):
+                    held.append((np.minimum(u, v), np.maximum(u, v)))
+                    n += len(u)
+                    if n >= CHUNK:
+                        yield batch_of(held)
+                        held, n = [], 0
+            if n:
+                yield batch_of(held)
+
+        def batch_of(held: list) -> pa.RecordBatch:
+            both = np.unique(np.stack([np.concatenate([u for u, _ in held]), np.concatenate([v for _, v in held])]), axis=1)
+            return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["u", "v"])
+
+        for batch in batches:
+            columns = [np.concatenate([k, batch.column(i).to_numpy()]) for i, k in enumerate(kept)]
+            if not len(columns[0]):
+                continue
+            cut = int(np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]]))[-1])  # the last bucket may go on
+            yield from found([c[:cut] for c in columns])
+            kept = [c[cut:] for c in columns]
+        yield from found(kept)
+    return run
+
+
+def rare_first(sets: DataFrame, similarity: float) -> DataFrame:
+    """``token, node, size, at`` of the prefixes of ``sets(node, size, members)``: a set's rarest shingles,
+    as many as hold one of every set as similar; ``at`` is the shingle's place in the set, rarest first.
+    Shingles of one set alone count for the place but are no rows."""
+    rows = sets.select("node", F.col("size").cast("long").alias("size"), F.explode("members").alias("token"))
+    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
+    mine = Window.partitionBy("node")
+    at = F.col("size") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("n", "token")) - 1
+    return (rows.withColumn("at", at.cast("long"))
+            .where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - EPS)).select("token", "node", "size", "at"))
 
-    Keys with an equal fingerprint are proposed as a star, those within ``max_bits`` as a spanning
-    forest of each bucket. Of the proposed keys alone, one text each is read again for the exact check.
+
+def similar_roots(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """``key, root`` of the keys of ``rows(id, row, key, size, least)`` that have a similar one.
+
+    A pair that similar shares one of the first shingles of both in any common order. In the order of
+    the hashes, those without a partner of fitting size go; the others' sets are read again, and their
+    rarest shingles are the buckets. Each round proposes pairs of one bucket that confirmed links do
+    not join yet, neighbours by size first, all that are left last, and the sets decide.
     """
-    keys = rows.groupBy("key").agg(F.min(F.struct("id", "row")).alias("at"), F.first("prints").alias("prints"))
-    keys = stage(keys, "shingle-sets")
-    printed = keys.select("key", F.posexplode("prints").alias("family", "print"))
-    hubs = stage(printed.groupBy("family", "print").agg(F.min("key").alias("hub")), "family-prints")
-    near = near_links(hubs.select("print", "family"), max_bits)
-    ends = [hubs.select("family", F.col("print").alias(c), F.col("hub").alias(f"_{c}")) for c in ("u", "v")]
-    near = (near.join(ends[0], ["family", "u"]).join(ends[1], ["family", "v"])
-            .select(F.col("_u").alias("u"), F.col("_v").alias("v")))
-    equal = printed.join(hubs, ["family", "print"]).where("key <> hub").select(F.col("hub").alias("u"), F.col("key").alias("v"))
-    proposed = stage(near.union(equal).where("u <> v")
-                     .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "proposed")
-    asked = proposed.select(F.col("u").alias("key")).union(proposed.select("v")).distinct()
-    places = keys.join(asked, "key", "left_semi").select("key", F.col("at.id").alias("id"), F.col("at.row").alias("row"))
+    keys = rows.groupBy("key").agg(F.min(F.struct("id", "row")).alias("at"), F.first("size").alias("size"))
+    keys = stage(keys.select("key", "at.id", "at.row", "size"), "shingle-sets")
+    firsts = rows.join(keys.select("id", "row"), ["id", "row"], "left_semi")
+    firsts = firsts.select(F.xxhash64("key").alias("name"), "size", F.explode("least").alias("token"))
+    by_size = Window.partitionBy("token").orderBy("size", "name")
+    fits = ((F.lag("size").over(by_size) >= F.col("size") * similarity - EPS)
+            | (F.col("size") >= F.lead("size").over(by_size) * similarity - EPS))
+    named = firsts.withColumn("fits", fits).where("fits").select("name").distinct()
+    asked = keys.withColumn("name", F.xxhash64("key")).join(named, "name", "left_semi")
+    places = stage(asked.select("key", "id", "row", "size", F.monotonically_increasing_id().alias("node")), "asked")
     texts = docs.select(F.coalesce("doc_id", F.lit(NOBODY)).alias("id"), F.xxhash64("text").alias("row"), "text")
-    sets = texts.join(places, ["id", "row"]).dropDuplicates(["key"]).select("key", _sets(shingle)("text").alias("members"))
+    sets = texts.join(places, ["id", "row"]).dropDuplicates(["node"]).select("node", "size", _sets(shingle)("text").alias("members"))
     sets = stage(sets, "members")
-    pairs = (proposed.join(sets.select(F.col("key").alias("u"), F.col("members").alias("_a")), "u")
-             .join(sets.select(F.col("key").alias("v"), F.col("members").alias("_b")), "v"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    return pairs.where(both >= F.lit(similarity) * (F.size("_a") + F.size("_b") - both)).select("u", "v")
-
-
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, families: int = 8,
-                   narrow: int = 2, max_bits: int = 4) -> DataFrame:
+    prefixes = stage(rare_first(sets, similarity), "prefixes")
+    links = roots = None
+    for low, high in zip(APART, [*APART[1:], None]):
+        held = prefixes.withColumn("root", F.col("node"))
+        if roots is not None:
+            held = (prefixes.join(roots.withColumnRenamed("root", "_root"), "node", "left")
+                    .select("token", "node", "size", "at", F.coalesce("_root", "node").alias("root")))
+            several = held.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+            if several.isEmpty():
+                break
+            held = held.join(several, "token", "left_semi")
+        held = held.select("token", "node", "size", "at", "root").repartition("token").sortWithinPartitions("token", "size", "node")
+        proposed = stage(held.mapInArrow(_bucket_pairs(low, high, similarity), "u long, v long").distinct(), "proposed")
+        pairs = (proposed.join(sets.select(F.col("node").alias("u"), F.col("members").alias("_a")), "u")
+                 .join(sets.select(F.col("node").alias("v"), F.col("members").alias("_b")), "v"))
+        both = F.size(F.array_intersect("_a", "_b"))
+        similar = pairs.where(both >= F.lit(similarity) * (F.size("_a") + F.size("_b") - both)).select("u", "v")
+        similar = stage(similar, "similar")
+        if roots is None or not similar.isEmpty():
+            links = similar if links is None else links.union(similar)
+            roots = components(links)
+    top = places.select(F.col("node").alias("root"), F.col("key").alias("top"))
+    return places.select("key", "node").join(roots, "node").join(top, "root").select("key", F.col("top").alias("root"))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """``id, row, root`` of every document: those of one ``root`` reach each other over similar texts.
 
     Texts are similar if the Jaccard similarity of their sets of ``shingle``-word shingles is
-    ``similarity`` or more. At 0.8 one 64-bit fingerprint of these shingles differs in nine bits, too
-    many for segments; so fingerprints are taken of ``narrow``-word shingles, which an edit changes less,
-    in ``families`` independent hashes, any of which may come within ``max_bits``. What they propose is
-    checked exactly, so no link is wrong; the README gives the share of links found.
+    ``similarity`` or more. Every such pair is compared on the whole sets unless confirmed links join
+    it already, so the groups are those of all pairs.
 
     Equal sets are one node, so copies cost one row. Nulls: a null text has no words; texts without
     words are alike and like no other. ``id`` is ``doc_id`` (null ids behind all others), ``row`` the hash
     of the text. Repeated rows share a root; other columns are ignored; an empty table gives no rows.
     """
     rows = docs.select(F.coalesce("doc_id", F.lit(NOBODY)).alias("id"), F.xxhash64("text").alias("row"),
-                       _similar_sketch(shingle, families, narrow)("text").alias("s"))
-    rows = stage(rows.select("id", "row", "s.key", "s.prints"), "sketches")
-    roots = components(similar_links(rows, docs, shingle, similarity, max_bits))
-    return (rows.drop("prints").join(roots.withColumnRenamed("node", "key"), "key", "left")
+                       _similar_sketch(shingle, similarity)("text").alias("s"))
+    rows = stage(rows.select("id", "row", "s.*"), "sketches")
+    roots = similar_roots(rows, docs, shingle, similarity)
+    return (rows.select("id", "row", "key").join(roots, "key", "left")
             .select("id", "row", F.coalesce("root", "key").alias("root")))
 
 

@@ -134,6 +134,46 @@ def test_similar_groups(tables, kind):
         (2 ** 63 - 1 if r.doc_id is None else r.doc_id, hashes[r.text]) for r in kept.collect())
 
 
+def similar_by_brute_force(texts):
+    """The smallest index each text reaches over pairs at 0.8 or more of their 5-word shingle sets."""
+    sets = []
+    for text in texts:
+        words = text.split()
+        sets.append({tuple(words[i:i + 5]) for i in range(max(1, len(words) - 4))})
+    top = list(range(len(texts)))
+    for i in range(len(sets)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if top[i] != top[j] and both >= 0.8 * (len(sets[i]) + len(sets[j]) - both):
+                low, high = sorted((top[i], top[j]))
+                top = [low if x == high else x for x in top]
+    return top
+
+
+def similar_by_groups(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    roots = {r.id: r.root for r in simhash.similar_groups(docs).collect()}
+    least = {}
+    for i in sorted(roots):
+        least.setdefault(roots[i], i)
+    return [least[roots[i]] for i in range(len(texts))]
+
+
+def drawn_words(rng, n):
+    return [f"w{x}" for x in rng.integers(0, 5000, n)]
+
+
+def test_similar_texts_that_differ_by_a_block(spark):
+    rng, texts = np.random.default_rng(5), []
+    for n, more in ((100, 20), (300, 70), (24, 4), (12, 1)):
+        for _ in range(40):
+            words, block = drawn_words(rng, n), drawn_words(rng, more)
+            texts += [" ".join(words), " ".join(words + block)]
+    got = similar_by_groups(spark, texts)
+    assert got == similar_by_brute_force(texts)
+    assert len(set(got)) == len(texts) / 2
+
+
 def test_native_hash_is_the_same(tables):
     got = tables["plain"].select("text", F.xxhash64("text").alias("h")).collect()
     assert all(r.h & (2 ** 64 - 1) == xxhash.xxh64_intdigest(r.text.encode(), 42) for r in got)
