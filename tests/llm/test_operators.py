@@ -174,6 +174,22 @@ def test_similar_texts_that_differ_by_a_block(spark):
     assert len(set(got)) == len(texts) / 2
 
 
+def test_variants_are_grouped_as_by_all_pairs(spark):
+    """Large groups of variants of one text: a pair that is not similar hides no other pair."""
+    rng, texts = np.random.default_rng(7), []
+    for _ in range(2):
+        base = drawn_words(rng, 300)
+        for _ in range(150):
+            words = list(base)
+            for at in rng.choice(300, rng.integers(1, 11), replace=False):
+                words[at] = f"x{rng.integers(0, 10 ** 9)}"
+            texts.append(" ".join(words))
+    got = similar_by_groups(spark, texts)
+    want = similar_by_brute_force(texts)
+    assert 2 < len(set(want)) < 200
+    assert got == want
+
+
 def test_native_hash_is_the_same(tables):
     got = tables["plain"].select("text", F.xxhash64("text").alias("h")).collect()
     assert all(r.h & (2 ** 64 - 1) == xxhash.xxh64_intdigest(r.text.encode(), 42) for r in got)
