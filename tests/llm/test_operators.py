@@ -190,6 +190,16 @@ def test_variants_are_grouped_as_by_all_pairs(spark):
     assert got == want
 
 
+def test_repeated_passages_do_not_hide_similar_texts(spark):
+    rng, texts = np.random.default_rng(9), []
+    for _ in range(40):
+        words = drawn_words(rng, 120)
+        texts += [" ".join(words), " ".join(words[:80] + words[40:80] * 3 + words[80:])]
+    got = similar_by_groups(spark, texts)
+    assert got == similar_by_brute_force(texts)
+    assert len(set(got)) == 40
+
+
 def test_native_hash_is_the_same(tables):
     got = tables["plain"].select("text", F.xxhash64("text").alias("h")).collect()
     assert all(r.h & (2 ** 64 - 1) == xxhash.xxh64_intdigest(r.text.encode(), 42) for r in got)
