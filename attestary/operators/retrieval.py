@@ -16,7 +16,7 @@ CHUNK_BLOCK = 512
 QUESTION_BLOCK = 256
 SCORE_DIGITS = 9
 SALTS = 64
-LSH_BANDS, LSH_BITS, LSH_SEED = 12, 4, 7
+LSH_BANDS, LSH_BITS, LSH_SEED = 16, 3, 7
 
 
 # --- vectors --------------------------------------------------------------------------------

@@ -88,6 +88,16 @@ def test_lsh_finds_most_neighbours(spark):
     assert exact.intersect(near).count() >= 0.6 * exact.count()
 
 
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01", "sf0.1"])
+def test_lsh_recall_of_the_registered_k(spark, folder):
+    from attestary.plans import retrieve
+    from attestary.plans.registry import Source
+    s = Source(spark, f"/root/testdata/{folder}")
+    exact = K.knn(s.shape(retrieve.QUESTIONS), s.shape(retrieve.VECTORS)).select("job_id", "field_id", "chunk_no")
+    near = K.knn_lsh(s.shape(retrieve.QUESTIONS), s.shape(retrieve.VECTORS), retrieve.LSH_DIM).select("job_id", "field_id", "chunk_no")
+    assert exact.intersect(near).count() >= 0.9 * exact.count()
+
+
 def test_model_callable_embeds_unit_vectors(spark):
     df = spark.createDataFrame([("ab",), ("c",)], "t string")
     got = K.embed(df, "t", lambda texts: np.array([[len(t), 1.0] for t in texts])).collect()
