@@ -30,9 +30,12 @@ LABELLERS = [
     ("same", 0.6, 0.8),        # words that stand elsewhere in the text too
     ("open", 0.97, 0.985),     # words not followed by a sentence end
     ("lines", 0.3, 0.6),       # lines that repeat another
-    ("length", 8.5, 10.0),     # mean bytes per word
+    ("length", 8.5, 10.0),     # mean characters per word
 ]
 ON_GOOD, ON_BAD = (0.999, 0.9999), (0.05, 0.6)  # ranges of the accuracies
+OFTEN, UNSURE = 0.1, 0.5  # a labeller that accuses more than this share may be right on so few good documents
+# sentence ends beyond ASCII: CJK, Indic, Arabic, Ethiopic, Armenian, Khmer, Burmese, Tibetan, ellipsis
+ENDS = [c.encode() for c in "。｡！？।॥؟۔።፧։՞។။།…"]
 FEW = 20  # words: with fewer, shares of words say nothing
 
 
@@ -44,12 +47,18 @@ def statistics(raw: bytes) -> tuple[list[float], np.ndarray, int]:
     n, lines = len(words), raw.split(b"\n")
     upper, letters = int(counts[65:91].sum()), int(counts[65:91].sum() + counts[97:123].sum())
     per = 1 / n if n else 0.0
+    beyond = int(counts[192:].sum())  # characters beyond ASCII, by their first byte
+    chars = int(counts[:128].sum()) + beyond
+    ends = int(counts[46] + counts[33] + counts[63]) + (sum(map(raw.count, ENDS)) if beyond else 0)
+    length, open_words = chars * per, 1 - min(1.0, ends * per) if n else 0.0
+    if beyond > letters and length >= 10.0:  # a script without blanks between words: these two know nothing
+        length, open_words = 9.0, 0.98
     stats = [
         upper / letters if letters else 0.0,
         counts[33] * per, (counts[35:39].sum() + counts[42]) * per, counts[124] * per,
         sum(map(operator.eq, words, words[1:])) * per, 1 - len(set(words)) * per if n else 0.0,
-        1 - min(1.0, (counts[46] + counts[33] + counts[63]) * per) if n else 0.0,
-        1 - len(set(lines)) / len(lines), len(raw) * per]
+        open_words,
+        1 - len(set(lines)) / len(lines), length]
     return [float(s) for s in stats], octets, n
 
 
@@ -86,7 +95,8 @@ class LabelModel:
     A labeller's accuracies are how often its vote (when it gives one) is right on good and on bad
     documents. Each knows one fault: it seldom accuses a good document and misses most bad ones.
     ``ON_GOOD`` and ``ON_BAD`` hold the estimates to that, so a rare fault is not taken for a habit of
-    good documents.
+    good documents. One whose votes accuse more than ``OFTEN`` is held to ``UNSURE`` only: the data may show
+    that it accuses good documents.
     """
 
     def __init__(self, patterns: dict[str, int]):
@@ -94,6 +104,8 @@ class LabelModel:
         n = np.array([patterns[p] for p in names], dtype=float)
         says_bad = np.array([[c == BAD for c in p] for p in names], dtype=float).reshape(len(names), len(LABELLERS))
         says_good = np.array([[c == GOOD for c in p] for p in names], dtype=float).reshape(len(names), len(LABELLERS))
+        accused, praised = n @ says_bad, n @ says_good
+        low = np.where(accused > OFTEN * (accused + praised), UNSURE, ON_GOOD[0])
         self.prior = 0.85
         self.on_good, self.on_bad = np.full(len(LABELLERS), ON_GOOD[0]), np.full(len(LABELLERS), 0.25)
         for _ in range(ROUNDS if len(names) else 0):
@@ -103,7 +115,7 @@ class LabelModel:
             # one pseudo-vote each way keeps unanimous labellers short of certainty
             self.on_good = (w_good @ says_good + 2) / (w_good @ (says_good + says_bad) + 2.1)
             self.on_bad = (w_bad @ says_bad + 1) / (w_bad @ (says_good + says_bad) + 2)
-            self.on_good, self.on_bad = np.clip(self.on_good, *ON_GOOD), np.clip(self.on_bad, *ON_BAD)
+            self.on_good, self.on_bad = np.clip(self.on_good, low, ON_GOOD[1]), np.clip(self.on_bad, *ON_BAD)
             self.prior = float(np.clip((w_good.sum() + 1) / (n.sum() + 2), 0.05, 0.95))
             if np.abs(np.concatenate([self.on_good, self.on_bad]) - before).max() < 1e-7:
                 break

@@ -310,6 +310,32 @@ def test_quality_finds_the_labelled(spark):
     assert again == {(r.doc_id, r.keep, round(r.score, 6)) for r in got}
 
 
+CLEAN = ["Мы долго шли вдоль берега реки и говорили о прошедшем лете. Никто не помнил, когда началась эта дорога, но все знали её конец. ",
+         "Περπατήσαμε πολλή ώρα δίπλα στο ποτάμι και μιλούσαμε για το καλοκαίρι. Κανείς δεν θυμόταν πότε άρχισε αυτός ο δρόμος. ",
+         "हम नदी के किनारे बहुत देर तक चलते रहे और बीती गर्मी की बातें करते रहे। किसी को याद नहीं था कि यह रास्ता कब शुरू हुआ। "]
+
+
+def test_quality_accuses_no_script():
+    for text in CLEAN:
+        stats, _, n = quality.statistics((text * 2).encode())
+        assert "-" not in quality.votes_of(stats, n)
+    blankless = "我们沿着河边走了很久谈论着过去的夏天没有人记得这条路是什么时候开始的"
+    stats, _, n = quality.statistics(" ".join(blankless[i:] + blankless for i in range(25)).encode())
+    assert quality.votes_of(stats, n)[6] == quality.votes_of(stats, n)[8] == "."
+
+
+def test_quality_finds_an_unreliable_labeller():
+    """A labeller that accuses three documents in ten, alone, is not believed; rare faults still are."""
+    clean = "+" * 9
+    counts = {clean: 6000, clean[:8] + "-": 3000}
+    for i in range(8):
+        counts[clean[:i] + "-" + clean[i + 1:]] = 60
+        counts[clean[:i] + "-" + clean[i + 1:8] + "-"] = 30
+    posterior = quality.LabelModel(counts).posterior
+    assert posterior[clean] > 0.5 and posterior[clean[:8] + "-"] > 0.5
+    assert all(posterior[clean[:i] + "-" + clean[i + 1:]] < 0.5 for i in range(8))
+
+
 @pytest.mark.parametrize("kind", ["odd", "none"])
 def test_quality_of_awkward_rows(tables, kind):
     got = queries.op4(tables[kind]).collect()
