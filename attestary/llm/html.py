@@ -30,7 +30,11 @@ BESIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "br
                 "navigation", "newsletter", "notice", "notices", "popup", "promo", "promotion", "related", "replies",
                 "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar",
                 "complementary", "contentinfo"}
+QUALIFIERS = {"has", "no", "with", "without", "enabled", "disabled", "price"}  # "has-sidebar" is no sidebar
 MAIN = {"article", "main"}
+# where a left-out element other than a script ends if its end tag is missing
+BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|div|dl|fieldset|figure|footer|form|h[1-6]|header|hr|html|main|nav|ol|p|"
+                   r"pre|section|table|ul)(?=[\s/>])", re.I)
 
 
 def _names(attributes: str) -> list[str]:
@@ -40,39 +44,47 @@ def _names(attributes: str) -> list[str]:
     return out
 
 
-def _is_beside(tag: str, names: list[str]) -> bool:
-    if tag in BESIDE:
+def _named_beside(tag: str, names: list[str]) -> bool:
+    if tag == "form":
         return True
-    return tag not in ("html", "body") and any(p in BESIDE_NAMES for n in names for p in SPLIT.split(n.lower()))
+    parts = [SPLIT.split(n.lower()) for n in names]
+    return tag not in ("html", "body") and any(not QUALIFIERS.intersection(p) and not BESIDE_NAMES.isdisjoint(p) for p in parts)
+
+
+class _Element:
+    def __init__(self, key: str, parent: _Element | None, start: int, tag: str, names: list[str]):
+        self.key, self.parent, self.start, self.end = key, parent, start, -1
+        self.hard = tag in BESIDE and tag != "form"  # beside the text whatever it holds
+        self.named = not self.hard and _named_beside(tag, names)
+        self.main = (tag in MAIN or "main" in [x.lower() for x in names]) and not self.hard and not self.named
+        self.under_hard = self.hard or bool(parent and parent.under_hard)
+        self.under_named = self.named or bool(parent and parent.under_named)
 
 
 def tokens(page: str) -> list[tuple[str, str, bool, str]]:
-    """The page as tags and texts in order: (feature, text, beside, zone).
+    """The page as tags and texts in order: (feature, text, beside, zone, parent).
 
     A tag has the text " " if it divides blocks and "" if it does not; ``beside``: it stands in a
     part that is no main text by its tag or name; ``zone``: inside the page's main element, outside of
     it, or on a page without one. Comments and the content of scripts and the like are left out.
+    A name (or ``form``) sets a part beside only if that holds no main element and less than half of
+    the words: else it wraps the text. Main elements below such a name count where no other is.
     """
-    has_main = "none"
-    out, stack, at, n = [], [], 0, len(page)  # stack: tag, beside, main
-    beside = main = 0
+    out, stack, elements, at, n = [], [], [], 0, len(page)
 
-    def zone() -> str:
-        return "in" if main else has_main
+    def put(feature: str, text: str, parent: str = "", left_out: bool = False) -> None:
+        out.append((feature, text, stack[-1] if stack else None, parent, left_out))
 
     def pop(to: int) -> None:
-        nonlocal beside, main
         while len(stack) > to:
-            _, b, m = stack.pop()
-            beside -= b
-            main -= m
+            stack.pop().end = len(out)
 
     while at < n:
         lt = page.find("<", at)
         if lt < 0:
             lt = n
         if lt > at:
-            out.append(["#text", page[at:lt], beside > 0, zone(), stack[-1][0] if stack else ""])
+            put("#text", page[at:lt], stack[-1].key if stack else "")
         if lt >= n:
             break
         if page.startswith("<!--", lt):
@@ -85,51 +97,64 @@ def tokens(page: str) -> list[tuple[str, str, bool, str]]:
             continue
         m = TAG.match(page, lt) or LOOSE_TAG.match(page, lt)
         if not m:
-            out.append(["#text", "<", beside > 0, zone(), stack[-1][0] if stack else ""])
+            put("#text", "<", stack[-1].key if stack else "")
             at = lt + 1
             continue
         at, tag = m.end(), m[2].lower()
         gap = "" if tag in INLINE else " "
         if m[1]:
-            key = tag
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0].split(".")[0] == tag:
-                    key = stack[i][0]
-                    out.append(["/" + key, gap, beside > 0, zone(), ""])
+                if stack[i].key.split(".")[0] == tag:
+                    put("/" + stack[i].key, gap)
                     pop(i)
                     break
             else:
-                out.append(["/" + key, gap, beside > 0, zone(), ""])
+                put("/" + tag, gap)
             continue
         names = _names(m[3])
         key = f"{tag}.{names[0].lower()}" if names else tag
         if tag in RAW_TEXT and not m[3].endswith("/"):
             end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
             close = -1 if not end else page.find(">", end.end())
-            at = n if close < 0 else close + 1
-            out.append([key, gap, True, zone(), ""])
+            if close < 0 and tag not in ("script", "style"):
+                block = BLOCK.search(page, at)
+                at = block.start() if block else n
+            else:
+                at = n if close < 0 else close + 1
+            put(key, gap, left_out=True)
             continue
-        off = _is_beside(tag, names)
-        is_main = (tag in MAIN or "main" in [x.lower() for x in names]) and not off
-        if is_main and not beside:
-            has_main = "out"
         if tag == "p":  # a paragraph ends where another block begins
             for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0].split(".")[0] not in INLINE | {"p"}:
+                if stack[i].key.split(".")[0] not in INLINE | {"p"}:
                     break
-                if stack[i][0].split(".")[0] == "p":
+                if stack[i].key.split(".")[0] == "p":
                     pop(i)
                     break
         if tag not in VOID and not m[3].endswith("/"):
-            stack.append((key, int(off), int(is_main and not beside)))
-            beside += off
-            main += stack[-1][2]
-        out.append([key, gap, beside > 0, zone(), ""])
-    if has_main == "out":
-        for t in out:
-            if t[3] == "none":
-                t[3] = "out"
-    return [(t[0], t[1], t[2], t[3], t[4]) for t in out]
+            stack.append(_Element(key, stack[-1] if stack else None, len(out), tag, names))
+            elements.append(stack[-1])
+        put(key, gap)
+    pop(0)
+    words = np.concatenate([[0], np.cumsum([len(t[1].split()) if t[0] == "#text" and not (t[2] and t[2].under_hard) else 0
+                                            for t in out], dtype=np.int64)])
+    found = [e for e in elements if e.main and not e.under_hard]
+    clear = [e for e in found if not e.under_named]
+    mains = set(clear or found)
+    holds = set()
+    for e in mains:
+        up = e.parent
+        while up and up not in holds:
+            holds.add(up)
+            up = up.parent
+    for e in elements:  # parents come first
+        wraps = e in holds or 2 * (words[e.end] - words[e.start]) >= words[-1] > 0
+        e.inside = e in mains or bool(e.parent and e.parent.inside)
+        e.beside = e.hard or bool(e.parent and e.parent.beside) or e.named and not wraps
+        if e in mains:
+            e.beside = False
+    rest = "out" if mains else "none"
+    return [(feature, text, left_out or bool(e and e.beside), "in" if e and e.inside else rest, parent)
+            for feature, text, e, parent, left_out in out]
 
 
 def _feature(kind: str, beside: bool, zone: str, parent: str) -> str:

@@ -570,6 +570,24 @@ def test_page_text_of_awkward_pages(spark):
     assert queries.op10(table.where("false")).collect() == []
 
 
+@pytest.mark.parametrize("page", [
+    "<body><div class='layout has-sidebar'>{}<div class=sidebar>other things</div></div></body>",
+    "<body><div class='no-sidebar'><main>{}</main></div></body>", "<body><div class='page with-banner'>{}</div></body>",
+    "<body><div class='comments'><article>{}</article></div></body>", "<body><form action=x>{}<input></form></body>",
+    "<body><div class='post comment-enabled'>{}</div></body>", "<body><div class='share-price'>{}</div></body>",
+    "<body><div class=sidebar>{}</div></body>",
+    "<body><select><option>one{}</body>", "<body><svg><path>{}</body>", "<body><noscript>{}</body>", "<body><iframe src=x>{}</body>"])
+def test_page_text_below_wrappers(page):
+    text = "The whole text of the page stands here, in more than ten words."
+    assert html.extract(page.replace("{}", f"<p>{text}</p>"), {}) == text
+
+
+def test_page_text_without_parts_beside():
+    page = ("<body><article><p>One two three four five six.</p><div class=ad>Buy this now</div><p>Seven eight.</p></article>"
+            "<div class=comments><article>A comment of some words</article></div></body>")
+    assert html.extract(page, {}) == "One two three four five six. Seven eight."
+
+
 def test_page_weights_have_their_signs():
     counts = Counter()
     for page, _ in PAGES:
