@@ -32,6 +32,7 @@ BESIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "br
                 "complementary", "contentinfo"}
 QUALIFIERS = {"has", "no", "with", "without", "enabled", "disabled", "price"}  # "has-sidebar" is no sidebar
 MAIN = {"article", "main"}
+MARKED = r"""(?i)<(article|main)[\s/>]|\b(class|id|role)\s*=\s*("([^"]*\s)?main[\s"]|'([^']*\s)?main[\s']|main[\s>])"""
 # where a left-out element other than a script ends if its end tag is missing
 BLOCK = re.compile(r"</?(?:address|article|aside|blockquote|body|div|dl|fieldset|figure|footer|form|h[1-6]|header|hr|html|main|nav|ol|p|"
                    r"pre|section|table|ul)(?=[\s/>])", re.I)
@@ -170,7 +171,11 @@ def _general(feature: str) -> str:
 
 
 def labelled_counts(page: str) -> Counter:
-    """(feature, in main text?) counts of a page that marks its main text with an element."""
+    """(feature, in main text?) counts of a page that marks its main text with an element.
+
+    Each part counts with its zone, and once more as on a page whose main element is hidden: that
+    is what pages without one are scored with.
+    """
     out = Counter()
     parts = tokens(page)
     if any(t[3] == "in" for t in parts):
@@ -178,8 +183,14 @@ def labelled_counts(page: str) -> Counter:
             if zone == "in" and beside:
                 continue  # left out wherever the run ends, so it says nothing about that
             n = len(text.split()) if kind == "#text" else 1
-            for f in (_feature(kind, beside, zone, parent), _general(_feature(kind, beside, zone, parent))):
+            hidden = kind.lstrip("/").split(".")[0] in MAIN or kind.lower().endswith(".main")
+            if hidden or parent.split(".")[0] in MAIN:  # stands on marked pages only
+                kinds = [_feature(kind, beside, zone, parent)]
+            else:
+                kinds = [_feature(kind, beside, zone, parent), _feature(kind, beside, "none", parent)]
+            for f in kinds:
                 out[f, zone == "in"] += n
+                out[_general(f), zone == "in"] += n
     return out
 
 
@@ -226,8 +237,9 @@ def extract(page: str | None, weights: dict[str, float]) -> str:
 def learn_weights(pages: DataFrame, bound: int = LABELLED_PAGES) -> dict[str, float]:
     """Tag and word weights from at most ``bound`` pages that mark their main text (article, main).
 
-    The pages with the smallest hashes are taken; a few counts per tag name reach the driver.
+    Of these, the pages with the smallest hashes are taken; a few counts per tag name reach the driver.
     """
+    pages = pages.where(F.col("html").rlike(MARKED))
     rank = F.xxhash64("page_id", "url")
     chosen = pages.select(rank.alias("h")).orderBy("h").limit(bound).agg(F.max("h")).first()[0]
     if chosen is None:

@@ -588,6 +588,18 @@ def test_page_text_without_parts_beside():
     assert html.extract(page, {}) == "One two three four five six. Seven eight."
 
 
+def test_unmarked_pages_are_scored_by_learned_weights(spark):
+    """A menu in an unnamed list goes; the bounded sample holds marked pages only."""
+    menu = "<ul>" + "".join(f"<li><a href=x>Menu entry number {i}</a></li>" for i in range(6)) + "</ul>"
+    text = "".join(f"<p>Sentence {i} of the main text has some words more.</p>" for i in range(4))
+    marked = f"<body><div>{menu}</div><article>{text}</article></body>"
+    bare = f"<body><div>{menu}</div><div>{text}</div></body>"
+    pages = spark.createDataFrame([(i, "u", marked if i < 5 else bare) for i in range(200)], "page_id long, url string, html string")
+    weights = html.learn_weights(pages, 5)
+    assert "Menu" in html.extract(bare, {})
+    assert html.extract(bare, weights) == " ".join(f"Sentence {i} of the main text has some words more." for i in range(4))
+
+
 def test_page_weights_have_their_signs():
     counts = Counter()
     for page, _ in PAGES:
