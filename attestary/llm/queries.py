@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestary.llm import fingerprints, html, linededup, mixing, packing, quality, shards, simhash, tokenfile, topk
+from attestary.llm import (alignment, centroids, fingerprints, html, linededup, mixing, packing, quality, shards, simhash, tokenfile,
+                           topk, urlfilters)
 from attestary.llm.encoding import Encoder
 from attestary.session import shared_dir
 
@@ -141,3 +142,70 @@ def op9(docs: DataFrame) -> DataFrame:
 @query("op10_html_text", "pages")
 def op10(pages: DataFrame) -> DataFrame:
     return html.extract_pages(pages)
+
+
+def _clustering_sql(k: int, rounds: int) -> str:
+    """Every round as one query: squared distances are sums of whole numbers, exact in doubles."""
+    square = ("list_inner_product(v.vec, v.vec) + list_inner_product(c.vec, c.vec) - 2.0::DOUBLE * list_inner_product(v.vec, c.vec)")
+    parts = [f"""WITH v AS (
+        SELECT vec_id, row_number() OVER () AS n, list_transform(embedding, lambda x: floor(x::DOUBLE * 256)) AS vec FROM embeddings
+        WHERE embedding IS NOT NULL AND len(embedding) = 64
+          AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+    c0 AS (SELECT * FROM (
+        SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id::VARCHAR), vec) - 1 AS c, vec FROM v WHERE vec_id IS NOT NULL)
+        WHERE c < {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"""a{i} AS (
+        SELECT n, vec_id, vec, c, d FROM (
+            SELECT v.n, v.vec_id, v.vec, c.c, {square} AS d,
+                   row_number() OVER (PARTITION BY v.n ORDER BY {square}, c.c) AS r FROM v CROSS JOIN c{i} c) WHERE r = 1)""")
+        if i < rounds:
+            parts.append(f"""c{i + 1} AS (
+        SELECT c, list(x ORDER BY p) AS vec FROM (
+            SELECT c, p, floor(sum(x) / count(*)) AS x FROM (SELECT c, unnest(vec) AS x, unnest(range(64)) AS p FROM a{i})
+            GROUP BY c, p) GROUP BY c
+        UNION ALL SELECT c, vec FROM c{i} WHERE c NOT IN (SELECT c FROM a{i}))""")
+    return ",\n    ".join(parts) + f"""
+    SELECT vec_id, a.c::INTEGER AS cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY a.c))::BIGINT AS cluster_inertia,
+           (sum(d) OVER ())::BIGINT AS inertia,
+           sha256(array_to_string(list_transform(k.vec, lambda x: x::BIGINT::VARCHAR), ',')) AS centroid_sha256
+    FROM a{rounds} a JOIN c{rounds} k ON a.c = k.c"""
+
+
+@query("op11_laesa_clusters", "embeddings", _clustering_sql(40, 5))
+def op11(vectors: DataFrame) -> DataFrame:
+    return centroids.clusters(vectors).withColumnRenamed("id", "vec_id")
+
+
+SITES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+         ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+@query("op12_url_filters", "pages", r"""
+    WITH rests AS (
+        SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+    places AS (
+        SELECT row_number() OVER () AS n, page_id,
+               coalesce(translate(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+               coalesce(regexp_extract(rest, '^([^/?#]*)([^?#]*)', 2), '') AS path FROM rests),
+    rules(rhost, rpath, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'),
+                                            ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+    fits AS (
+        SELECT n, arg_max(rhost || rpath, length(rhost || rpath)) AS rule, arg_max(verdict, length(rhost || rpath)) AS verdict
+        FROM places JOIN rules ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY n)
+    SELECT page_id, host, path, rule,
+           CASE WHEN rule IS NOT NULL THEN verdict
+                WHEN regexp_matches(host || path, '^([^/]*\.)?(ads-track\.|adserver\.|doubleclick\.|adult-|porn|xxx\.|casino-|free-bets\.|poker-|cheap-pills\.|viagra|spam-farm\.|phishing|malware)')
+                  OR contains(host || path, '/wp-login.php')
+                  OR regexp_matches(host || path, '(?s)/cgi-bin/.*\.exe([^A-Za-z0-9_.%-]|$)') THEN 'block' ELSE 'allow' END AS verdict
+    FROM places LEFT JOIN fits ON places.n = fits.n""")
+def op12(pages: DataFrame) -> DataFrame:
+    rules = urlfilters.rule_table(pages.sparkSession, SITES, urlfilters.UNWANTED)
+    judged = urlfilters.judge(pages.select("page_id", "url"), rules)
+    return judged.select(F.col("doc.page_id").alias("page_id"), "host", "path", "rule", "verdict")
+
+
+@query("op13_token_alignment", "documents")
+def op13(docs: DataFrame) -> DataFrame:
+    pair = alignment.TokenizerPair(tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    return alignment.aligned(docs, pair)
