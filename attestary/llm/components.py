@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from attestary.session import stage
+from attestary.session import stage, unstage
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(low, "u")
         small = (small.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v")
                  .union(low.select("u", F.col("m").alias("v"))).distinct())
-        edges = stage(small, "links")
+        before, edges = edges, stage(small, "links")
+        unstage(before)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if now == state:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -1,12 +1,14 @@
 """SimHash near-dedup with pigeonring filtering.
 
 ``near_groups`` links by one 64-bit fingerprint of 4-word shingles. ``similar_groups`` links by the
-similarity of 5-word shingle sets: shared rare shingles propose, an exact check decides.
+similarity of 5-word shingle sets: near fingerprints propose first, then shared rare shingles propose all
+pairs that are left, and an exact check decides.
 """
 
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,15 +21,16 @@ from pyspark.sql.window import Window
 
 from attestary.llm.common import unfolded, whole, worker_state
 from attestary.llm.components import components
-from attestary.session import stage
+from attestary.session import stage, unstage
 
 BITS = 64
 CHUNK = 1 << 16  # shingle hashes counted at once
-FAMILY_SHIFT, SEGMENT_SHIFT = 48, 58  # a bucket's number: family and the chain's first segment above its key bits
+SEGMENT_SHIFT = 58  # a bucket's number: the chain's first segment above its key bits
 NOBODY = 2 ** 63 - 1  # a null id stands behind all others
 WORDS = 300_000  # words whose hashes a worker process remembers
 APART = [1, 2, 16, 256]  # places of two sets in their bucket from which a round of proposals begins
 EPS = 1e-9
+COUNTERS, COUNTER_CHUNK = 1 << 20, 1 << 15  # hashed counters of shingles, whatever the corpus; sent in chunks
 
 
 def simhash(text: str | None, shingle: int, seed: int = 42) -> int:
@@ -136,14 +139,10 @@ def _bucket_rows(max_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             prints = batch.column(0).to_numpy().view(np.uint64)
-            family = batch.column(1).to_numpy()
-            for f in np.unique(family).tolist():
-                mine = prints[family == f]
-                for i in range(0, len(mine), CHUNK):
-                    buckets, values = _keys(mine[i:i + CHUNK], max_bits)
-                    buckets |= np.uint64(f << FAMILY_SHIFT)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(buckets.view(np.int64)), pa.array(values.view(np.int64))], ["bucket", "print"])
+            for i in range(0, len(prints), CHUNK):
+                buckets, values = _keys(prints[i:i + CHUNK], max_bits)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(buckets.view(np.int64)), pa.array(values.view(np.int64))], ["bucket", "print"])
     return run
 
 
@@ -153,15 +152,14 @@ def _bucket_links(max_bits: int):
         kept_b, kept_p = np.empty(0, np.int64), np.empty(0, np.int64)
 
         def links(b: np.ndarray, p: np.ndarray) -> pa.RecordBatch:
-            left, right, family = [], [], []
+            left, right = [], []
             edge = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1], [True]]))
             for s, e in zip(edge[:-1][np.diff(edge) > 1].tolist(), edge[1:][np.diff(edge) > 1].tolist()):
                 u, v = _span(p[s:e].view(np.uint64), chains[int(b[s]) >> SEGMENT_SHIFT])
                 left += u
                 right += v
-                family += [int(b[s]) >> FAMILY_SHIFT & (1 << SEGMENT_SHIFT - FAMILY_SHIFT) - 1] * len(u)
             ends = [np.array(x, dtype=np.uint64).view(np.int64) for x in (left, right)]
-            return pa.RecordBatch.from_arrays([*map(pa.array, ends), pa.array(family, pa.int32())], ["u", "v", "family"])
+            return pa.RecordBatch.from_arrays([*map(pa.array, ends)], ["u", "v"])
 
         for batch in batches:
             b = np.concatenate([kept_b, batch.column(0).to_numpy()])
@@ -177,16 +175,14 @@ def _bucket_links(max_bits: int):
 
 
 def near_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
-    """Links ``u, v, family`` that connect the same fingerprints as all pairs at ``max_bits`` or fewer would.
+    """Links ``u, v`` that connect the same fingerprints as all pairs at ``max_bits`` or fewer would.
 
-    ``prints``: distinct ``print`` and, where there are several independent fingerprints, the ``family``
-    (0..1023) each belongs to; only those of one family meet. Not every pair is given: a bucket gives
-    a spanning forest of its links, so a large group of near copies costs no quadratic output.
+    ``prints``: distinct ``print``. Not every pair is given: a bucket gives a spanning forest of its
+    links, so a large group of near copies costs no quadratic output.
     """
-    family = F.col("family").cast("int") if "family" in prints.columns else F.lit(0)
-    rows = prints.select("print", family.alias("family")).mapInArrow(_bucket_rows(max_bits), "bucket long, print long")
+    rows = prints.select("print").mapInArrow(_bucket_rows(max_bits), "bucket long, print long")
     rows = rows.repartition("bucket").sortWithinPartitions("bucket")
-    return rows.mapInArrow(_bucket_links(max_bits), "u long, v long, family int").distinct()
+    return rows.mapInArrow(_bucket_links(max_bits), "u long, v long").distinct()
 
 
 def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFrame:
@@ -202,7 +198,7 @@ def near_groups(docs: DataFrame, shingle: int = 4, max_bits: int = 4) -> DataFra
                              fingerprint(F.col("text"), shingle).alias("print")), "prints")
     least = rows.groupBy("print").agg(F.min("doc_id").alias("least"))
     least = stage(least, "distinct-prints")
-    roots = components(near_links(least.select("print"), max_bits).select("u", "v"))
+    roots = components(near_links(least.select("print"), max_bits))
     rooted = (least.join(roots.withColumnRenamed("node", "print"), "print", "left")
               .withColumn("root", F.coalesce("root", "print")))
     smallest = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -262,15 +258,58 @@ def prefix_length(size: int | np.ndarray, similarity: float) -> int | np.ndarray
     return np.where(size, size - np.ceil(similarity * size - EPS) + 1, 0).astype(np.int64)
 
 
-def _similar_sketch(shingle: int, similarity: float):
-    @F.pandas_udf("key string, size int, least array<long>")
+def print_of(hashes: np.ndarray) -> int:
+    """The fingerprint of a set of hashes as a signed 64-bit number."""
+    ones = np.zeros(BITS, dtype=np.int64)
+    for i in range(0, len(hashes), CHUNK):
+        octets = hashes[i:i + CHUNK].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(octets, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(ones * 2 > len(hashes), bitorder="little").view("<i8")[0])
+
+
+def shingle_ranks(docs: DataFrame, shingle: int) -> np.ndarray:
+    """How often a shingle stands in the sets of all documents, as one of ``COUNTERS`` small ranks.
+
+    A shingle's counter is its hash modulo their number, and a rank is the counter's logarithm, so the
+    table has the same size for any corpus. Only the order of a set's shingles depends on it, and any
+    order common to all sets is as good for results; this one sets frequent shingles last.
+    """
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTERS, dtype="<u4")
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                np.add.at(counts, (shingle_set(text, shingle) % np.uint64(COUNTERS)).astype(np.int64), np.uint32(1))
+        for i in range(0, COUNTERS, COUNTER_CHUNK):
+            part = counts[i:i + COUNTER_CHUNK]
+            if part.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([zlib.compress(part.tobytes(), 1)])], ["start", "counts"])
+
+    def total(key: tuple, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(COUNTER_CHUNK, dtype=np.int64)
+        for batch in parts:
+            for part in batch.column("counts").to_pylist():
+                counts += np.frombuffer(zlib.decompress(part), "<u4")
+        ranks = np.minimum(255, 6 * np.log2(counts + 1)).astype(np.uint8)
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()]), pa.array([ranks.tobytes()])], ["start", "ranks"])
+
+    sums = docs.select("text").mapInArrow(count, "start long, counts binary").groupBy("start").applyInArrow(
+        total, "start long, ranks binary")
+    ranks = np.zeros(COUNTERS, dtype=np.uint8)
+    for r in sums.collect():  # COUNTERS bytes
+        ranks[r.start:r.start + COUNTER_CHUNK] = np.frombuffer(r.ranks, np.uint8)
+    return ranks
+
+
+def _similar_sketch(shingle: int, similarity: float, ranks: np.ndarray):
+    @F.pandas_udf("key string, size int, print long, prefix array<long>")
     def run(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             members = shingle_set(t, shingle)
-            least = members[:int(prefix_length(len(members), similarity))]
-            out.append((hashlib.blake2b(members.tobytes(), digest_size=16).hexdigest(), len(members), least.view(np.int64)))
-        return pd.DataFrame(out, columns=["key", "size", "least"])
+            rare = np.argsort(ranks[(members % np.uint64(COUNTERS)).astype(np.int64)], kind="stable")
+            prefix = members[rare[:int(prefix_length(len(members), similarity))]]
+            out.append((hashlib.blake2b(members.tobytes(), digest_size=16).hexdigest(), len(members), print_of(members), prefix.view(np.int64)))
+        return pd.DataFrame(out, columns=["key", "size", "print", "prefix"])
     return run
 
 
@@ -337,60 +376,74 @@ def _bucket_pairs(low: int, high: int | None, similarity: float):
     return run
 
 
-def rare_first(sets: DataFrame, similarity: float) -> DataFrame:
-    """``token, node, size, at`` of the prefixes of ``sets(node, size, members)``: a set's rarest shingles,
-    as many as hold one of every set as similar; ``at`` is the shingle's place in the set, rarest first.
-    Shingles of one set alone count for the place but are no rows."""
-    rows = sets.select("node", F.col("size").cast("long").alias("size"), F.explode("members").alias("token"))
-    rows = rows.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("token"))).where("n > 1")
-    mine = Window.partitionBy("node")
-    at = F.col("size") - F.count(F.lit(1)).over(mine) + F.row_number().over(mine.orderBy("n", "token")) - 1
-    return (rows.withColumn("at", at.cast("long"))
-            .where(F.col("at") <= F.col("size") - F.ceil(F.col("size") * similarity - EPS)).select("token", "node", "size", "at"))
+def shared_prefixes(nodes: DataFrame, similarity: float) -> DataFrame:
+    """``token, node, size, at`` of the prefixes of ``nodes(node, size, prefix)``: a set's rarest shingles, as many as
+    hold one of every set as similar; ``at`` is the shingle's place in the set, rarest first. Rows without a
+    neighbour of fitting size under the same token are left out."""
+    rows = nodes.select("node", F.col("size").cast("long").alias("size"), F.posexplode("prefix").alias("at", "token"))
+    by_size = Window.partitionBy("token").orderBy("size", "node")
+    fits = ((F.lag("size").over(by_size) >= F.col("size") * similarity - EPS)
+            | (F.col("size") >= F.lead("size").over(by_size) * similarity - EPS))
+    return rows.withColumn("fits", fits).where("fits").select("token", "node", "size", F.col("at").cast("long").alias("at"))
+
+
+def print_pairs(nodes: DataFrame) -> DataFrame:
+    """``u, v`` to check first: nodes of equal fingerprints with the smallest of these, and the smallest of fingerprints
+    that pigeonring chains link."""
+    rows = nodes.where("size > 0").select("node", "print")
+    hubs = stage(rows.groupBy("print").agg(F.min("node").alias("hub")), "hubs")
+    equal = rows.join(hubs, "print").where("node <> hub").select(F.col("hub").alias("u"), F.col("node").alias("v"))
+    links = near_links(hubs.select("print"))
+    for end in ("u", "v"):
+        links = links.join(hubs.select(F.col("print").alias(end), F.col("hub").alias(f"_{end}")), end).drop(end)
+    return equal.union(links.select(F.least("_u", "_v"), F.greatest("_u", "_v")))
+
+
+def similar_pairs(proposed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs of ``proposed(u, v)`` whose sets are similar. Only the sets of proposed nodes are moved: each once to
+    its partner, and once to where those meet."""
+    held = sets.join(proposed.select(F.col("v").alias("node")).distinct(), "node", "left_semi")
+    pairs = (sets.select(F.col("node").alias("u"), F.col("members").alias("_a")).join(proposed, "u")
+             .join(held.select(F.col("node").alias("v"), F.col("members").alias("_b")), "v"))
+    both = F.size(F.array_intersect("_a", "_b"))
+    return pairs.where(both >= F.lit(similarity) * (F.size("_a") + F.size("_b") - both) - EPS).select("u", "v")
 
 
 def similar_roots(rows: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """``key, root`` of the keys of ``rows(id, row, key, size, least)`` that have a similar one.
+    """``key, root`` of the keys of ``rows(id, row, key, size, print, prefix)`` that have a similar one.
 
-    A pair that similar shares one of the first shingles of both in any common order. In the order of
-    the hashes, those without a partner of fitting size go; the others' sets are read again, and their
-    rarest shingles are the buckets. Each round proposes pairs of one bucket that confirmed links do
-    not join yet, neighbours by size first, all that are left last, and the sets decide.
+    Pairs of near fingerprints are checked first: they join most copies. Then every pair that similar
+    shares one of the first shingles of both, in an order common to all sets: these are the buckets. Each
+    round proposes pairs of one bucket that confirmed links do not join yet, neighbours by size first,
+    all that are left last, and the sets decide.
     """
-    keys = rows.groupBy("key").agg(F.min(F.struct("id", "row")).alias("at"), F.first("size").alias("size"))
-    keys = stage(keys.select("key", "at.id", "at.row", "size"), "shingle-sets")
-    firsts = rows.join(keys.select("id", "row"), ["id", "row"], "left_semi")
-    firsts = firsts.select(F.xxhash64("key").alias("name"), "size", F.explode("least").alias("token"))
-    by_size = Window.partitionBy("token").orderBy("size", "name")
-    fits = ((F.lag("size").over(by_size) >= F.col("size") * similarity - EPS)
-            | (F.col("size") >= F.lead("size").over(by_size) * similarity - EPS))
-    named = firsts.withColumn("fits", fits).where("fits").select("name").distinct()
-    asked = keys.withColumn("name", F.xxhash64("key")).join(named, "name", "left_semi")
-    places = stage(asked.select("key", "id", "row", "size", F.monotonically_increasing_id().alias("node")), "asked")
+    keys = rows.groupBy("key").agg(F.min(F.struct("id", "row")).alias("at"), *[F.first(c).alias(c) for c in ("size", "print", "prefix")])
+    nodes = stage(keys.select("key", "at.id", "at.row", "size", "print", "prefix", F.monotonically_increasing_id().alias("node")), "shingle-sets")
+    prefixes = stage(shared_prefixes(nodes, similarity), "prefixes")
+    by_print = stage(print_pairs(nodes).distinct(), "proposed")
+    asked = prefixes.select("node").union(by_print.select("u")).union(by_print.select("v")).distinct()
+    places = stage(nodes.join(asked, "node", "left_semi").select("node", "key", "id", "row"), "asked")
     texts = docs.select(F.coalesce("doc_id", F.lit(NOBODY)).alias("id"), F.xxhash64("text").alias("row"), "text")
-    sets = texts.join(places, ["id", "row"]).dropDuplicates(["node"]).select("node", "size", _sets(shingle)("text").alias("members"))
+    sets = texts.join(places, ["id", "row"]).dropDuplicates(["node"]).select("node", _sets(shingle)("text").alias("members"))
     sets = stage(sets, "members")
-    prefixes = stage(rare_first(sets, similarity), "prefixes")
-    links = roots = None
+    links = stage(similar_pairs(by_print, sets, similarity), "similar")
+    roots = stage(components(links), "roots")
     for low, high in zip(APART, [*APART[1:], None]):
-        held = prefixes.withColumn("root", F.col("node"))
-        if roots is not None:
-            held = (prefixes.join(roots.withColumnRenamed("root", "_root"), "node", "left")
-                    .select("token", "node", "size", "at", F.coalesce("_root", "node").alias("root")))
-            several = held.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
-            if several.isEmpty():
-                break
-            held = held.join(several, "token", "left_semi")
-        held = held.select("token", "node", "size", "at", "root").repartition("token").sortWithinPartitions("token", "size", "node")
+        held = (prefixes.join(roots.withColumnRenamed("root", "_root"), "node", "left")
+                .select("token", "node", "size", "at", F.coalesce("_root", "node").alias("root")))
+        several = held.groupBy("token").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a < b")
+        held = held.join(several, "token", "left_semi")
+        held = held.repartition("token").sortWithinPartitions("token", "size", "node")
         proposed = stage(held.mapInArrow(_bucket_pairs(low, high, similarity), "u long, v long").distinct(), "proposed")
-        pairs = (proposed.join(sets.select(F.col("node").alias("u"), F.col("members").alias("_a")), "u")
-                 .join(sets.select(F.col("node").alias("v"), F.col("members").alias("_b")), "v"))
-        both = F.size(F.array_intersect("_a", "_b"))
-        similar = pairs.where(both >= F.lit(similarity) * (F.size("_a") + F.size("_b") - both)).select("u", "v")
-        similar = stage(similar, "similar")
-        if roots is None or not similar.isEmpty():
-            links = similar if links is None else links.union(similar)
-            roots = components(links)
+        if proposed.isEmpty() and high is None:
+            break
+        similar = stage(similar_pairs(proposed, sets, similarity), "similar")
+        if not similar.isEmpty():
+            links, before = links.union(similar), roots
+            roots = stage(components(links), "roots")
+            unstage(before)
+        unstage(proposed)
+    unstage(sets, prefixes, by_print)
     top = places.select(F.col("node").alias("root"), F.col("key").alias("top"))
     return places.select("key", "node").join(roots, "node").join(top, "root").select("key", F.col("top").alias("root"))
 
@@ -406,10 +459,11 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
     words are alike and like no other. ``id`` is ``doc_id`` (null ids behind all others), ``row`` the hash
     of the text. Repeated rows share a root; other columns are ignored; an empty table gives no rows.
     """
+    ranks = shingle_ranks(docs, shingle)
     rows = docs.select(F.coalesce("doc_id", F.lit(NOBODY)).alias("id"), F.xxhash64("text").alias("row"),
-                       _similar_sketch(shingle, similarity)("text").alias("s"))
+                       _similar_sketch(shingle, similarity, ranks)("text").alias("s"))
     rows = stage(rows.select("id", "row", "s.*"), "sketches")
-    roots = similar_roots(rows, docs, shingle, similarity)
+    roots = stage(similar_roots(rows, docs, shingle, similarity), "similar-roots")
     return (rows.select("id", "row", "key").join(roots, "key", "left")
             .select("id", "row", F.coalesce("root", "key").alias("root")))
 
