@@ -11,7 +11,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -27,8 +27,9 @@ from attestary.session import stage
 CHUNK = 1 << 16  # bytes of a fragment; longer texts are dealt over tasks
 BLOCK = 1 << 21  # links of documents whose pairs are counted together before they are shuffled
 BLOCK_DOCS = 1 << 16
+SLICE = 1 << 20  # characters of texts whose new units are encoded together
 FAN_IN = 16  # neighbouring fragments one step of the reduction composes
-REMEMBERED = 200_000  # units a worker process remembers before it starts anew
+REMEMBERED = 300_000  # units a worker process remembers before it starts anew
 SPACE = "\u2581"  # the piece model's blank
 SEPARATORS = r"\x1c-\x1f"  # white space to Python, not to the tokenizers
 BLANK, INK = rf"[^\S{SEPARATORS}]", rf"[\S{SEPARATORS}]"
@@ -44,29 +45,18 @@ class Part(NamedTuple):
     whole: bool  # both tokenizers give the bytes back
 
 
-def group_links(a: Sequence[int], a_bytes: Sequence[int], b: Sequence[int], b_bytes: Sequence[int]) -> tuple[list[str], list[int]]:
-    """The groups of two token rows over the same bytes, and the pair of every two tokens that overlap."""
-    groups, pairs, n = [], [], len(a)
-    i = j = 0
-    left, right = ([str(a[0])], [str(b[0])]) if n else ([], [])
-    a_end, b_end = (a_bytes[0], b_bytes[0]) if n else (0, 0)
-    while i < n:
-        pairs.append(a[i] << 32 | b[j])
-        closes, more_a, more_b = a_end == b_end, a_end <= b_end, b_end <= a_end
-        if closes:
-            groups.append(f"{','.join(left)}|{','.join(right)}")
-            left, right = [], []
-        if more_a:
-            i += 1
-            if i < n:
-                a_end += a_bytes[i]
-                left.append(str(a[i]))
-        if more_b:
-            j += 1
-            if j < len(b):
-                b_end += b_bytes[j]
-                right.append(str(b[j]))
-    return groups, pairs
+def aligned_tokens(a: np.ndarray, a_bytes: np.ndarray, b: np.ndarray, b_bytes: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Where groups end in bytes and in tokens of either side, and where links end with the pair of each.
+
+    The bytes between two neighbouring ends of any token belong to one token of each side, and two tokens
+    that overlap share the bytes of exactly one such stretch: so stretches are links.
+    """
+    a_ends, b_ends = np.cumsum(a_bytes), np.cumsum(b_bytes)
+    both = np.sort(np.concatenate([a_ends, b_ends]), kind="stable")
+    last = np.append(both[1:] != both[:-1], True)
+    link_ends, group_ends = both[last], both[~last]
+    pairs = (a[np.searchsorted(a_ends, link_ends)] << 32) | b[np.searchsorted(b_ends, link_ends)]
+    return group_ends, np.searchsorted(a_ends, group_ends) + 1, np.searchsorted(b_ends, group_ends) + 1, link_ends, pairs
 
 
 class Units(dict):
@@ -81,9 +71,11 @@ class Units(dict):
         self.a, self.b = Tokenizer.from_file(byte_level), SentencePieceProcessor(model_file=pieces)
         self.a.encode_special_tokens = True  # their strings are plain text
         byte_of = {chr(BYTE_CHARS.get(b, b)): b for b in range(256)}
-        self.a_bytes = {i: bytes(map(byte_of.get, t)) for t, i in self.a.get_vocab(False).items() if set(t) <= byte_of.keys()}
+        known = {i: bytes(map(byte_of.get, t)) for t, i in self.a.get_vocab(False).items() if set(t) <= byte_of.keys()}
+        self.a_bytes = [known.get(i, b"") for i in range(max(known) + 1)]
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(names)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in t], dtype=np.int64) for t in (self.a_bytes, self.b_bytes))
         self.b_space = self.b.piece_to_id(SPACE)
         # white space that some piece has behind another character is no sure place to cut
         joined = {c for p in names for c in p[1:].replace(SPACE, "") if c.isspace()}
@@ -92,6 +84,7 @@ class Units(dict):
         self.joined = re.compile(f"[{re.escape(''.join(sorted(joined)))}]" if joined else r"(?!)")
         sure = rf"(?![{re.escape(''.join(sorted(joined)))}]){BLANK}" if joined else BLANK
         self.cut, self.plain = re.compile(rf"(?<={INK})(?={sure})"), re.compile(rf"{BLANK}*{INK}+|{BLANK}+")
+        self.chains = re.compile(rf"{sure}[\s\S]*{INK}\Z")  # units that may stand in any order without joining
 
     def split(self, text: str) -> list[str]:
         """The units of a text that begins at a cut."""
@@ -99,38 +92,60 @@ class Units(dict):
             return self.plain.findall(text)
         return [u for u in self.cut.split(text) if u]
 
-    def pieces(self, units: list[str]) -> Iterator[list[int]]:
-        """Ids of the piece model, which sets a blank before whatever it encodes."""
-        asked = self.b.encode([u[1:] if u[0] == " " else u for u in units], num_threads=1)
-        for unit, ids in zip(units, asked):
-            if unit == " ":
-                yield [self.b_space]
-            else:
-                yield ids if unit[0] == " " else ids[1:]
+    def tokens(self, text: str) -> tuple[list[int], list[int]]:
+        """Ids of both for a text that begins at a cut. The piece model sets a blank before whatever it encodes."""
+        a = self.a.encode(text, add_special_tokens=False).ids
+        if text == " ":
+            return a, [self.b_space]
+        return a, self.b.encode(text[1:], num_threads=1) if text[0] == " " else self.b.encode(text, num_threads=1)[1:]
 
     def learn(self, units: list[str]) -> None:
-        for unit, encoded, b in zip(units, self.a.encode_batch(units, add_special_tokens=False), self.pieces(units)):
-            a, raw = encoded.ids, unit.encode()
-            a_parts, b_parts = [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-            if b"".join(a_parts) == raw == b"".join(b_parts):
-                groups, pairs = group_links(a, list(map(len, a_parts)), b, list(map(len, b_parts)))
-                self[unit] = (";".join(groups), len(a), len(b), len(groups), np.array(pairs, dtype="<i8").tobytes(), True)
-            else:
-                self[unit] = ("", 0, 0, 0, b"", False)
-
-    def part(self, text: str) -> Part:
-        """The closed groups of a text that begins and ends at a cut."""
-        units = self.split(text)
-        new = [u for u in set(units) if u not in self]
+        """Encode all units as one text, so that both tokenizers and the alignment take them in one step; those that could
+        join, and those of a text that does not come back as it was, one by one."""
+        chained, rest = [], []
+        for u in units:
+            (chained if self.chains.match(u) else rest).append(u)
+        if chained and not self._learnt(chained):
+            rest += chained
+        for u in rest:
+            if not self._learnt([u]):
+                self[u] = ("", 0, 0, 0, b"", False)
+
+    def _learnt(self, units: list[str]) -> bool:
+        text = "".join(units)
+        raw, (a, b) = text.encode(), self.tokens(text)
+        if b"".join(map(self.a_bytes.__getitem__, a)) != raw or b"".join(map(self.b_bytes.__getitem__, b)) != raw:
+            return False
+        a_names, b_names = list(map(str, a)), list(map(str, b))
+        a, b = np.array(a, dtype=np.int64), np.array(b, dtype=np.int64)
+        group_ends, a_at, b_at, link_ends, pairs = aligned_tokens(a, self.a_sizes[a], b, self.b_sizes[b])
+        a_to, b_to = a_at.tolist(), b_at.tolist()
+        groups = [f"{','.join(a_names[i:j])}|{','.join(b_names[k:m])}"
+                  for i, j, k, m in zip([0, *a_to], a_to, [0, *b_to], b_to)]
+        ends = np.cumsum(np.fromiter(map(len, map(str.encode, units)), dtype=np.int64, count=len(units)))
+        last = np.searchsorted(group_ends, ends)
+        g, n_a, n_b = [0, *(last + 1).tolist()], np.diff(a_at[last], prepend=0).tolist(), np.diff(b_at[last], prepend=0).tolist()
+        links, packed = [0, *((np.searchsorted(link_ends, ends) + 1) * 8).tolist()], pairs.astype("<i8").tobytes()
+        for i, u in enumerate(units):
+            self[u] = (";".join(groups[g[i]:g[i + 1]]), n_a[i], n_b[i], g[i + 1] - g[i], packed[links[i]:links[i + 1]], True)
+        return True
+
+    def parts(self, texts: list[str]) -> Iterator[Part]:
+        """The closed groups of texts that begin and end at a cut."""
+        split = [self.split(t) for t in texts]
+        units = set().union(*split)
+        new = units.difference(self)
         if len(self) + len(new) > REMEMBERED:
             self.clear()
-            new = list(set(units))
+            new = units
         if new:
-            self.learn(new)
-        if not units:
-            return Part("", 0, 0, 0, np.empty(0, np.int64), True)
-        groups, n_a, n_b, n_groups, pairs, whole = zip(*map(self.__getitem__, units))
-        return Part(";".join(groups), sum(n_a), sum(n_b), sum(n_groups), np.frombuffer(b"".join(pairs), "<i8"), all(whole))
+            self.learn(list(new))
+        for mine in split:
+            if not mine:
+                yield Part("", 0, 0, 0, np.empty(0, np.int64), True)
+                continue
+            groups, n_a, n_b, n_groups, pairs, whole = zip(*map(self.__getitem__, mine))
+            yield Part(";".join(groups), sum(n_a), sum(n_b), sum(n_groups), np.frombuffer(b"".join(pairs), "<i8"), all(whole))
 
 
 class TokenizerPair(NamedTuple):
@@ -183,7 +198,7 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
 def _closed(uid: int, at: int, text: str, units: Units) -> list[tuple]:
     if not text:
         return []
-    part = units.part(text)
+    part, = units.parts([text])
     pairs, times = np.unique(part.pairs, return_counts=True)
     return [(uid, at, None, None, None, part.groups, part.n_a, part.n_b, part.n_groups, part.whole, pairs, times)]
 
@@ -287,14 +302,27 @@ def _block(number: int, docs: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, BLOCK_TYPES)], BLOCK_NAMES)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
+    for batch in batches:
+        names, texts, size = [], [], 0
+        for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+            names.append(name)
+            texts.append(text.as_py())
+            size += len(texts[-1] or "")
+            if size >= SLICE:
+                yield names, texts
+                names, texts, size = [], [], 0
+        yield names, texts
+
+
 def _blocks(pair: TokenizerPair):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units, docs, links = pair.units(), [], 0
         number = TaskContext.get().partitionId() << 32
-        for batch in batches:
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                part = units.part(" " + text) if text else None
+        for names, texts in _slices(batches):
+            found = units.parts([" " + t for t in texts if t])
+            for name, text in zip(names, texts):
+                part = next(found) if text else None
                 if part and part.whole:
                     keys, times = np.unique(part.pairs, return_counts=True)
                     docs.append((name, part.n_a, part.n_b, part.n_groups, len(part.pairs),

@@ -13,6 +13,7 @@ from attestary.session import stage
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 RULES = "rule string, verdict string, pattern string, level int"
 SITE, GENERAL = 1, 0  # a site rule goes before any general pattern
+SALTS = 32  # a token that most URLs hold is this many groups of the join
 EVERYWHERE = ""  # the token of patterns that have none of their own; every URL has it
 
 # general patterns of unwanted hosts and paths, fixed values
@@ -90,14 +91,17 @@ def verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
     A URL's tokens fetch the rules listed under them, and only these run their expression. Of the
     rules that fit, a site rule goes before a general one, then the longer rule, then a block, then
-    the rule that comes last by code point. Both tables are left to Spark's own size checks.
+    the rule that comes last by code point. Both tables are left to Spark's own size checks; where they
+    are shuffled, a token is ``SALTS`` groups, and every rule is in each of its token's.
     """
     host, path = host_and_path(F.col("url"))
     places = stage(urls.where("url is not null").select("url").distinct()
                    .select("url", F.concat(host, path).alias("place")).where("place <> ''"), "urls")
     index = stage(rule_index(rules, places), "rule-index")
-    asked = places.select("url", "place", F.explode(F.concat(url_tokens(F.col("place")), F.array(F.lit(EVERYWHERE)))).alias("token"))
-    fitting = asked.join(index, "token").where("place rlike expression")
+    asked = places.select("url", "place", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int").alias("salt"),
+                          F.explode(F.concat(url_tokens(F.col("place")), F.array(F.lit(EVERYWHERE)))).alias("token"))
+    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    fitting = asked.join(salted, ["token", "salt"]).where("place rlike expression")
     best = F.max(F.struct("level", F.length("rule").alias("size"), (F.col("verdict") == "block").alias("blocks"), "rule", "pattern",
                           "verdict"))
     return fitting.groupBy("url").agg(best.alias("best"))

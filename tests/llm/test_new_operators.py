@@ -127,8 +127,14 @@ def test_units_are_encoded_as_in_the_whole_text(text):
         return
     parts = units.split(" " + text)
     assert "".join(parts) == " " + text
-    assert [i for e in units.a.encode_batch(parts, add_special_tokens=False) for i in e.ids] == units.a.encode(" " + text, add_special_tokens=False).ids
-    assert [i for ids in units.pieces(parts) for i in ids] == units.b.encode(text)
+    found = [units.tokens(p) for p in parts]
+    assert [i for a, _ in found for i in a] == units.a.encode(" " + text, add_special_tokens=False).ids
+    assert [i for _, b in found for i in b] == units.b.encode(text)
+    units.clear()
+    part, = units.parts([" " + text])
+    whole = brute_tokens(text, units.a, units.b, units.a_bytes, units.b_bytes)
+    assert part.whole == (whole is not None)
+    assert not whole or (part.n_a, part.n_b) == (len(whole[0][0]), len(whole[1][0]))
 
 
 # --- clustering -----------------------------------------------------------------------------------
