@@ -23,13 +23,16 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from pyspark.sql.functions import pandas_udf
 
 from attestary import fixed
-from attestary.functions.text import (excerpt, flatten_text, fold_with_origin, has_whole, norm,
-                                      page_marks, squash, strip)
+from attestary.functions.text import excerpt, flatten_text, fold_with_origin, has_whole, norm, squash, strip
 from attestary.functions.values import date_variants
-from attestary.session import stage
+from attestary.operators.pages import page_of, page_starts
+from attestary.session import shared_dir, stage
 
 GRAM, WINDOW = 5, 7
 GRAM_FROM = GRAM + WINDOW - 1
+DOC = ["job_id", "derived", "doc_no"]
+# the filter of sought anchors: a block of 64 bits per word, four bits per anchor, one array of words per job group
+FILTER_GROUPS, FILTER_WORDS, FILTER_BITS = 16, 1 << 14, 4
 
 
 # --- anchors --------------------------------------------------------------------------------
@@ -101,36 +104,108 @@ def matches(normal: Column, needle: Column, whole: Column) -> Column:
 # --- the index and the search ---------------------------------------------------------------
 
 def source_index(docs: DataFrame, derived: DataFrame | None = None) -> DataFrame:
-    """``(job_id, ord, filename, markdown)``; derived texts come after all documents.
+    """``(job_id, derived, doc_no, filename, markdown)``; derived texts come after all documents.
 
-    Normal forms are not stored: they are needed for all documents once, and afterwards only for
-    those that hold a candidate.
+    Normal forms are made where they are needed. To keep them, and to search the same documents again,
+    write the index with :func:`store_index`.
     """
     def rows(df: DataFrame, flag: bool) -> DataFrame:
-        order = F.struct(F.lit(flag).alias("derived"), F.col("doc_no").cast("bigint").alias("doc_no"))
         name = F.coalesce(F.nullif("filename", F.lit("")), F.lit("document"))
         return (df.where(F.length("markdown") > 0)
-                .select("job_id", order.alias("ord"), name.alias("filename"), "markdown"))
+                .select("job_id", F.lit(flag).alias("derived"), F.col("doc_no").cast("bigint").alias("doc_no"),
+                        name.alias("filename"), "markdown"))
     found = rows(docs, False)
     return found if derived is None else found.unionByName(rows(derived, True))
 
 
+def store_index(index: DataFrame, table: str | None = None, buckets: int | None = None) -> DataFrame:
+    """The index as a table bucketed by document, with normal forms; an existing ``table`` is appended to.
+
+    Whatever meets a document later joins by its bucket, so texts are shuffled once, here, and never
+    again. ``buckets`` (the session's shuffle partitions) must be the same for all appends. Without a
+    name the table is one of this session, in the shared folder.
+    """
+    spark = index.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = index.select(*DOC, "filename", "markdown", norm(F.col("markdown")).alias("normal")).repartition(n, *DOC)
+    writer = rows.write.format("parquet").mode("append").bucketBy(n, *DOC).sortBy(*DOC)
+    if table is None:
+        path = shared_dir(spark, "source-index")
+        table = path.rsplit("/", 1)[1].replace("-", "_")
+        writer = writer.option("path", path)
+    writer.saveAsTable(table)
+    return spark.table(table)
+
+
 def _whole(needle: Column, asked: Column) -> Column:
     return asked | (F.length(needle) < fixed.WHOLE_WORD_BELOW)
 
 
+def _ord() -> Column:
+    """Documents in order: derived texts last."""
+    return F.struct("derived", "doc_no")
+
+
+def _normal(index: DataFrame) -> Column:
+    return F.col("normal") if "normal" in index.columns else norm(F.col("markdown"))
+
+
 def _normals_of(index: DataFrame, candidates: DataFrame) -> DataFrame:
     """Normal forms of the documents that hold a candidate, and of no others."""
-    held = candidates.select("job_id", "ord").distinct()
-    return (index.join(held, ["job_id", "ord"], "left_semi")
-            .select("job_id", "ord", norm(F.col("markdown")).alias("normal")))
+    held = candidates.select("job_id", "ord.derived", "ord.doc_no").distinct()
+    return index.join(held, DOC, "left_semi").select(*DOC, _normal(index).alias("normal"))
+
+
+def _checked(candidates: DataFrame, index: DataFrame) -> DataFrame:
+    """``candidates`` with the normal form of their document; documents stay where their bucket is."""
+    return (candidates.withColumns({"derived": F.col("ord.derived"), "doc_no": F.col("ord.doc_no")})
+            .join(_normals_of(index, candidates), DOC))
+
 
+def _job_group() -> Column:
+    return F.pmod(F.xxhash64("job_id"), F.lit(FILTER_GROUPS)).cast("int")
 
-def _postings(index: DataFrame, sought: DataFrame) -> DataFrame:
-    """``(job_id, anchor, ord)`` of the sought anchors. Spark sizes this join itself."""
-    found = (index.select("job_id", "ord", norm(F.col("markdown")).alias("normal"))
-             .select("job_id", "ord", F.explode(document_anchors(F.col("normal"))).alias("anchor")))
-    return found.join(sought, ["job_id", "anchor"], "left_semi")
+
+def _block(anchor: Column) -> Column:
+    return F.shiftrightunsigned(anchor, 30).bitwiseAND(FILTER_WORDS - 1).cast("int")
+
+
+def _bits(anchor: Column) -> Column:
+    """The bits an anchor has in its block."""
+    out = None
+    for i in range(FILTER_BITS):
+        at = F.shiftrightunsigned(anchor, 6 * i).bitwiseAND(63).cast("int")
+        bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), at)
+        out = bit if out is None else out.bitwiseOR(bit)
+    return out
+
+
+def anchor_filter(terms: DataFrame) -> DataFrame:
+    """``grp, words``: a blocked Bloom filter of the anchors sought in each group of jobs.
+
+    At most ``FILTER_GROUPS`` rows of ``FILTER_WORDS`` numbers, however many anchors there are; where
+    they are too many for it, more anchors pass to the exact join behind it.
+    """
+    blocks = (terms.groupBy(_job_group().alias("grp"), _block(F.col("anchor")).alias("at"))
+              .agg(F.bit_or(_bits(F.col("anchor"))).alias("bits")))
+    each = F.transform(F.sequence(F.lit(0), F.lit(FILTER_WORDS - 1)), lambda i: F.struct(i.alias("at"), F.lit(0).cast("bigint").alias("bits")))
+    empty = blocks.select("grp").distinct().select("grp", F.inline(each))
+    dense = empty.unionByName(blocks).groupBy("grp", "at").agg(F.bit_or("bits").alias("bits"))
+    return dense.groupBy("grp").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda x: x["bits"]).alias("words"))
+
+
+def _postings(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """``(job_id, anchor, ord)`` of the sought anchors.
+
+    Each document's anchors pass the filter of its job group before they become rows, so what goes on
+    to the exact join is what is sought, and little else.
+    """
+    filters = stage(anchor_filter(terms), "anchor-filter")
+    found = index.select(*DOC, _job_group().alias("grp"), document_anchors(_normal(index)).alias("anchors"))
+    passing = F.filter("anchors", lambda a: F.element_at("words", _block(a) + 1).bitwiseAND(_bits(a)) == _bits(a))
+    found = (found.join(F.broadcast(filters), "grp")  # FILTER_GROUPS rows of FILTER_WORDS numbers
+             .select("job_id", _ord().alias("ord"), F.explode(passing).alias("anchor")))
+    return found.join(terms.select("job_id", "anchor").distinct(), ["job_id", "anchor"], "left_semi")
 
 
 def find(needles: DataFrame, index: DataFrame) -> DataFrame:
@@ -150,7 +225,7 @@ def find(needles: DataFrame, index: DataFrame) -> DataFrame:
                   .select("job_id", "nid", F.size("_a").alias("n"), F.explode("_a").alias("anchor")),
                   "needle-anchors")
     # only sought anchors go on from the documents: thin enough to keep for both passes
-    postings = stage(_postings(index, terms.select("job_id", "anchor").distinct()), "postings")
+    postings = stage(_postings(index, terms), "postings")
 
     # aggregated before it meets the needles: map-side, a hot anchor is one row per task
     firsts = postings.groupBy("job_id", "anchor").agg(
@@ -162,8 +237,7 @@ def find(needles: DataFrame, index: DataFrame) -> DataFrame:
              F.min(F.struct("df", "anchor"))["anchor"].alias("anchor"))
         .where("found = n").select("job_id", "nid", "ord", "anchor"), "needle-bounds")
     ok = matches(F.col("normal"), F.col("needle"), F.col("whole"))
-    checked = stage(bounds.join(asked, ["job_id", "nid"])
-                    .join(_normals_of(index, bounds), ["job_id", "ord"])
+    checked = stage(_checked(bounds.join(asked, ["job_id", "nid"]), index)
                     .select(*key, "ord", "anchor", ok.alias("ok")), "needle-checks")
     found = checked.where("ok").select(*key, "ord")
 
@@ -171,8 +245,7 @@ def find(needles: DataFrame, index: DataFrame) -> DataFrame:
     open_ = checked.where("NOT ok").select(*key, "anchor", F.col("ord").alias("bound"))
     later = stage(postings.join(open_, ["job_id", "anchor"]).where(F.col("ord") > F.col("bound"))
                   .select(*key, "ord"), "needle-candidates")
-    rest = (later.join(_normals_of(index, later), ["job_id", "ord"]).where(ok)
-            .groupBy(*key).agg(F.min("ord").alias("ord")))
+    rest = _checked(later, index).where(ok).groupBy(*key).agg(F.min("ord").alias("ord"))
     return found.unionByName(rest)
 
 
@@ -180,21 +253,18 @@ def find(needles: DataFrame, index: DataFrame) -> DataFrame:
 
 # of the needles that share a document, about this many parts go to Python apart
 PARTS = 16
-_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()),
-                                   T.StructField("page", T.IntegerType())]))
-_NEVER = (None, None, None)
+_SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
+_NEVER = (None, None)
 
 
 class _Places:
     """Where needles stand in one text: its normal form and the offset of each of its characters."""
 
-    def __init__(self, text: str, marks):
+    def __init__(self, text: str):
         self.normal, self.origin = fold_with_origin(text)
         self.padded, self.tight = f" {self.normal} ", self.normal.replace(" ", "")
         codes = np.frombuffer(self.normal.encode("utf-32-le"), dtype="<u4")
         self.solid = np.flatnonzero(codes != ord(" "))
-        self.starts = np.array([m["start"] for m in marks], dtype=np.int64)
-        self.pages = [m["page"] for m in marks]
 
     def of(self, needle: str, whole: bool) -> tuple:
         at = self.padded.find(f" {needle} ") if whole else self.normal.find(needle)
@@ -205,17 +275,15 @@ class _Places:
             if at < 0 or not short:
                 return _NEVER
             first, last = self.solid[at], self.solid[at + len(short) - 1]
-        start, stop = int(self.origin[first]), int(self.origin[last]) + 1
-        before = int(np.searchsorted(self.starts, start, side="right"))
-        return start, stop, self.pages[before - 1] if before else None
+        return int(self.origin[first]), int(self.origin[last]) + 1
 
 
 @pandas_udf(_SPANS)
-def _spans(texts: pd.Series, marks: pd.Series, needles: pd.Series) -> pd.Series:
-    """Offsets and page of every needle of a text; the text is folded once for all of them."""
+def _spans(texts: pd.Series, needles: pd.Series) -> pd.Series:
+    """Offsets of every needle of a text; the text is folded once for all of them."""
     out = []
-    for text, heads, wanted in zip(texts, marks, needles):
-        places = _Places(text, heads)
+    for text, wanted in zip(texts, needles):
+        places = _Places(text)
         out.append([places.of(n["needle"], n["whole"]) for n in wanted])
     return pd.Series(out, dtype=object)
 
@@ -224,22 +292,25 @@ def locate(hits: DataFrame, index: DataFrame) -> DataFrame:
     """Adds document, page, excerpt, match and offset to ``hits(job_id, ord, needle, whole, …)``.
 
     Needles come to their document, not the document to each needle: a text is read once per part
-    of its needles.
+    of its needles. The page is the last heading at or before the hit: page starts and hits of a
+    document are merged in order and swept once.
     """
-    key = ["job_id", "ord", "needle", "whole"]
+    key = [*DOC, "needle", "whole"]
+    flat = hits.withColumns({"derived": F.col("ord.derived"), "doc_no": F.col("ord.doc_no")})
     part = F.pmod(F.xxhash64("needle"), F.lit(PARTS))
-    wanted = (hits.groupBy("job_id", "ord", part.alias("_part"))
-              .agg(F.collect_set(F.struct("needle", "whole")).alias("_n")))
-    text, at = F.col("markdown"), F.col("_s")
+    wanted = (flat.groupBy(*DOC, part.alias("_part")).agg(F.collect_set(F.struct("needle", "whole")).alias("_n")))
+    text = F.col("markdown")
     found = F.transform(F.arrays_zip("_n", "_at"), lambda x: F.struct(
-        x["_n"]["needle"].alias("needle"), x["_n"]["whole"].alias("whole"), x["_at"]["page"].alias("source_page"),
+        x["_n"]["needle"].alias("needle"), x["_n"]["whole"].alias("whole"),
         excerpt(text, x["_at"]["start"], x["_at"]["stop"]).alias("source_excerpt"),
         flatten_text(F.substring(text, x["_at"]["start"] + 1, x["_at"]["stop"] - x["_at"]["start"])).alias("source_match"),
-        x["_at"]["start"].alias("source_offset")))
-    placed = (index.join(wanted, ["job_id", "ord"])
-              .withColumn("_at", _spans(text, page_marks(text), F.col("_n")))
-              .select("job_id", "ord", F.col("filename").alias("source_document"), F.inline(found)))
-    return hits.join(placed, key)
+        x["_at"]["start"].alias("offset")))
+    placed = (index.join(wanted, DOC).withColumn("_at", _spans(text, F.col("_n")))
+              .select(*DOC, F.col("filename").alias("source_document"), F.inline(found)))
+    placed = stage(placed, "places")
+    starts = page_starts(index.join(placed.select(*DOC).distinct(), DOC, "left_semi"), DOC)
+    paged = page_of(starts, placed, DOC).withColumnsRenamed({"page": "source_page", "offset": "source_offset"})
+    return flat.join(paged, key).drop("derived", "doc_no")
 
 
 # --- quotes and values ----------------------------------------------------------------------

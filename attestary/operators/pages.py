@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from attestary import fixed
@@ -63,25 +65,24 @@ def cache_evict(cache: DataFrame, size: int = fixed.CACHE_SIZE) -> DataFrame:
     return cache.orderBy(F.desc("cached_at"), "content_hash").limit(size)
 
 
-def page_starts(docs: DataFrame) -> DataFrame:
-    """``(job_id, doc_no, start, page)``, one row per page heading."""
-    return (docs.select("job_id", "doc_no", page_marks(F.col("markdown")).alias("_t"))
-            .select("job_id", "doc_no", F.inline("_t")))
+def page_starts(docs: DataFrame, key: Sequence[str] = ("job_id", "doc_no")) -> DataFrame:
+    """The ``key`` of a document with ``start, page``, one row per page heading."""
+    return docs.select(*key, page_marks(F.col("markdown")).alias("_t")).select(*key, F.inline("_t"))
 
 
-def page_of(starts: DataFrame, hits: DataFrame) -> DataFrame:
-    """Page of each hit ``(job_id, doc_no, offset, ...)``: the last heading at or before it.
+def page_of(starts: DataFrame, hits: DataFrame, key: Sequence[str] = ("job_id", "doc_no")) -> DataFrame:
+    """Page of each hit (``key``, ``offset``, ...): the last heading at or before it.
 
     Headings and hits are merged and swept once per document, so no heading meets every hit.
     """
-    extra = [c for c in hits.columns if c not in ("job_id", "doc_no", "offset")]
+    extra = [c for c in hits.columns if c not in (*key, "offset")]
     marks = starts.select(
-        "job_id", "doc_no", F.col("start").alias("offset"), F.lit(0).alias("_hit"),
+        *key, F.col("start").alias("offset"), F.lit(0).alias("_hit"),
         F.col("page").alias("_page"), *[F.lit(None).cast(hits.schema[c].dataType).alias(c)
                                         for c in extra])
-    asked = hits.select("job_id", "doc_no", "offset", F.lit(1).alias("_hit"),
+    asked = hits.select(*key, "offset", F.lit(1).alias("_hit"),
                         F.lit(None).cast("int").alias("_page"), *extra)
-    w = (W.partitionBy("job_id", "doc_no").orderBy("offset", "_hit")
+    w = (W.partitionBy(*key).orderBy("offset", "_hit")
          .rowsBetween(W.unboundedPreceding, W.currentRow))
     return (marks.unionByName(asked)
             .withColumn("page", F.last("_page", ignorenulls=True).over(w))

@@ -10,9 +10,9 @@ WS = r"[\s\p{Z}]"
 DOCS = "SELECT source AS job_id, doc_id AS doc_no, concat('doc', CAST(doc_id AS STRING), '.pdf') AS filename, text AS markdown FROM {documents}"
 
 
-def page_rows(s: Source) -> DataFrame:
+def page_rows(s: Source, docs: DataFrame | None = None) -> DataFrame:
     """Every line of a document is a page."""
-    return s.table("documents").select(
+    return (s.table("documents") if docs is None else docs).select(
         F.col("source").alias("job_id"), F.col("doc_id").alias("doc_no"),
         F.posexplode(F.split("text", "\n", -1)).alias("at", "text")) \
         .withColumn("page_no", F.col("at") + 1)
