@@ -8,7 +8,8 @@ from attestary import fixed
 from attestary.functions.paths import section_of
 from attestary.functions.text import estimate_tokens
 from attestary.operators.admission import nonblank_docs
-from attestary.operators.numbering import number_rows, running_offsets
+from attestary.operators.numbering import number_rows, running_offsets, running_sums
+from attestary.session import stage
 
 
 def batch_fields(fields: DataFrame, size: int = fixed.BATCH_FIELDS) -> DataFrame:
@@ -111,23 +112,71 @@ def _json_text(c: Column) -> Column:
     return F.substring(quoted, F.lit(2), F.length(quoted) - 2)
 
 
-def merged_synthesis(jobs: DataFrame, summaries: DataFrame) -> DataFrame:
-    """``(job_id, synthesis)`` of every job: NULL without a summary, a single summary as it is, else a
-    JSON object with all entries of all summaries under their part, each with its document."""
+def synthesis_entries(summaries: DataFrame) -> DataFrame:
+    """``(job_id, at, text)``: the merged synthesis of every job with several summaries as a row of short texts.
+
+    In order of ``at``, their first offset, the texts make one JSON object with all entries of all
+    summaries under their part, each with its document. Offsets are running sums over blocks, so a job
+    of any size is spread over tasks and never gathered.
+    """
     ok = summaries.where("summary IS NOT NULL")
-    single = ok.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.min("summary").alias("only"))
+    several = ok.groupBy("job_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("job_id")
     nested = F.col("entry").rlike(r"^\s*[\[{]") & F.try_parse_json("entry").isNotNull()
     item = F.concat(F.lit('{"document_source": '), _json_text(F.col("document_source")), F.lit(', "valeur": '),
                     F.when(nested, F.col("entry")).otherwise(_json_text(F.col("entry"))), F.lit("}"))
-    rows = F.array_sort(F.collect_list(F.struct("doc_no", "entry_no", item.alias("t"))))
-    parts = (merge_summaries(ok).groupBy("job_id", "part")
-             .agg(F.array_join(F.transform(rows, lambda r: r["t"]), ", ").alias("l")))
-    pair = F.concat(_json_text(F.col("part")), F.lit(": ["), F.col("l"), F.lit("]"))
-    whole = (parts.groupBy("job_id").agg(F.array_sort(F.collect_list(pair)).alias("p"))
-             .select("job_id", F.concat(F.lit("{"), F.array_join("p", ", "), F.lit("}")).alias("merged")))
-    return (jobs.select("job_id").join(single, "job_id", "left").join(whole, "job_id", "left")
-            .select("job_id", F.when(F.col("n") == 1, F.col("only")).when(F.col("n") > 1, F.col("merged"))
-                    .alias("synthesis")))
+    # every entry is led by a comma; the first of a part, an entry of its own, opens it and has no comma behind it
+    entries = (merge_summaries(ok).join(several, "job_id", "left_semi")
+               .select("job_id", "part", F.col("doc_no").cast("bigint").alias("doc_no"), F.col("entry_no").cast("bigint").alias("entry_no"), item.alias("item")))
+    entries = stage(entries.withColumn("size", F.length("item").cast("bigint") + 2), "synthesis-entries")
+    parts = entries.groupBy("job_id", "part").agg(F.sum("size").alias("size"))
+    # a handful of parts per job: each opens with its name, and the last one closes the object
+    by_part = W.partitionBy("job_id").orderBy("part")
+    opening = F.concat(F.when(F.col("k") == 1, "{").otherwise("], "), _json_text(F.col("part")), F.lit(": ["))
+    parts = parts.withColumn("k", F.row_number().over(by_part)).withColumn("opening", opening)
+    # the comma of a part's first entry is not written
+    whole = F.length("opening") + F.col("size") - 2
+    before = F.coalesce(F.sum(whole).over(by_part.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = stage(parts.withColumns({"before": before, "whole": whole}), "synthesis-parts")
+    placed = running_sums(entries, ["job_id", "part"], "doc_no", ["entry_no", "item"], "size", "ahead")
+    start = F.col("before") + F.length("opening") + F.greatest(F.col("ahead") - 2, F.lit(0))
+    texts = (placed.join(parts.select("job_id", "part", "opening", "before"), ["job_id", "part"])
+             .select("job_id", start.cast("bigint").alias("at"), F.when(F.col("ahead") == 0, F.col("item")).otherwise(F.concat(F.lit(", "), "item")).alias("text")))
+    heads = parts.select("job_id", F.col("before").cast("bigint").alias("at"), F.col("opening").alias("text"))
+    ends = parts.groupBy("job_id").agg(F.max(F.col("before") + F.col("whole")).cast("bigint").alias("at")).withColumn("text", F.lit("]}"))
+    return texts.unionByName(heads).unionByName(ends)
+
+
+def synthesis_pieces(summaries: DataFrame, size: int = fixed.SYNTHESIS_PIECE) -> DataFrame:
+    """``(job_id, piece_no, text)``: the synthesis of every job that has one, in pieces of about ``size`` characters.
+
+    A single summary is left as it is, in one piece; otherwise a piece holds the entries that begin in
+    its stretch of the merged object, so it is longer than ``size`` by one entry at most. Joined in order
+    the pieces are the whole object; no entry is cut or left out, whatever the size of the job.
+    """
+    ok = summaries.where("summary IS NOT NULL")
+    single = (ok.groupBy("job_id").agg(F.count(F.lit(1)).alias("n"), F.min("summary").alias("text")).where("n = 1")
+              .select("job_id", F.lit(0).cast("bigint").alias("piece_no"), "text"))
+    rows = F.array_sort(F.collect_list(F.struct("at", "text")))  # at most ``size`` characters and one entry
+    merged = (synthesis_entries(summaries).groupBy("job_id", F.floor(F.col("at") / size).cast("bigint").alias("piece_no"))
+              .agg(F.array_join(F.transform(rows, lambda r: r["text"]), "").alias("text")))
+    return single.unionByName(merged)
+
+
+def merged_synthesis(jobs: DataFrame, summaries: DataFrame, limit: int = fixed.DIRECT_TOKENS) -> DataFrame:
+    """``(job_id, synthesis)`` of every job: NULL without a summary, a single summary as it is, else a
+    JSON object with all entries of all summaries under their part, each with its document.
+
+    A merged object beyond ``limit`` tokens is no prompt; it stays in :func:`synthesis_pieces` and is
+    NULL here.
+    """
+    pieces = stage(synthesis_pieces(summaries), "synthesis-pieces")
+    given = summaries.where("summary IS NOT NULL").groupBy("job_id").agg(F.count(F.lit(1)).alias("given"))
+    small = (pieces.groupBy("job_id").agg(F.sum(F.length("text")).alias("n")).join(given, "job_id")
+             .where((F.col("n") <= limit * 4) | (F.col("given") == 1)))
+    rows = F.array_sort(F.collect_list(F.struct("piece_no", "text")))  # of jobs under the limit
+    whole = (pieces.join(small.select("job_id"), "job_id", "left_semi").groupBy("job_id")
+             .agg(F.array_join(F.transform(rows, lambda r: r["text"]), "").alias("synthesis")))
+    return jobs.select("job_id").join(whole, "job_id", "left").select("job_id", "synthesis")
 
 
 def derived_docs(synthesis: DataFrame) -> DataFrame:

@@ -45,3 +45,18 @@ def running_offsets(counts: DataFrame, group: str, unit: str, n: str,
     return (blocked.withColumn("_in", earlier([group, "_b"], unit, F.col(n)))
             .join(bases, [group, "_b"])
             .select(group, unit, (F.col("_base") + F.col("_in")).alias("offset")))
+
+
+def running_sums(df: DataFrame, group: list[str], order: str, ties: list[str], value: str, name: str,
+                 block: int = BLOCK) -> DataFrame:
+    """Adds ``name``: what ``value`` sums up to over the rows of the group ahead of a row, by the integer column
+    ``order``, then by ``ties``. ``group`` and ``order`` hold no nulls. ``df`` is read twice."""
+    rows = df.withColumn("_b", F.floor(F.col(order) / block))
+
+    def earlier(by: list[str], orders: list[str], what: str) -> Column:
+        w = W.partitionBy(*by).orderBy(*orders).rowsBetween(W.unboundedPreceding, -1)
+        return F.coalesce(F.sum(what).over(w), F.lit(0))
+    bases = (rows.groupBy(*group, "_b").agg(F.sum(value).alias("_s"))
+             .withColumn("_base", earlier(group, ["_b"], "_s")).drop("_s"))
+    return (rows.withColumn("_in", earlier([*group, "_b"], [order, *ties], value)).join(bases, [*group, "_b"])
+            .withColumn(name, (F.col("_base") + F.col("_in")).cast("bigint")).drop("_b", "_in", "_base"))

@@ -2,20 +2,74 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from attestary import fixed
 
 
+JOURNAL = T.StructType([T.StructField("prompt_key", T.StringType()), T.StructField("raw", T.StringType())])
+JOURNAL_BATCH = 16  # answers that are written together
+
+
+class Journal:
+    """Answers kept in a folder that driver and executors share, one small file per batch of calls.
+
+    A file appears under its final name when it is complete, so a task that dies leaves whole batches.
+    Files are named by the run and partition that asked, so a task that runs again finds what its earlier
+    attempts have answered, and later runs find all of it.
+    """
+
+    def __init__(self, path: str):
+        self.path = path.rstrip("/")
+
+    def _folder(self):
+        from pyarrow import fs
+        if "://" in self.path or self.path.startswith("file:"):
+            return fs.FileSystem.from_uri(self.path)
+        return fs.LocalFileSystem(), self.path
+
+    def known(self, spark) -> DataFrame:
+        """``prompt_key, raw`` of all answers so far."""
+        system, folder = self._folder()
+        system.create_dir(folder, recursive=True)
+        return spark.read.schema(JOURNAL).option("pathGlobFilter", "*.json").json(self.path).where("prompt_key IS NOT NULL").dropDuplicates(["prompt_key"])
+
+    def mine(self, run: str, partition: int) -> dict[str, str]:
+        """What earlier attempts of a task have answered."""
+        from pyarrow import fs
+        system, folder = self._folder()
+        out = {}
+        for info in system.get_file_info(fs.FileSelector(folder)):
+            if info.base_name.startswith(f"{run}-{partition}-") and info.base_name.endswith(".json"):
+                with system.open_input_stream(info.path) as f:
+                    for line in f.read().decode().splitlines():
+                        row = json.loads(line)
+                        out[row["prompt_key"]] = row["raw"]
+        return out
+
+    def append(self, run: str, partition: int, rows: list[tuple[str, str]]) -> None:
+        system, folder = self._folder()
+        name = f"{folder}/{run}-{partition}-{uuid.uuid4().hex}"
+        with system.open_output_stream(name + ".part") as f:
+            f.write("".join(json.dumps({"prompt_key": k, "raw": r}) + "\n" for k, r in rows).encode())
+        system.move(name + ".part", name + ".json")
+
+
 def infer(prompts: DataFrame, answer: Callable[[str], str], tries: int = fixed.INFER_TRIES,
-          pause: float = fixed.INFER_PAUSE_SECONDS, tasks: int | None = None) -> DataFrame:
+          pause: float = fixed.INFER_PAUSE_SECONDS, tasks: int | None = None, journal: str | None = None) -> DataFrame:
     """Adds ``raw``, the answer of a callable to each prompt, NULL after ``tries`` failures.
 
-    The number of partitions bounds the calls in flight; set it with ``tasks``.
+    The number of partitions bounds the calls in flight; set it with ``tasks``. With ``journal``, a
+    folder, answers are written there as they come: prompts answered in it are not asked again, by
+    whatever run, and a task that is run again goes on behind its last written batch. Failures are
+    not kept. A prompt is known by its SHA-256, so equal prompts may be asked once each in one run.
     """
     if tasks:
         prompts = prompts.repartition(tasks)
@@ -33,7 +87,37 @@ def infer(prompts: DataFrame, answer: Callable[[str], str], tries: int = fixed.I
         for pdf in batches:
             yield pdf.assign(raw=[one(p) for p in pdf["prompt"]])
     schema = T.StructType(prompts.schema.fields + [T.StructField("raw", T.StringType())])
-    return prompts.mapInPandas(run, schema)
+    if journal is None:
+        return prompts.mapInPandas(run, schema)
+
+    book, this_run = Journal(journal), uuid.uuid4().hex
+    keyed = prompts.withColumn("prompt_key", F.sha2(F.coalesce("prompt", F.lit("")), 256))
+    known = book.known(prompts.sparkSession)
+    # dealt by key, so that a partition holds the same prompts whenever it is run again
+    open_ = keyed.join(known.select("prompt_key"), "prompt_key", "left_anti").select(*prompts.columns, "prompt_key")
+    n = tasks or int(prompts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    open_ = open_.repartition(n, "prompt_key")
+
+    def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        partition = TaskContext.get().partitionId()
+        done, fresh = book.mine(this_run, partition), []
+        for pdf in batches:
+            raw = []
+            for key, prompt in zip(pdf["prompt_key"], pdf["prompt"]):
+                if key not in done:
+                    said = one(prompt)
+                    if said is not None:
+                        done[key] = said
+                        fresh.append((key, said))
+                        if len(fresh) >= JOURNAL_BATCH:
+                            book.append(this_run, partition, fresh)
+                            fresh = []
+                raw.append(done.get(key))
+            yield pdf.drop(columns="prompt_key").assign(raw=raw)
+        if fresh:
+            book.append(this_run, partition, fresh)
+    asked = open_.mapInPandas(ask, schema)
+    return keyed.join(known, "prompt_key").select(*schema.names).unionByName(asked)
 
 
 def json_salvage(text: Column) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,27 +17,38 @@ CHUNK_BLOCK = 512
 QUESTION_BLOCK = 256
 SCORE_DIGITS = 9
 SALTS = 64
+REMEMBERED = 500_000  # words whose bucket a task remembers; others are hashed each time
 LSH_BANDS, LSH_BITS, LSH_SEED = 16, 3, 7
 
 
 # --- vectors --------------------------------------------------------------------------------
 
-def word_buckets(normal: Column, dim: int) -> Column:
-    """Bucket of each word, from the first eight hex digits of its MD5."""
-    return F.transform(
-        F.filter(F.split(normal, " ", -1), lambda w: w != ""),
-        lambda w: F.pmod(F.conv(F.substring(F.md5(w), 1, 8), 16, 10).cast("bigint"),
-                         F.lit(dim)).cast("int"))
+class WordBuckets(dict):
+    """Bucket of each word met so far, from the first eight hex digits of its MD5: a word is hashed once."""
+
+    def __init__(self, dim: int):
+        super().__init__()
+        self.dim = dim
+
+    def __missing__(self, word: str) -> int:
+        bucket = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % self.dim
+        if len(self) < REMEMBERED:
+            self[word] = bucket
+        return bucket
 
 
 def _unit_counts(dim: int):
     @pandas_udf(T.ArrayType(T.DoubleType()))
-    def counts(buckets: pd.Series) -> pd.Series:
-        def one(b):
-            c = np.bincount(np.asarray(b, np.int64), minlength=dim).astype(np.float64)
+    def counts(normals: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        buckets = WordBuckets(dim)
+
+        def one(text):
+            words = text.split(" ") if text else []
+            c = np.bincount(np.fromiter(map(buckets.__getitem__, words), np.int64, len(words)), minlength=dim).astype(np.float64)
             n = np.sqrt(c @ c)
             return c / n if n else c
-        return buckets.map(one, na_action="ignore")
+        for part in normals:
+            yield part.map(one, na_action="ignore")
     return counts
 
 
@@ -48,8 +60,7 @@ def embed(df: DataFrame, col: str, encoder: Callable[[list[str]], np.ndarray] |
     texts to a matrix; it is called on batches of ``EMBED_BATCH`` inside each task.
     """
     if encoder is None:
-        return df.withColumn("embedding",
-                             _unit_counts(dim)(word_buckets(norm(F.col(col)), dim)))
+        return df.withColumn("embedding", _unit_counts(dim)(norm(F.col(col))))
     size = fixed.EMBED_BATCH
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,6 +219,33 @@ def lexical_overlap(question: Column, text: Column) -> Column:
     return F.size(F.array_intersect(question, text)) / F.size(question)
 
 
+@pandas_udf(T.ArrayType(T.DoubleType()))
+def _overlaps(normals: pd.Series, asked: pd.Series) -> pd.Series:
+    """Per text, the share of each question's distinct words that it holds; its words are cut once for all."""
+    out = []
+    for text, questions in zip(normals, asked):
+        held = set(text.split(" ")) if text is not None else None
+        out.append([None if held is None or q["_q"] is None else sum(w in held for w in q["_q"]) / len(q["_q"]) for q in questions])
+    return pd.Series(out, dtype=object)
+
+
+def overlap_candidates(near: DataFrame, questions: DataFrame, chunks: DataFrame) -> DataFrame:
+    """``near(job_id, field_id, chunk_no, rank)`` with ``rerank_score``, the lexical overlap of question and chunk.
+
+    ``questions`` has the distinct words ``_q`` of each ``field_id`` (and of each ``job_id``, if it has that
+    column). The questions of a chunk come to it, at most one per field of its form, and their scores go
+    back: a text is read and cut into words once, and is never copied for a pair.
+    """
+    key = [c for c in ("job_id", "form_id", "field_id") if c in questions.columns and c in near.columns]
+    others = [c for c in near.columns if c not in ("job_id", "chunk_no")]
+    asked = (near.join(questions.select(*key, "_q"), key).groupBy("job_id", "chunk_no")
+             .agg(F.collect_list(F.struct(*others, "_q")).alias("_asked")))
+    met = chunks.select("job_id", "chunk_no", "text").join(asked, ["job_id", "chunk_no"])
+    scored = F.arrays_zip("_asked", _overlaps(norm(F.col("text")), F.col("_asked")).alias("_s"))
+    rows = F.transform(scored, lambda x: F.struct(*[x["_asked"][c].alias(c) for c in others], x["_s"].alias("rerank_score")))
+    return met.select("job_id", "chunk_no", F.inline(rows))
+
+
 def rerank(candidates: DataFrame, score: Column, k: int = fixed.RERANK_K) -> DataFrame:
     """Best ``k`` candidates by a pair score, ties in the order they were retrieved.
 
@@ -247,7 +285,9 @@ def batch_context(ranked: DataFrame, batches: DataFrame, chunks: DataFrame,
     only the kept chunks. A batch has a handful of fields and each of them a handful of chunks,
     so its group is small whatever the size of the job.
     """
-    digests = chunks.select("job_id", "chunk_no", F.sha2("text", 256).alias("digest"))
+    held = ranked.select("job_id", "chunk_no").distinct()
+    digests = (chunks.join(held, ["job_id", "chunk_no"], "left_semi")
+               .select("job_id", "chunk_no", F.sha2("text", 256).alias("digest")))
     at = F.struct("field_ord", "rank", "chunk_no")
     first = (ranked.join(batches, ["job_id", "field_id"])
              .join(digests, ["job_id", "chunk_no"])

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from attestary import fixed
+from attestary import fixed, wordings
 from attestary.functions.paths import canonical_som, path_key, som_section, xml_path
 from attestary.functions.text import WS, strip, unescaped
 from attestary.operators.fill import first_by
@@ -21,28 +21,26 @@ def sibling_index(nodes: DataFrame) -> DataFrame:
     return number_rows(nodes, ["form_id", "parent", "name"], "ord", "sibling")
 
 
+MAX_DEPTH = 1000  # levels of a form; deeper ones are an error
+
+
 def node_paths(nodes: DataFrame) -> DataFrame:
     """Adds ``som`` and ``ancestors`` (root first) and ``xml_path`` to every node.
 
-    Children take their parent's path, one join per level of the form until no child is left;
-    each level is staged, so its plan does not repeat those above it.
+    Nodes are numbered once and written; then children take their parent's path in one recursive query, so
+    the plan is the same for a form of any depth. Nodes that no root reaches have no path and are left out.
     """
-    rows = sibling_index(nodes)
     part = F.concat(F.col("name"), F.lit("["), F.col("sibling").cast("string"), F.lit("]"))
-    rows = stage(rows.withColumn("_part", part), "form-nodes")
-    level = stage(rows.where("parent IS NULL").withColumn("som", F.col("_part"))
-                  .withColumn("ancestors", F.array().cast("array<string>")), "form-level")
-    done = level
-    while True:
-        above = level.select("form_id", F.col("node").alias("parent"), F.col("som").alias("_som"),
-                             F.concat("ancestors", F.array("name")).alias("ancestors"))
-        level = stage(rows.join(above, ["form_id", "parent"])
-                      .withColumn("som", F.concat_ws(".", "_som", "_part"))
-                      .select(*done.columns), "form-level")
-        if level.isEmpty():
-            break
-        done = done.unionByName(level)
-    return done.drop("_part").withColumn("xml_path", xml_path(F.col("som")))
+    numbered = stage(sibling_index(nodes), "form-nodes")
+    rows = numbered.select("form_id", "node", "parent", "name", part.alias("part"))
+    paths = nodes.sparkSession.sql("""
+        WITH RECURSIVE reached (form_id, node, som, ancestors, name) MAX RECURSION LEVEL {depth} AS (
+            SELECT form_id, node, part, CAST(array() AS ARRAY<STRING>), name FROM {rows} WHERE parent IS NULL
+            UNION ALL
+            SELECT n.form_id, n.node, concat(r.som, '.', n.part), concat(r.ancestors, array(r.name)), n.name
+            FROM {rows} n JOIN reached r ON n.form_id = r.form_id AND n.parent = r.node)
+        SELECT form_id, node, som, ancestors FROM reached LIMIT ALL""", rows=rows, depth=MAX_DEPTH)
+    return numbered.join(paths, ["form_id", "node"]).withColumn("xml_path", xml_path(F.col("som")))
 
 
 def struct_name(ancestor: Column) -> Column:
@@ -59,41 +57,41 @@ def vocabulary(spark, entries: dict[str, str], names: tuple[str, str]) -> DataFr
     return spark.createDataFrame(list(entries.items()), list(names))
 
 
+def standard_vocabularies(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Contexts, leaves and roles of the fixed wordings, as :func:`describe` takes them."""
+    contexts = [(struct, leaf, *entry) for (struct, leaf), entry in wordings.CONTEXT_QUESTIONS.items()]
+    leaves = [(leaf, *entry) for leaf, entry in wordings.FIELD_QUESTIONS.items()]
+    leaf = "leaf string, question string, vocab_type string"
+    return (spark.createDataFrame(contexts, "struct string, " + leaf), spark.createDataFrame(leaves, leaf),
+            vocabulary(spark, fixed.ROLES, ("struct", "role")))
+
+
 def describe(nodes: DataFrame, contexts: DataFrame, leaves: DataFrame,
              roles: DataFrame) -> DataFrame:
     """Adds ``question`` and ``vocab_type`` from the vocabularies.
 
     ``contexts(struct, leaf, question, vocab_type)``, ``leaves(leaf, question, vocab_type)``,
-    ``roles(struct, role)``. The nearest ancestor wins for context and role alike; a question with
-    a role placeholder and no role is left blank.
+    ``roles(struct, role)``, one row per key. The nearest ancestor wins for context and role alike; a question with
+    a role placeholder and no role is left blank. Ancestors become rows with their distance and join the
+    vocabularies, as large as these may be; the nearest that fits is kept.
     """
-    def lookup(df: DataFrame, key: Column, value: Column) -> Column:
-        """A vocabulary as a map: it is a few hundred rows by nature, and the nodes stay put."""
-        return df.agg(F.map_from_entries(F.collect_list(F.struct(key, value)))).scalar()
-
-    entry_of = F.struct("question", "vocab_type")
-    ctx = lookup(contexts, F.concat_ws("/", "struct", "leaf"), entry_of)
-    role_of = lookup(roles, F.col("struct"), F.col("role"))
-    plain = lookup(leaves, F.col("leaf"), entry_of)
-
-    def nearest(values: Column) -> Column:
-        return F.try_element_at(F.filter(values, lambda x: x.isNotNull()), F.lit(1))
-    up = F.reverse("ancestors")
-    found = (nodes.withColumn("_c", ctx).withColumn("_r", role_of).withColumn("_p", plain)
-             .withColumn("_entry", F.coalesce(
-                 nearest(F.transform(up, lambda a: F.try_element_at(
-                     F.col("_c"), F.concat_ws("/", struct_name(a), F.col("name"))))),
-                 F.try_element_at("_p", F.col("name"))))
-             .withColumn("_role", nearest(F.transform(
-                 up, lambda a: F.try_element_at(F.col("_r"), a)))))
+    up = nodes.select("form_id", "node", "name", F.posexplode(F.reverse("ancestors")).alias("far", "above"))
+    entry = F.struct("_c.question", "_c.vocab_type")
+    known = (up.join(contexts.select("struct", "leaf", F.struct("question", "vocab_type").alias("_c")),
+                     (struct_name(F.col("above")) == F.col("struct")) & (F.col("name") == F.col("leaf")), "left").drop("struct", "leaf")
+             .join(roles.select(F.col("struct").alias("above"), "role"), "above", "left")
+             .groupBy("form_id", "node")
+             .agg(F.min_by(entry, F.when(F.col("_c").isNotNull(), F.col("far"))).alias("_context"),
+                  F.min_by("role", F.when(F.col("role").isNotNull(), F.col("far"))).alias("_role")))
+    plain = leaves.select(F.col("leaf").alias("name"), F.struct("question", "vocab_type").alias("_leaf"))
+    found = (nodes.join(known, ["form_id", "node"], "left").join(plain, "name", "left")
+             .withColumn("_entry", F.coalesce("_context", "_leaf")))
     text = F.col("_entry.question")
     filled = F.replace(F.replace(text, F.lit("{role}"), F.coalesce("_role", F.lit(""))),
                        F.lit("  "), F.lit(" "))
     question = (F.when(F.col("_entry").isNull(), "")
                 .when(text.contains("{role}") & F.col("_role").isNull(), "").otherwise(filled))
-    return (found.withColumn("question", question)
-            .withColumn("vocab_type", F.col("_entry.vocab_type"))
-            .drop("_c", "_r", "_p", "_entry", "_role"))
+    return found.select(*nodes.columns, question.alias("question"), F.col("_entry.vocab_type").alias("vocab_type"))
 
 
 def group_options(nodes: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from attestary.functions.text import strip
 from attestary.operators import admission as A, context as B, responses as J
 from attestary.plans.registry import Source, plain, query
 from attestary.plans.texts import DOCS
+from attestary.session import shared_dir, stage
 
 FIELDS = """
 SELECT p_brand AS form_id, p_partkey AS ord, concat(CAST((p_partkey * 7) % 11 AS STRING), '.', CAST(p_partkey AS STRING)) AS field_id,
@@ -111,21 +112,32 @@ def merge_summaries(s: Source) -> DataFrame:
     return out.withColumn("entry_no", F.col("entry_no").cast("bigint"))
 
 
-FEW = """SELECT doc_id AS doc_no, CASE WHEN lang = 'de' THEN lang ELSE concat(source, ':', CAST(doc_id % 40 AS STRING)) END AS job_id,
-  concat('doc', CAST(doc_id AS STRING)) AS filename, CASE WHEN lang <> 'de' THEN concat('{{"diagnostics": ["', lang, '", "x"], "patient": {{"n": ', CAST(doc_id AS STRING), '}}, "pronostic": "p"}}') END AS summary
-FROM {documents}"""
+# Whole sources are jobs, beside small ones: some with a single summary, one with failures only.
+SUMMED = """SELECT source AS job_id, doc_id AS doc_no, concat('doc', CAST(doc_id AS STRING)) AS filename,
+  CASE WHEN lang <> 'de' THEN concat('{{"diagnostics": ["', lang, '", "x"], "patient": {{"n": ', CAST(doc_id AS STRING), '}}, "pronostic": "p"}}') END AS summary
+FROM {documents} UNION ALL SELECT CASE WHEN lang = 'de' THEN lang ELSE concat(source, ':', CAST(doc_id % 40 AS STRING)) END, doc_id, concat('doc', CAST(doc_id AS STRING)),
+  CASE WHEN lang <> 'de' THEN concat('{{"diagnostics": ["', lang, '", "x"], "patient": {{"n": ', CAST(doc_id AS STRING), '}}, "pronostic": "p"}}') END FROM {documents}"""
+PIECE = 3000
 
 
 @query("synthesis", rf"""
-WITH s AS ({plain(FEW)}), n AS (SELECT job_id, count(summary) AS n, min(summary) AS sole FROM s GROUP BY ALL),
-e AS (SELECT job_id, doc_no, filename, unnest(['diagnostics', 'diagnostics', 'patient', 'pronostic']) AS part, unnest([0, 1, 0, 0]) AS entry_no,
-  unnest(['"' || json_extract_string(summary, '$.diagnostics[0]') || '"', '"x"', CAST(summary->'patient' AS VARCHAR), '"p"']) AS entry FROM s WHERE summary IS NOT NULL),
-p AS (SELECT job_id, part, string_agg('{{"document_source": "' || filename || '", "valeur": ' || entry || '}}', ', ' ORDER BY doc_no, entry_no) AS l FROM e GROUP BY ALL),
-m AS (SELECT job_id, '{{' || string_agg('"' || part || '": [' || l || ']', ', ' ORDER BY part) || '}}' AS merged FROM p GROUP BY ALL)
-SELECT job_id, CASE WHEN n = 1 THEN sole WHEN n > 1 THEN merged END AS synthesis FROM n LEFT JOIN m USING (job_id)""".replace("{{", "{").replace("}}", "}"))
+WITH s AS ({plain(SUMMED)}), n AS (SELECT job_id, count(summary) AS n, min(summary) AS sole FROM s GROUP BY ALL),
+e AS (SELECT s.job_id, doc_no, filename, unnest(['diagnostics', 'diagnostics', 'patient', 'pronostic']) AS part, unnest([0, 1, 0, 0]) AS entry_no,
+  unnest(['"' || json_extract_string(summary, '$.diagnostics[0]') || '"', '"x"', CAST(summary->'patient' AS VARCHAR), '"p"']) AS entry
+  FROM s JOIN n ON s.job_id = n.job_id WHERE summary IS NOT NULL AND n > 1),
+p AS (SELECT job_id, part, row_number() OVER (PARTITION BY job_id ORDER BY part) AS k FROM (SELECT DISTINCT job_id, part FROM e) x),
+t AS (SELECT job_id, part, 0 AS kind, 0 AS doc_no, 0 AS entry_no, CASE k WHEN 1 THEN '{{' ELSE '], ' END || '"' || part || '": [' AS text FROM p
+  UNION ALL SELECT job_id, part, 1, doc_no, entry_no, CASE row_number() OVER (PARTITION BY job_id, part ORDER BY doc_no, entry_no) WHEN 1 THEN '' ELSE ', ' END
+    || '{{"document_source": "' || filename || '", "valeur": ' || entry || '}}' FROM e
+  UNION ALL SELECT DISTINCT job_id, 'z', 2, 0, 0, ']}}' FROM p),
+o AS (SELECT job_id, text, coalesce(sum(length(text)) OVER (PARTITION BY job_id ORDER BY part, kind, doc_no, entry_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spot FROM t),
+m AS (SELECT job_id, CAST(spot // {PIECE} AS BIGINT) AS piece_no, string_agg(text, '' ORDER BY spot, text) AS text FROM o GROUP BY ALL
+  UNION ALL SELECT job_id, 0, sole FROM n WHERE n = 1)
+SELECT job_id, piece_no, length(text) AS chars, md5(text) AS digest FROM m""".replace("{{", "{").replace("}}", "}"))
 def synthesis(s: Source) -> DataFrame:
-    summaries = s.shape(FEW)
-    return B.merged_synthesis(summaries.select("job_id").distinct(), summaries)
+    """The synthesis of every job in order, in pieces of bounded size."""
+    return B.synthesis_pieces(s.shape(SUMMED), PIECE).select(
+        "job_id", "piece_no", F.length("text").cast("bigint").alias("chars"), F.md5("text").alias("digest"))
 
 
 REQUESTS = """
@@ -214,3 +226,20 @@ def infer(s: Source) -> DataFrame:
         return str(len(prompt))
     prompts = s.table("benchmark").select("item_id", F.col("text").alias("prompt"))
     return J.infer(prompts, answer, pause=0.0).select("item_id", "raw")
+
+
+@query("infer_resumed", "SELECT item_id, CASE WHEN item_id % 5 = 4 THEN NULL WHEN item_id % 2 = 0 THEN 'first' ELSE 'second' END AS raw FROM benchmark")
+def infer_resumed(s: Source) -> DataFrame:
+    """Two runs with one journal: the second asks what the first has not answered, and keeps what it has."""
+    journal = shared_dir(s.spark, "journal")
+    prompts = s.table("benchmark").select("item_id", F.concat(F.col("item_id").cast("string"), F.lit(" "), "text").alias("prompt"))
+
+    def run(says: str, which: int | None):
+        def answer(prompt: str) -> str:
+            item = int(prompt.split(" ", 1)[0])
+            if item % 5 == 4 or (which is not None and item % 2 != which):
+                raise RuntimeError("no answer")
+            return says
+        return stage(J.infer(prompts, answer, tries=1, pause=0.0, journal=journal), "answers")
+    run("first", 0)
+    return run("second", None).select("item_id", "raw")

@@ -54,12 +54,14 @@ def rank_chunks(d: Dossiers, chunks: DataFrame, encoder=None, k: int = fixed.KNN
         .withColumn("_q", retrieval.distinct_words(F.col("question")))
     near = stage(retrieval.knn(d.jobs.join(vectors.select("form_id", "field_id", "embedding"), "form_id"),
                                chunks, k), "near")
+    if scorer is None:
+        rows = retrieval.overlap_candidates(near.join(d.jobs, "job_id"), vectors, chunks)
+        return retrieval.rerank(rows, F.col("rerank_score"), keep)
     held = near.select("job_id", "chunk_no").distinct()
     texts = chunks.join(held, ["job_id", "chunk_no"], "left_semi").select("job_id", "chunk_no", retrieval.distinct_words(F.col("text")).alias("_t"))
     pairs = (near.join(texts, ["job_id", "chunk_no"]).join(d.jobs, "job_id")
              .join(vectors.select("form_id", "field_id", "_q"), ["form_id", "field_id"]))
-    score = (scorer or retrieval.lexical_overlap)(F.col("_q"), F.col("_t"))
-    return retrieval.rerank(pairs, score, keep)
+    return retrieval.rerank(pairs, scorer(F.col("_q"), F.col("_t")), keep)
 
 
 def prompt_table(d: Dossiers, chunks: DataFrame, ranked: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, functions as F
 
-from attestary import fixed
+from attestary import fixed, wordings
 from attestary.operators import templates as D
 from attestary.plans.derive import Forms, derive_templates
 from attestary.plans.registry import Source, plain, query
@@ -66,11 +66,31 @@ WORDING = """CASE WHEN page = 'adiagnosisS1Struct' AND name = 'code' THEN 'Code
 VOCAB_TYPE = "CASE WHEN page = 'anamnesis' AND name = 'phone' THEN 'int' WHEN name = 'city' THEN 'date' END"
 
 
+# The field names of the fixed wordings, one after the other over the nodes, and one that has no wording.
+NAMES = [*wordings.FIELD_QUESTIONS, *dict.fromkeys(leaf for _, leaf in wordings.CONTEXT_QUESTIONS), "sansLibelle"]
+
+
+def _values(rows: list[tuple]) -> str:
+    def text(x):
+        return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
+    return "(VALUES " + ", ".join(f"({', '.join(map(text, r))})" for r in rows) + ")"
+
+
 @query("describe", f"""
-WITH {PATHS}, q AS (SELECT *, {ROLE} AS role FROM p)
-SELECT form_id, node, {WORDING} AS question, {VOCAB_TYPE} AS vocab_type FROM q""")
+WITH {PATHS},
+q AS (SELECT form_id, node, CASE WHEN node >= 0 THEN page END AS page, CASE WHEN node >= 0 THEN ({NAMES})[node % {len(NAMES)} + 1] ELSE name END AS name FROM p),
+s AS (SELECT *, CASE page WHEN 'adiagnosisS1Struct' THEN 'diagnosisS1Struct' WHEN 'anamnesis' THEN 'anamnesisStruct' ELSE page END AS struct FROM q),
+e AS (SELECT s.form_id, s.node, role, c.leaf IS NOT NULL OR l.leaf IS NOT NULL AS known, CASE WHEN c.leaf IS NOT NULL THEN c.question ELSE l.question END AS text,
+    CASE WHEN c.leaf IS NOT NULL THEN c.kind ELSE l.kind END AS kind
+  FROM s LEFT JOIN {_values([(a, b, *e) for (a, b), e in wordings.CONTEXT_QUESTIONS.items()])} c(struct, leaf, question, kind) ON s.struct = c.struct AND s.name = c.leaf
+  LEFT JOIN {_values([(k, *e) for k, e in wordings.FIELD_QUESTIONS.items()])} l(leaf, question, kind) ON s.name = l.leaf
+  LEFT JOIN {_values(list(fixed.ROLES.items()))} r(struct, role) ON s.page = r.struct)
+SELECT form_id, node, CASE WHEN NOT known OR (contains(text, '{{role}}') AND role IS NULL) THEN ''
+  ELSE replace(replace(text, '{{role}}', coalesce(role, '')), '  ', ' ') END AS question, kind AS vocab_type FROM e""".replace("{{role}}", "{role}"))
 def describe(s: Source) -> DataFrame:
-    return D.describe(paths(s), *vocabularies(s)).select("form_id", "node", "question", "vocab_type")
+    name = F.element_at(F.array(*map(F.lit, NAMES)), (F.col("node") % len(NAMES) + 1).cast("int"))
+    rows = paths(s).withColumn("name", F.when(F.col("node") >= 0, name).otherwise(F.col("name")))
+    return D.describe(rows, *D.standard_vocabularies(s.spark)).select("form_id", "node", "question", "vocab_type")
 
 
 OPTIONS = f"""

@@ -6,6 +6,7 @@ from attestary.operators.pages import content_hash
 from attestary.plans.registry import Source, plain, query
 from attestary.plans.reporting import RUNS, STATUS, STATUS_EVENTS
 from attestary.plans.texts import DOCS, chunk_sql
+from attestary.session import shared_dir
 from attestary.streaming import streams as X
 
 
@@ -32,6 +33,17 @@ def stream_dedupe(s: Source) -> DataFrame:
     return X.drain(X.stream_dedupe(docs, "365 days")).select("content_hash")
 
 
+@query("stream_new_contents", """
+SELECT sha256(text) AS content_hash, min(doc_id) AS doc_id FROM documents
+WHERE sha256(text) NOT IN (SELECT sha256(text) FROM documents WHERE doc_id % 3 = 0 AND text IS NOT NULL) GROUP BY ALL""")
+def stream_new_contents(s: Source) -> DataFrame:
+    """Two runs with one store of known contents: the second gives what the first has not seen."""
+    cache = shared_dir(s.spark, "known-contents")
+    docs = stream(s, "documents").where("text IS NOT NULL").select("doc_id", content_hash(F.col("text")).alias("content_hash"))
+    X.new_contents(docs.where("doc_id % 3 = 0"), cache)
+    return X.new_contents(docs, cache).select("content_hash", "doc_id")
+
+
 @query("stream_status", f"""
 SELECT job_id, status, message, epoch_us(started) AS started_us, epoch_us(ended) AS ts_us FROM ({STATUS}) x
 WHERE status NOT IN ('completed', 'failed') OR epoch_us(ended) // 1000000 + 3600 > epoch_us((SELECT max(ts) FROM events)) // 1000000 - 600""")

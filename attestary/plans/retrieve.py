@@ -104,10 +104,7 @@ def ranked(s: Source, k: int, keep: int) -> DataFrame:
     asked = s.shape(ASKED).select("job_id", "field_id").join(
         fields.select("field_id", "embedding"), "field_id")
     near = stage(R.knn(asked, R.embed(chunks, "text"), k), "near")
-    held = near.select("job_id", "chunk_no").distinct()
-    texts = chunks.join(held, ["job_id", "chunk_no"], "left_semi").select("job_id", "chunk_no", R.distinct_words(F.col("text")).alias("_t"))
-    pairs = near.join(texts, ["job_id", "chunk_no"]).join(fields.select("field_id", "_q"), "field_id")
-    return R.rerank(pairs, R.lexical_overlap(F.col("_q"), F.col("_t")), keep)
+    return R.rerank(R.overlap_candidates(near, fields, chunks), F.col("rerank_score"), keep)
 
 
 def ranked_sql(k: int, keep: int) -> str:
@@ -160,7 +157,8 @@ def batch_context(s: Source) -> DataFrame:
     batches = B.batch_fields(s.shape(FIELDS)).select("form_id", "field_id", "batch_no", "field_ord")
     jobs = s.table("documents").select(F.col("source").alias("job_id"),
                                        F.lit("benchmark").alias("form_id")).distinct()
-    out = R.batch_context(ranked(s, 30, 12), jobs.join(batches, "form_id").drop("form_id"), chunk_table(s))
+    best = stage(ranked(s, 30, 12), "ranked")  # read for the digests and for the order
+    out = R.batch_context(best, jobs.join(batches, "form_id").drop("form_id"), chunk_table(s))
     return out.select("job_id", "batch_no", F.md5("context").alias("context"), "n_chunks")
 
 

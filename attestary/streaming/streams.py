@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -54,6 +55,35 @@ def stream_dedupe(files: DataFrame, delay: str = "1 hour") -> DataFrame:
             .dropDuplicatesWithinWatermark(["content_hash"]))
 
 
+def new_contents(files: DataFrame, cache: str, mode: str = "append") -> DataFrame:
+    """``files`` whose ``content_hash`` no earlier run has handled, from all input available now; one row per content.
+
+    ``cache`` is a folder of hashes that outlives the stream: every micro-batch meets it in an anti-join
+    before anything dear is done, and adds its own hashes as one folder. A batch repeated after a failure
+    is compared with the folders of all others and overwrites its own, so it gives the same rows once
+    more and forgets nothing. Which of several files with one content goes on is the first by all columns.
+    """
+    spark, run = files.sparkSession, uuid.uuid4().hex
+    out = shared_dir(spark, "new-contents")
+    hashes = T.StructType([T.StructField("content_hash", T.StringType()), T.StructField("batch", T.StringType())])
+    others = [c for c in files.columns if c != "content_hash"]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        mine = f"{run}-{batch_id}"
+        known = spark.read.schema(hashes).parquet(f"{cache}/seen").where(F.col("batch") != mine)
+        first = batch.groupBy("content_hash").agg(F.min(F.struct(*others)).alias("_f")).select("_f.*", "content_hash")
+        fresh = first.join(known, "content_hash", "left_anti").select(*files.columns)
+        fresh.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        # what was written is read again, so hashes and rows are the same whatever is run twice
+        spark.read.schema(files.schema).parquet(f"{out}/batch_id={batch_id}").select("content_hash") \
+            .write.mode("overwrite").parquet(f"{cache}/seen/batch={mine}")
+    # an empty part, so that the first batch finds a table
+    spark.createDataFrame([], T.StructType(hashes.fields[:1])).write.mode("overwrite").parquet(f"{cache}/seen/batch=none")
+    (files.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", shared_dir(spark, "stream"))
+     .trigger(availableNow=True).start().awaitTermination())
+    return spark.read.schema(T.StructType(files.schema.fields + [T.StructField("batch_id", T.LongType())])).parquet(out)
+
+
 # --- live job status ------------------------------------------------------------------------
 
 STATUS = T.StructType([

@@ -101,3 +101,17 @@ def test_stream_figures_do_not_depend_on_arrival(spark, tmp_path, files):
     stream = spark.readStream.schema(runs.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "runs"))
     (got,) = X.run_figures(X.drain(X.stream_run_stats(stream), "update")).collect()
     assert (got.runs, got.average_seconds, got.recent_average_seconds) == (100, 49.5, 89.5)
+
+
+def test_known_contents_over_runs(spark, tmp_path):
+    """Contents of earlier runs are not given again; repeats inside a run are one row."""
+    from attestary.streaming import streams as X
+    rows = [(i, f"h{i % 7}") for i in range(30)]
+    files = str(tmp_path / "files")
+    spark.createDataFrame(rows[:10], "no int, content_hash string").repartition(3).write.mode("append").parquet(files)
+    read = lambda: spark.readStream.schema("no int, content_hash string").parquet(files)
+    cache = str(tmp_path / "cache")
+    assert sorted(r.content_hash for r in X.new_contents(read(), cache).collect()) == [f"h{i}" for i in range(7)]
+    spark.createDataFrame(rows[10:] + [(99, "new"), (98, "new")], "no int, content_hash string").write.mode("append").parquet(files)
+    assert [(r.no, r.content_hash) for r in X.new_contents(read(), cache).collect()] == [(98, "new")]
+    assert X.new_contents(read(), cache).collect() == []

@@ -1,9 +1,13 @@
 """Operators on their edge rows."""
 
+import json
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from attestary import wordings
 from attestary.operators import admission as A, chunking as C, context as B, dossiers as D, evaluation as E
 from attestary.operators import fill as W, pages as G, reports as R, responses as J, retrieval as K, templates as T
 
@@ -121,6 +125,85 @@ def test_infer_retries_then_gives_up(spark):
     assert out.first().raw is None
 
 
+def test_journal_saves_what_a_dying_task_has_answered(spark, tmp_path):
+    """A task that dies after half of its prompts: the next run asks the other half only, and no answer is lost."""
+    calls, journal = tmp_path / "calls", str(tmp_path / "journal")
+    prompts = spark.createDataFrame([(i, f"prompt {i}") for i in range(120)], "no int, prompt string")
+
+    def answer_until(limit):
+        def answer(prompt):
+            with open(calls, "a+") as f:
+                f.seek(0)
+                if len(f.readlines()) >= limit:
+                    os._exit(1)
+                f.write(prompt + "\n")
+            return prompt.upper()
+        return answer
+    with pytest.raises(Exception):
+        J.infer(prompts, answer_until(60), pause=0.0, tasks=1, journal=journal).collect()
+    first = calls.read_text().splitlines()
+    assert len(first) == 60
+    kept = {r.raw for r in J.Journal(journal).known(spark).collect()}
+    assert kept == {p.upper() for p in first[:len(kept)]} and len(first) - len(kept) < J.JOURNAL_BATCH
+    got = J.infer(prompts, answer_until(10 ** 6), pause=0.0, tasks=1, journal=journal)
+    assert {r.no: r.raw for r in got.collect()} == {i: f"PROMPT {i}" for i in range(120)}
+    assert len(calls.read_text().splitlines()) == 60 + 120 - len(kept)
+    assert len(got.collect()) == 120  # read once more: nothing is asked again
+    assert len(calls.read_text().splitlines()) == 60 + 120 - len(kept)
+
+
+def test_journal_asks_failures_again(spark, tmp_path):
+    prompts = spark.createDataFrame([("a",), ("b",), (None,)], "prompt string")
+
+    def some(prompt):
+        if prompt != "a":
+            raise RuntimeError
+        return "one"
+    assert {r.prompt: r.raw for r in J.infer(prompts, some, tries=1, journal=str(tmp_path)).collect()} == {"a": "one", "b": None, None: None}
+    assert {r.prompt: r.raw for r in J.infer(prompts, lambda p: "two", tries=1, journal=str(tmp_path)).collect()} == {"a": "one", "b": "two", None: "two"}
+    assert J.infer(prompts.where("false"), some, journal=str(tmp_path)).collect() == []
+
+
+@pytest.mark.parametrize("size", [1, 40, 10 ** 6])
+def test_synthesis_pieces_join_to_one_object(spark, size):
+    """A job of thousands of entries: no cell holds it, and the pieces in order are the object of all entries."""
+    rows = [("hot", i, f"d{i}", json.dumps({"a": [f"x{i}", {"n": i}], "b\"": "y", "c": None, "l": []}, ensure_ascii=False)) for i in range(700)]
+    rows += [("hot", 900, None, '{"a": [1, null], "z": {"k": [2]}}'), ("hot", 901, "d", None), ("one", 1, "d", '{"a": 1}'), ("none", 1, "d", None),
+             ("two", 1, "d", "{}"), ("two", 2, "d", "{}")]
+    summaries = spark.createDataFrame(rows, "job_id string, doc_no int, filename string, summary string").repartition(5)
+    got = B.synthesis_pieces(summaries, size).collect()
+    assert {r.job_id for r in got} == {"hot", "one"}
+    pieces = {j: [r.text for r in sorted((r for r in got if r.job_id == j), key=lambda r: r.piece_no)] for j in ("hot", "one")}
+    assert pieces["one"] == ['{"a": 1}']
+    whole = json.loads("".join(pieces["hot"]))
+    assert [e["valeur"] for e in whole["a"]] == [v for i in range(700) for v in (f"x{i}", {"n": i})] + ["1"]
+    assert [e["document_source"] for e in whole["b\""]] == [f"d{i}" for i in range(700)]
+    assert [e["valeur"] for e in whole["z"]] == [{"k": [2]}] and set(whole) == {"a", "b\"", "z"}
+    assert size > 1000 or max(map(len, pieces["hot"])) < size + 200
+    merged = {r.job_id: r.synthesis for r in B.merged_synthesis(summaries.select("job_id").distinct(), summaries).collect()}
+    assert merged == {"hot": "".join(pieces["hot"]), "one": '{"a": 1}', "none": None, "two": None}
+    small = {r.job_id: r.synthesis for r in B.merged_synthesis(summaries.select("job_id").distinct(), summaries, limit=10).collect()}
+    assert small == {"hot": None, "one": '{"a": 1}', "none": None, "two": None}
+
+
+def test_overlap_is_that_of_every_pair(spark):
+    near = spark.createDataFrame([("j", "1", 0, 1), ("j", "2", 0, 2), ("j", "1", 1, 2), ("k", "2", 0, 1)], "job_id string, field_id string, chunk_no int, rank int")
+    questions = spark.createDataFrame([("1", ["le", "genou"]), ("2", ["dos"]), ("3", ["x"])], "field_id string, _q array<string>")
+    chunks = spark.createDataFrame([("j", 0, "Le dos, LE GENOU"), ("j", 1, "genou"), ("k", 0, None), ("k", 7, "dos")], "job_id string, chunk_no int, text string")
+    got = {(r.job_id, r.field_id, r.chunk_no): (r["rank"], r.rerank_score) for r in K.overlap_candidates(near, questions, chunks).collect()}
+    assert got == {("j", "1", 0): (1, 1.0), ("j", "2", 0): (2, 1.0), ("j", "1", 1): (2, 0.5), ("k", "2", 0): (1, None)}
+
+
+def test_nearest_ancestor_decides_the_wording(spark):
+    nodes = spark.createDataFrame([("f", 1, "code", ["form", "patientS1Address", "adiagnosisS1Struct"]), ("f", 2, "lastName", ["employerS1Address", "gpS1Address", "x"]),
+                                   ("f", 3, "lastName", ["x"]), ("f", 4, "unknown", []), ("f", 5, "lastName", [])],
+                                  "form_id string, node int, name string, ancestors array<string>")
+    got = {r.node: (r.question, r.vocab_type) for r in T.describe(nodes, *T.standard_vocabularies(spark)).collect()}
+    assert got[1][0] == wordings.CONTEXT_QUESTIONS["diagnosisS1Struct", "code"][0].replace("{role}", "du patient")
+    assert got[2][0].endswith("du médecin de famille ?")
+    assert got[3] == got[5] == ("", None) and got[4] == ("", None)
+
+
 def test_job_limits(spark):
     forms = spark.createDataFrame([("f",)], "form_id string")
     requests = spark.createDataFrame([("a", "f", 200), ("b", "f", 201), ("c", "x", 999)], "job_id string, form_id string, n_files int")
