@@ -19,7 +19,7 @@ PIECE = 8     # a longer paragraph is divided at content-chosen words, every PIE
 BATCH = 4096  # pieces hashed into lanes at once
 SCALE = 256   # a Cauchy number of 1
 STEPS = np.arange(1, LANES // 4 + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-EMPTY = (0, np.zeros(WIDE, dtype=np.uint64), np.zeros(LANES, dtype=np.uint32))
+EMPTY = (0, 0, np.zeros(WIDE, dtype=np.uint64), np.zeros(LANES, dtype=np.uint32))
 
 
 def cauchy_numbers() -> np.ndarray:
@@ -27,84 +27,96 @@ def cauchy_numbers() -> np.ndarray:
     return np.rint(np.tan(np.pi * ((np.arange(1 << 16) + 0.5) / (1 << 16) - 0.5)) * SCALE).astype(np.int64)
 
 
-def pieces(text: str) -> list[bytes]:
-    """The multiset that stands for a text: its paragraphs (lines), long ones in pieces.
+def paragraphs(text: str) -> list[bytes]:
+    """The multiset a fingerprint is equal for: the lines of the text."""
+    return text.encode("utf-8", "surrogatepass").split(b"\n")
 
-    A paragraph is cut after every word whose length and last byte choose it, which depends on the
-    word alone: an edit changes the pieces it touches and no others. A cut keeps its blank.
+
+def pieces(line: bytes) -> list[bytes]:
+    """A paragraph as what likeness is measured on: itself, or its pieces if it is long.
+
+    It is cut after every word whose length and bytes choose it, which depends on the word alone: an edit
+    changes the pieces it touches and no others.
     """
-    out = []
-    for line in text.encode("utf-8", "surrogatepass").split(b"\n"):
-        words = line.split(b" ")
-        if len(words) <= PIECE:
-            out.append(line)
-            continue
-        start = 0
-        for i, w in enumerate(words, 1):
-            if w and (w[0] * 7 + w[-1] * 13 + len(w) * 5 + w[len(w) // 2]) % PIECE == 0 or i - start >= 4 * PIECE:
-                out.append(b" ".join(words[start:i]))
-                start = i
-        if start < len(words):
-            out.append(b" ".join(words[start:]))
+    words = line.split(b" ")
+    if len(words) <= PIECE:
+        return [line]
+    out, start = [], 0
+    for i, w in enumerate(words, 1):
+        if w and (w[0] * 7 + w[-1] * 13 + len(w) * 5 + w[len(w) // 2]) % PIECE == 0 or i - start >= 4 * PIECE:
+            out.append(b" ".join(words[start:i]))
+            start = i
+    if start < len(words):
+        out.append(b" ".join(words[start:]))
     return out
 
 
-def of_pieces(parts: Iterable[bytes]) -> tuple[int, np.ndarray, np.ndarray]:
-    """Count and lanes of a multiset: the sum of its members' vectors."""
-    parts = list(parts)
+def _seeds(parts: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join([hashlib.blake2b(p, digest_size=32).digest() for p in parts]), dtype="<u8").reshape(-1, 4)
+
+
+def of_paragraphs(lines: Iterable[bytes]) -> tuple[int, int, np.ndarray, np.ndarray]:
+    """Counts of paragraphs and pieces, and the lanes: wide ones add the vectors of whole paragraphs, so they are equal
+    for equal multisets of these alone; the others add those of their pieces."""
+    lines = list(lines)
     table = worker_state("cauchy", cauchy_numbers)
-    wide, lanes = EMPTY[1].copy(), EMPTY[2].copy()
-    for i in range(0, len(parts), BATCH):
-        digests = b"".join([hashlib.blake2b(p, digest_size=32).digest() for p in parts[i:i + BATCH]])
-        seeds = np.frombuffer(digests, dtype="<u8").reshape(-1, 4)
+    wide, lanes = EMPTY[2].copy(), EMPTY[3].copy()
+    for i in range(0, len(lines), BATCH):
+        seeds = _seeds(lines[i:i + BATCH])
         wide += np.concatenate([seeds.sum(axis=0), (seeds * (seeds | np.uint64(1))).sum(axis=0)])
+    parts = [p for line in lines for p in pieces(line)]
+    for i in range(0, len(parts), BATCH):
         # the digest's first number is spread over all lanes, 16 bits for each
-        x = seeds[:, :1] + STEPS
+        x = _seeds(parts[i:i + BATCH])[:, :1] + STEPS
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x ^= x >> np.uint64(31)
         lanes += table[x.view(np.uint16)].sum(axis=0).astype(np.uint32)
-    return len(parts), wide, lanes
+    return len(lines), len(parts), wide, lanes
 
 
-def fingerprint(text: str | None) -> tuple[int, np.ndarray, np.ndarray]:
-    return of_pieces(pieces(text or ""))
+def fingerprint(text: str | None) -> tuple[int, int, np.ndarray, np.ndarray]:
+    return of_paragraphs(paragraphs(text or ""))
 
 
 def combine(a, b, sign: int = 1):
-    """Insertion (``sign`` 1) or deletion (-1) of the members of ``b``; order does not matter."""
-    if sign > 0:
-        return a[0] + b[0], a[1] + b[1], a[2] + b[2]
-    return a[0] - b[0], a[1] - b[1], a[2] - b[2]
+    """Insertion (``sign`` 1) or deletion (-1) of the paragraphs of ``b``; order does not matter."""
+    return tuple(x + y if sign > 0 else x - y for x, y in zip(a, b))
+
+
+def same(a, b) -> bool:
+    """Whether two multisets of paragraphs are equal."""
+    return a[0] == b[0] and bool((a[2] == b[2]).all())
 
 
 def likeness(a, b) -> float:
-    """Estimated share of common members, |A and B| / |A or B| as multisets, in 0..1; 1 for equal prints.
+    """Estimated share of common pieces, |A and B| / |A or B| as multisets, in 0..1; 1 for equal prints and no others.
 
     A lane of the difference is a sum of Cauchy numbers, each times how often its member is in one
     multiset more than in the other; the median size of such sums is the sum of these counts.
     """
-    if a[0] == b[0] and (a[1] == b[1]).all() and (a[2] == b[2]).all():
+    if same(a, b):
         return 1.0
-    apart = float(np.median(np.abs((a[2] - b[2]).view(np.int32).astype(np.int64)))) / SCALE
-    total = a[0] + b[0]
-    apart = min(max(apart, abs(a[0] - b[0]), 1.0), total)
+    apart = float(np.median(np.abs((a[3] - b[3]).view(np.int32).astype(np.int64)))) / SCALE
+    total = a[1] + b[1]
+    apart = min(max(apart, abs(a[1] - b[1]), 1.0), total)
     return (total - apart) / (total + apart)
 
 
 def as_hex(print_) -> str:
-    count, wide, lanes = print_
-    return (np.array([count], dtype="<u8").tobytes() + wide.astype("<u8").tobytes() + lanes.astype("<u4").tobytes()).hex()
+    lines, parts, wide, lanes = print_
+    return (np.array([lines, parts], dtype="<u8").tobytes() + wide.astype("<u8").tobytes() + lanes.astype("<u4").tobytes()).hex()
 
 
 def from_hex(text: str):
     raw = bytes.fromhex(text)
-    head = np.frombuffer(raw[:8 + 8 * WIDE], dtype="<u8")
-    return int(head[0]), head[1:].astype(np.uint64), np.frombuffer(raw[8 + 8 * WIDE:], dtype="<u4").astype(np.uint32)
+    head = np.frombuffer(raw[:16 + 8 * WIDE], dtype="<u8")
+    return int(head[0]), int(head[1]), head[2:].astype(np.uint64), np.frombuffer(raw[16 + 8 * WIDE:], dtype="<u4").astype(np.uint32)
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """All columns and ``fingerprint``: equal for equal texts, also where paragraphs stand in another order.
+    """All columns and ``fingerprint``: equal for equal texts, and where paragraphs stand in another order; texts whose
+    paragraphs differ, if only in where lines end, have different ones.
 
     A null text counts as the empty text, which is one empty paragraph. A text is hashed in batches
     of ``BATCH`` pieces; repeated rows have equal fingerprints.
