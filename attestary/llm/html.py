@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 LABELLED_PAGES = 2000  # pages the weights are learned from, at most
-TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
-LOOSE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")  # where a quote is left open
+TAG_NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+STOP = re.compile("[>\"']")
 NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z])(?=[A-Z])")
 RAW_TEXT = {"script", "style", "template", "noscript", "iframe", "svg", "math", "textarea", "title", "select", "object"}
@@ -30,6 +30,8 @@ BESIDE_NAMES = {"ad", "ads", "advert", "adverts", "advertisement", "banner", "br
                 "navigation", "newsletter", "notice", "notices", "popup", "promo", "promotion", "related", "replies",
                 "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar",
                 "complementary", "contentinfo"}
+# what readers add, and lists of other pages: beside the text whatever share of the page it has
+ADDED_NAMES = {"comment", "comments", "replies", "newsletter", "related"}
 QUALIFIERS = {"has", "no", "with", "without", "enabled", "disabled", "price"}  # "has-sidebar" is no sidebar
 MAIN = {"article", "main"}
 MARKED = r"""(?i)<(article|main)[\s/>]|\b(class|id|role)\s*=\s*("([^"]*\s)?main[\s"]|'([^']*\s)?main[\s']|main[\s>])"""
@@ -45,18 +47,57 @@ def _names(attributes: str) -> list[str]:
     return out
 
 
-def _named_beside(tag: str, names: list[str]) -> bool:
-    if tag == "form":
-        return True
+def _named(tag: str, names: list[str], wanted: set[str]) -> bool:
     parts = [SPLIT.split(n.lower()) for n in names]
-    return tag not in ("html", "body") and any(not QUALIFIERS.intersection(p) and not BESIDE_NAMES.isdisjoint(p) for p in parts)
+    return tag not in ("html", "body") and any(not QUALIFIERS.intersection(p) and not wanted.isdisjoint(p) for p in parts)
+
+
+class _TagEnds:
+    """Where tags end. A ``>`` in quotes ends no tag; where a quote stays open, the next ``>`` does.
+
+    What an earlier search has found out about the rest of the page is kept, so all searches together
+    take time in proportion to the page.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.open_from = {'"': len(page) + 1, "'": len(page) + 1}  # behind it no such quote closes
+        self.dead = set()  # outside of quotes, no end follows these places
+
+    def after(self, at: int) -> int:
+        """The place of the ``>`` that ends a tag whose name ends at ``at``; -1 without any."""
+        if at > self.last:
+            return -1
+        page, start, seen = self.page, at, []
+        while True:
+            m = STOP.search(page, at)
+            if not m:
+                break
+            if m[0] == ">":
+                return m.start()
+            if m.start() >= self.open_from[m[0]]:
+                break
+            close = page.find(m[0], m.end())
+            if close < 0:
+                self.open_from[m[0]] = m.start()
+                break
+            at = close + 1
+            if at in self.dead:
+                break
+            seen.append(at)
+        self.dead.update(seen)
+        return page.find(">", start)
 
 
 class _Element:
     def __init__(self, key: str, parent: _Element | None, start: int, tag: str, names: list[str]):
-        self.key, self.parent, self.start, self.end = key, parent, start, -1
+        self.key, self.parent, self.start, self.end, self.tag = key, parent, start, -1, tag
+        # the open paragraph that a new one closes, if only inline elements stand between
+        self.paragraph = self if tag == "p" else parent.paragraph if parent and tag in INLINE else None
         self.hard = tag in BESIDE and tag != "form"  # beside the text whatever it holds
-        self.named = not self.hard and _named_beside(tag, names)
+        self.named = not self.hard and (tag == "form" or _named(tag, names, BESIDE_NAMES))
+        self.added = self.named and _named(tag, names, ADDED_NAMES)
+        self.titled = False  # holds a heading of the first level
         self.main = (tag in MAIN or "main" in [x.lower() for x in names]) and not self.hard and not self.named
         self.under_hard = self.hard or bool(parent and parent.under_hard)
         self.under_named = self.named or bool(parent and parent.under_named)
@@ -69,16 +110,21 @@ def tokens(page: str) -> list[tuple[str, str, bool, str]]:
     part that is no main text by its tag or name; ``zone``: inside the page's main element, outside of
     it, or on a page without one. Comments and the content of scripts and the like are left out.
     A name (or ``form``) sets a part beside only if that holds no main element and less than half of
-    the words: else it wraps the text. Main elements below such a name count where no other is.
+    the words: else it wraps the text. A part named as readers' comments and the like is beside at any
+    share, unless it holds a main element or the title. Main elements below such a name count where no other is.
+    Time and memory are in proportion to the page, however malformed.
     """
     out, stack, elements, at, n = [], [], [], 0, len(page)
+    ends, open_tags, unclosed = _TagEnds(page), Counter(), set()
 
     def put(feature: str, text: str, parent: str = "", left_out: bool = False) -> None:
         out.append((feature, text, stack[-1] if stack else None, parent, left_out))
 
     def pop(to: int) -> None:
         while len(stack) > to:
-            stack.pop().end = len(out)
+            e = stack.pop()
+            e.end = len(out)
+            open_tags[e.tag] -= 1
 
     while at < n:
         lt = page.find("<", at)
@@ -96,27 +142,31 @@ def tokens(page: str) -> list[tuple[str, str, bool, str]]:
             end = page.find(">", lt)
             at = n if end < 0 else end + 1
             continue
-        m = TAG.match(page, lt) or LOOSE_TAG.match(page, lt)
-        if not m:
+        m = TAG_NAME.match(page, lt)
+        end = ends.after(m.end()) if m else -1
+        if end < 0:
             put("#text", "<", stack[-1].key if stack else "")
             at = lt + 1
             continue
-        at, tag = m.end(), m[2].lower()
+        at, tag, attributes = end + 1, m[2].lower(), page[m.end():end]
         gap = "" if tag in INLINE else " "
         if m[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].key.split(".")[0] == tag:
-                    put("/" + stack[i].key, gap)
-                    pop(i)
-                    break
-            else:
+            if not open_tags[tag]:
                 put("/" + tag, gap)
+                continue
+            i = len(stack) - 1
+            while stack[i].tag != tag:
+                i -= 1
+            put("/" + stack[i].key, gap)
+            pop(i)
             continue
-        names = _names(m[3])
+        names = _names(attributes)
         key = f"{tag}.{names[0].lower()}" if names else tag
-        if tag in RAW_TEXT and not m[3].endswith("/"):
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
-            close = -1 if not end else page.find(">", end.end())
+        if tag in RAW_TEXT and not attributes.endswith("/"):
+            closing = None if tag in unclosed else re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(page, at)
+            close = -1 if not closing else page.find(">", closing.end())
+            if close < 0:
+                unclosed.add(tag)
             if close < 0 and tag not in ("script", "style"):
                 block = BLOCK.search(page, at)
                 at = block.start() if block else n
@@ -124,16 +174,19 @@ def tokens(page: str) -> list[tuple[str, str, bool, str]]:
                 at = n if close < 0 else close + 1
             put(key, gap, left_out=True)
             continue
-        if tag == "p":  # a paragraph ends where another block begins
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i].key.split(".")[0] not in INLINE | {"p"}:
-                    break
-                if stack[i].key.split(".")[0] == "p":
-                    pop(i)
+        if tag == "p" and stack and stack[-1].paragraph:  # a paragraph ends where another one begins
+            while stack[-1] is not stack[-1].paragraph:
+                pop(len(stack) - 1)
+            pop(len(stack) - 1)
+        if tag == "h1":
+            for e in reversed(stack):
+                if e.titled:
                     break
-        if tag not in VOID and not m[3].endswith("/"):
+                e.titled = True
+        if tag not in VOID and not attributes.endswith("/"):
             stack.append(_Element(key, stack[-1] if stack else None, len(out), tag, names))
             elements.append(stack[-1])
+            open_tags[tag] += 1
         put(key, gap)
     pop(0)
     words = np.concatenate([[0], np.cumsum([len(t[1].split()) if t[0] == "#text" and not (t[2] and t[2].under_hard) else 0
@@ -148,7 +201,7 @@ def tokens(page: str) -> list[tuple[str, str, bool, str]]:
             holds.add(up)
             up = up.parent
     for e in elements:  # parents come first
-        wraps = e in holds or 2 * (words[e.end] - words[e.start]) >= words[-1] > 0
+        wraps = e in holds or 2 * (words[e.end] - words[e.start]) >= words[-1] > 0 and (e.titled or not e.added)
         e.inside = e in mains or bool(e.parent and e.parent.inside)
         e.beside = e.hard or bool(e.parent and e.parent.beside) or e.named and not wraps
         if e in mains:
