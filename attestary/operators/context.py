@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from attestary import fixed
+from attestary.fixed import (ANSWER_HEAD, CHAT_HEADS, CHAT_OPEN, CHAT_READY, CHAT_SYSTEM, CHOICE_HINT, EXCERPTS_HEAD,
+                             FIELDS_HEAD, SYNTHESIS_HEAD)
 from attestary.functions.paths import section_of
 from attestary.functions.text import estimate_tokens
 from attestary.operators.admission import nonblank_docs
@@ -188,12 +190,6 @@ def derived_docs(synthesis: DataFrame) -> DataFrame:
 
 # --- prompts --------------------------------------------------------------------------------
 
-SYNTHESIS_HEAD = "SYNTHÈSE MÉDICALE (source principale) :\n"
-EXCERPTS_HEAD = "EXTRAITS DE DOCUMENTS (source secondaire) :\n"
-FIELDS_HEAD = "CHAMPS À EXTRAIRE :\n"
-ANSWER_HEAD = "RÉPONDS UNIQUEMENT avec ce JSON (tous les IDs sont obligatoires) :\n"
-CHOICE_HINT = " (réponds exactement par l'une de ces valeurs : "
-
 
 def build_prompts(fields: DataFrame, contexts: DataFrame) -> DataFrame:
     """One prompt per batch.
@@ -233,15 +229,6 @@ def field_lines(results: DataFrame) -> DataFrame:
                 F.struct("ord", line.alias("l")))), lambda x: x["l"]), "\n").alias("fields_context")))
 
 
-CHAT_SYSTEM = "Réponds en français à partir des seules données du dossier, et cite tes sources."
-CHAT_OPEN = "Voici le dossier médical du patient :\n\n"
-CHAT_READY = ("J'ai pris connaissance du dossier médical et des valeurs pré-remplies dans le "
-              "formulaire. Je suis prêt à répondre à vos questions.")
-CHAT_HEADS = [("synthesis", "SYNTHÈSE MÉDICALE STRUCTURÉE :\n"),
-              ("fields_context", "VALEURS PRÉ-REMPLIES DANS LE FORMULAIRE :\n"),
-              ("context", "EXTRAITS PERTINENTS DES DOCUMENTS ORIGINAUX :\n")]
-
-
 def chat_messages(requests: DataFrame, history: DataFrame, system: str = CHAT_SYSTEM) -> DataFrame:
     """``(conv_id, seq, role, content)``: system, context pair if any, history, question.
 

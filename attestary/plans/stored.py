@@ -3,7 +3,9 @@
 from pyspark.sql import DataFrame, functions as F
 
 from attestary.operators import reports as R, templates as D
+from attestary.operators.numbering import number_rows
 from attestary.plans.registry import Source, plain, query
+from attestary.plans.reporting import RUNS as REPORTED, SUMMARY
 from attestary.session import shared_dir
 from attestary.sources import readers, writers
 
@@ -27,31 +29,35 @@ def stored_job_chunks(s: Source) -> DataFrame:
     return writers.read_chunks(s.spark, path, job).select("chunk_no", F.md5("text").alias("digest"))
 
 
-RUNS = """SELECT ts, event_type AS form_id, user_id % 4 AS documents, value AS seconds,
+RUNS = """SELECT event_id, ts, event_type AS form_id, user_id % 4 AS documents, value AS seconds,
   CASE WHEN event_id % 5 = 0 THEN 'failed' ELSE 'completed' END AS status FROM {events}"""
 
 
 def run_log(s: Source) -> DataFrame:
+    """Two appends, each sorted: the earlier half of the events, then the later one."""
     path = shared_dir(s.spark, "runs")
-    writers.append_runs(s.shape(RUNS), path)
+    runs = s.shape(RUNS)
+    for later in (False, True):
+        writers.append_runs(runs.where((F.col("event_id") % 2 == 1) == F.lit(later)).orderBy("event_id"), path)
     return readers.read_runs(s.spark, path)
 
 
 LOGGED = f"""
-l AS (SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS ts, form_id, documents, round_even(seconds, 1) AS seconds
-  FROM ({plain(RUNS)}) r WHERE status = 'completed')"""
+l AS (SELECT strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS ts, form_id, documents, round_even(seconds, 1) AS seconds,
+  row_number() OVER (ORDER BY event_id % 2, event_id) AS log_no FROM ({plain(RUNS)}) r WHERE status = 'completed')"""
 
 
-@query("stored_runs", f"WITH {LOGGED} SELECT * FROM l")
+@query("stored_runs", f"WITH {LOGGED} SELECT ts, form_id, documents, seconds, log_no AS line FROM l")
 def stored_runs(s: Source) -> DataFrame:
-    return run_log(s).drop("log_no")
+    """Every line of the log with its place in it."""
+    log = number_rows(run_log(s).withColumn("_all", F.lit(0)), ["_all"], "log_no", "line")
+    return log.select("ts", "form_id", "documents", "seconds", (F.col("line") + 1).alias("line"))
 
 
-@query("stored_run_summary", f"""
-WITH {LOGGED} SELECT form_id, count(seconds) AS runs, round_even(sum(seconds) / count(seconds), 1) AS average_seconds FROM l GROUP BY ROLLUP (form_id)""")
+@query("stored_run_summary", f"{SUMMARY.replace(f'r AS ({plain(REPORTED)})', LOGGED.strip() + ', r AS (SELECT * FROM l)')} SELECT * FROM o")
 def stored_run_summary(s: Source) -> DataFrame:
-    """The figures that do not depend on the order in which a table's partitions were logged."""
-    return R.run_summary(run_log(s)).select("form_id", "runs", "average_seconds")
+    """All figures, those of the last runs included: the log keeps its order."""
+    return R.run_summary(run_log(s))
 
 
 RESULTS = "SELECT o_orderstatus AS form_id, o_custkey AS job_id, o_orderkey AS field_id, o_orderpriority AS value FROM {orders}"

@@ -80,7 +80,8 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
     """Run log with ``log_no``, the order of its lines; blank and truncated lines are dropped, a missing
     log is empty.
 
-    Files count in the order they were written. Within a file a line's number is where its block
+    Appends count in the order they were made, and the files of one append, which share its identifier, by
+    their part number, whichever was finished first. Within a file a line's number is where its block
     begins plus its place in the block, as no line is shorter than a byte.
     """
     try:
@@ -92,8 +93,9 @@ def read_runs(spark: SparkSession, path: str) -> DataFrame:
                        F.monotonically_increasing_id().alias("_r"))
     rows = rows.where("ts IS NOT NULL OR form_id IS NOT NULL OR seconds IS NOT NULL")
     # one row per file of the log
-    files = rows.select("_t", "_f").distinct().select(
-        "_f", F.row_number().over(W.orderBy("_t", "_f")).alias("_n"))
+    append = F.coalesce(F.nullif(F.regexp_extract("_f", r"part-\d+-([0-9a-f-]{36})", 1), F.lit("")), F.col("_f"))
+    files = rows.select("_t", "_f").distinct().withColumn("_a", F.min("_t").over(W.partitionBy(append)))
+    files = files.select("_f", F.row_number().over(W.orderBy("_a", append, "_f")).alias("_n"))
     place = F.col("_b") + F.col("_r") - F.min("_r").over(W.partitionBy("_f", "_b"))
     return (rows.withColumn("_p", place).join(files, "_f")
             .withColumn("log_no", F.col("_n") * F.lit(2 ** 40) + F.col("_p"))

@@ -8,7 +8,7 @@ JOB_BUCKETS = 256
 
 
 def append_runs(runs: DataFrame, path: str) -> None:
-    """Append completed runs to the log; failed ones are never logged."""
+    """Append completed runs to the log, in the order of ``runs`` if that is sorted; failed ones are never logged."""
     (runs.where("status = 'completed'")
      .select(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias("ts"), "form_id",
              F.col("documents").cast("int").alias("documents"),
