@@ -3,7 +3,7 @@
 import importlib
 
 MODULES = ["admit", "texts", "provenance", "retrieve", "contexts", "filling", "forms", "reporting",
-           "scoring", "live", "stored", "chat"]
+           "scoring", "live", "stored", "chat", "uploads"]
 
 
 def load():
