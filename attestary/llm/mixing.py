@@ -75,7 +75,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, share
     """The mixed documents with all their columns, a row per copy, in the order of virtual finish time.
 
     The copy that is being served when the budget is spent keeps its first words. ``text`` and,
-    where there is one, ``n_chars`` are those of the copy. Cases as in :func:`allotments`.
+    where there is one, ``n_chars`` are those of the copy. Cases as in :func:`allotments`; rows that share
+    id, source and text get their allotments in the order of a hash of the whole row, so reruns agree.
     """
     rows = docs.select(
         "doc_id", F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("stratum"),
@@ -83,14 +84,16 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, share
         F.xxhash64("text").alias("_text"))
     rows = stage(rows.withColumn("draw", drawn(seed, "doc_id", "size")), "mix-rows")
     served = _allot(rows, weights, cap, share, ["_text"]).where("taken > 0")
-    # repeated rows were allotted one by one: the n-th row of an id and text has its n-th allotment
-    nobody = F.lit(-(2 ** 63))
-    lots = (served.groupBy(F.coalesce("doc_id", nobody).alias("_doc"), "_text")
+    # repeated rows were allotted one by one: the n-th row of an id, source and text has its n-th allotment
+    nobody, key = F.lit(-(2 ** 63)), ["_doc", "stratum", "_text"]
+    lots = (served.groupBy(F.coalesce("doc_id", nobody).alias("_doc"), "stratum", "_text")
             .agg(F.array_sort(F.collect_list(F.struct("_before", "size", "source_size", "target"))).alias("_lots")))
-    base = docs.select(whole(docs), F.coalesce("doc_id", nobody).alias("_doc"), F.xxhash64("text").alias("_text"))
-    base = base.withColumn("_n", F.row_number().over(Window.partitionBy("_doc", "_text").orderBy(F.lit(0))))
+    row = whole(docs)
+    base = docs.select(row, F.coalesce("doc_id", nobody).alias("_doc"), F.coalesce(F.concat(F.lit("0"), F.col("source")), F.lit("1")).alias("stratum"),
+                       F.xxhash64("text").alias("_text"), F.xxhash64(F.to_json(row)).alias("_row"))
+    base = base.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy("_row")))
     lot = F.get("_lots", F.col("_n") - 1)
-    copies = (base.join(lots, ["_doc", "_text"]).withColumn("_lot", lot).where("_lot is not null")
+    copies = (base.join(lots, key).withColumn("_lot", lot).where("_lot is not null")
               .withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(cap - 1)))))
     start = F.col("_lot.source_size") * F.col("_copy") + F.col("_lot._before")
     copies = (copies.withColumn("_words", F.least(F.col("_lot.size"), F.floor("_lot.target") - start)).where("_words > 0")

@@ -480,6 +480,34 @@ def test_mixed_copies_hold_what_was_taken(tables, kind):
     assert +got == +want
 
 
+def test_mixed_repeats_keep_their_rows(spark):
+    """Rows of one id and text that differ elsewhere: every rerun gives each row the same copies."""
+    rows = [(1, "one two three four five six", s, n) for s in ("a", "b", None) for n in range(4)] + [(2, "x y", "a", 0)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, note int")
+    runs = [Counter(tuple(r) for r in mixing.mix(docs.repartition(n)).collect()) for n in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2]
+
+
+@pytest.mark.parametrize("kind", ["plain", "odd"])
+def test_mix_is_the_global_order_cut_at_the_budget(tables, kind):
+    """All copies of all sources in one order of virtual finish time, cut where the running sum of words reaches the
+    budget, are what each source's cut at its own target takes."""
+    lots = mixing.allotments(tables[kind]).collect()
+    budget = sum(r["size"] for r in lots)
+    copies = []  # finish time, words before it in its source, row, words
+    for n, r in enumerate(lots):
+        if r.target > 0 and r["size"]:
+            copies += [((r._before + r["size"] + k * r.source_size) / r.target, r._before + k * r.source_size, n, r["size"]) for k in range(3)]
+    taken, total = Counter(), 0
+    for finish, start, n, size in sorted(copies):
+        words = size if finish <= 1 else max(0, min(size, int(np.floor(lots[n].target)) - start))  # being served at time 1
+        taken[n] += words
+        total += words
+        assert total <= budget
+    assert budget - total < len({r.stratum for r in lots}) + 1
+    assert all(taken[n] == r.taken for n, r in enumerate(lots))
+
+
 def brute_top(vectors, k=5):
     good = []
     for i, v in vectors:
