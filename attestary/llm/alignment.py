@@ -33,6 +33,9 @@ REMEMBERED = 300_000  # units a worker process remembers before it starts anew
 SPACE = "\u2581"  # the piece model's blank
 SEPARATORS = r"\x1c-\x1f"  # white space to Python, not to the tokenizers
 BLANK, INK = rf"[^\S{SEPARATORS}]", rf"[\S{SEPARATORS}]"
+LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+SIGNS = ".,;:!?"
+CARRIER = " a"  # stands before a sign that is encoded apart from its word
 
 
 class Part(NamedTuple):
@@ -61,7 +64,8 @@ def aligned_tokens(a: np.ndarray, a_bytes: np.ndarray, b: np.ndarray, b_bytes: n
 
 class Units(dict):
     """Parts of units of text, made when first asked for. A unit begins where both tokenizers are sure to cut:
-    before white space that follows something else. No merge of either crosses such a place."""
+    before white space that follows something else, and before a sign that follows a letter, if no piece
+    joins the two. No merge of either crosses such a place."""
 
     def __init__(self, byte_level: str, pieces: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -83,8 +87,14 @@ class Units(dict):
             joined.add(" ")
         self.joined = re.compile(f"[{re.escape(''.join(sorted(joined)))}]" if joined else r"(?!)")
         sure = rf"(?![{re.escape(''.join(sorted(joined)))}]){BLANK}" if joined else BLANK
-        self.cut, self.plain = re.compile(rf"(?<={INK})(?={sure})"), re.compile(rf"{BLANK}*{INK}+|{BLANK}+")
+        signs = "".join(c for c in SIGNS if not any(re.search(f"[{LETTER}]{re.escape(c)}", p) for p in names)) or "(?!)"
+        self.signs, sign, run = set(signs), f"[{re.escape(signs)}]" if signs != "(?!)" else signs, f"[{LETTER}]++"
+        self.edge = re.compile(rf"(?<={INK})(?={sure})")  # white space alone: where fragments are cut
+        self.cut = re.compile(rf"{self.edge.pattern}|(?<=[{LETTER}])(?={sign})")
+        other = rf"(?:(?![{LETTER}]){INK})++"
+        self.plain = re.compile(rf"{BLANK}*(?:(?:{run}(?!{sign})|{other})+(?:{run}(?={sign}))?|{run}(?={sign}))|{BLANK}+")
         self.chains = re.compile(rf"{sure}[\s\S]*{INK}\Z")  # units that may stand in any order without joining
+        self.carried = [len(ids) for ids in self.tokens(CARRIER)]
 
     def split(self, text: str) -> list[str]:
         """The units of a text that begins at a cut."""
@@ -94,6 +104,9 @@ class Units(dict):
 
     def tokens(self, text: str) -> tuple[list[int], list[int]]:
         """Ids of both for a text that begins at a cut. The piece model sets a blank before whatever it encodes."""
+        if text[0] in self.signs:
+            a, b = self.tokens(CARRIER + text)
+            return a[self.carried[0]:], b[self.carried[1]:]
         a = self.a.encode(text, add_special_tokens=False).ids
         if text == " ":
             return a, [self.b_space]
@@ -103,8 +116,12 @@ class Units(dict):
         """Encode all units as one text, so that both tokenizers and the alignment take them in one step; those that could
         join, and those of a text that does not come back as it was, one by one."""
         chained, rest = [], []
+        ink = re.compile(rf"[\s\S]*{INK}\Z")
         for u in units:
-            (chained if self.chains.match(u) else rest).append(u)
+            if u[0] in self.signs and ink.match(u):
+                chained += [CARRIER, u]
+            else:
+                (chained if self.chains.match(u) else rest).append(u)
         if chained and not self._learnt(chained):
             rest += chained
         for u in rest:
@@ -168,7 +185,7 @@ class Fragment(NamedTuple):
 
 def fragment(text: str, number: int, begins: bool, ends: bool, units: Units) -> tuple[Fragment, str]:
     """A byte range as a fragment, and the text between its first and last cut. The ends of a document are cuts."""
-    found = [m.start() for m in units.cut.finditer(text)]
+    found = [m.start() for m in units.edge.finditer(text)]
     cuts = [0] * begins + found + [len(text)] * ends
     if not cuts:
         return Fragment(True, text, "", number), ""

@@ -120,7 +120,7 @@ _UNITS = []
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.text(alphabet=st.characters(codec="utf-8"), max_size=60) | st.text(alphabet=" \n\r\t\xa0\u3000\x1cab1'.é", max_size=40))
+@given(st.text(alphabet=st.characters(codec="utf-8"), max_size=60) | st.text(alphabet=" \n\r\t\xa0\u3000\x1cab1'.é", max_size=40) | st.text(alphabet="abs tT'.,;:!?-²1é×", max_size=40))
 def test_units_are_encoded_as_in_the_whole_text(text):
     units = _UNITS[0] if _UNITS else _UNITS.append(alignment.Units(*PAIR)) or _UNITS[0]
     if not text:
