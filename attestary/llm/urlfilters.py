@@ -68,16 +68,24 @@ def url_tokens(place: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(lowered(place), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
+def _salt(column: str) -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int").alias("salt")
+
+
+def _every_salt() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+
+
 def rule_index(rules: DataFrame, urls: DataFrame) -> DataFrame:
     """The rules with the ``token`` each is found by: of its literal tokens the one the fewest of
     ``urls(place)`` hold, ties by the token; rules without any are under ``EVERYWHERE``.
 
-    Only tokens that rules hold are counted, summed map-side, so a host that most URLs share is no
-    group of its own.
+    Only tokens that rules hold are counted, in ``SALTS`` groups each and summed map-side, so a host that
+    most URLs share is no group of its own.
     """
     tokens = rules.select("pattern", F.explode(literal_tokens(F.col("pattern"))).alias("token")).distinct()
-    sought = tokens.select("token").distinct()
-    held = urls.select(F.explode(url_tokens(F.col("place"))).alias("token")).join(sought, "token", "left_semi")
+    sought = tokens.select("token").distinct().withColumn("salt", _every_salt())
+    held = urls.select(_salt("place"), F.explode(url_tokens(F.col("place"))).alias("token")).join(sought, ["token", "salt"], "left_semi")
     counts = held.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
     chosen = (tokens.join(counts, "token", "left").groupBy("pattern")
               .agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token")).alias("least")))
@@ -98,9 +106,9 @@ def verdicts(urls: DataFrame, rules: DataFrame) -> DataFrame:
     places = stage(urls.where("url is not null").select("url").distinct()
                    .select("url", F.concat(host, path).alias("place")).where("place <> ''"), "urls")
     index = stage(rule_index(rules, places), "rule-index")
-    asked = places.select("url", "place", F.pmod(F.xxhash64("url"), F.lit(SALTS)).cast("int").alias("salt"),
+    asked = places.select("url", "place", _salt("url"),
                           F.explode(F.concat(url_tokens(F.col("place")), F.array(F.lit(EVERYWHERE)))).alias("token"))
-    salted = index.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = index.withColumn("salt", _every_salt())
     fitting = asked.join(salted, ["token", "salt"]).where("place rlike expression")
     best = F.max(F.struct("level", F.length("rule").alias("size"), (F.col("verdict") == "block").alias("blocks"), "rule", "pattern",
                           "verdict"))
