@@ -79,3 +79,43 @@ def stored_report(s: Source) -> DataFrame:
     path = shared_dir(s.spark, "report")
     writers.write_report(D.catalog_report(s.shape(REPORT)), path)
     return s.spark.read.json(path, "form_id string, fields bigint, written bigint").select("form_id", "fields", "written")
+
+
+LISTED = """SELECT CASE p_size % 6 WHEN 0 THEN '# a remark' WHEN 1 THEN '  ' WHEN 2 THEN concat(p_brand, ' with a remark') WHEN 3 THEN 'alone'
+  ELSE concat(' ', CAST(p_partkey AS STRING), chr(9), ' ', replace(p_name, ' ', '_'), ' ') END AS line FROM {part}"""
+
+
+def _catalog(s: Source) -> tuple[DataFrame, DataFrame]:
+    path = shared_dir(s.spark, "catalog")
+    s.shape(LISTED).write.text(path)
+    return readers.read_catalog(s.spark, path)
+
+
+@query("stored_catalog", "SELECT CAST(p_partkey AS VARCHAR) AS code, replace(p_name, ' ', '_') AS form_id FROM part WHERE p_size % 6 > 3")
+def stored_catalog(s: Source) -> DataFrame:
+    """The entries of a catalogue list; remarks and blank lines are none."""
+    return _catalog(s)[0]
+
+
+@query("rejected_catalog_lines", f"SELECT line FROM ({plain(LISTED)}) l WHERE line LIKE '%with a remark' OR line = 'alone'")
+def rejected_catalog_lines(s: Source) -> DataFrame:
+    return _catalog(s)[1]
+
+
+TRUTH = """SELECT p_brand AS form_id, concat(CAST(p_partkey % 7 AS STRING), '.', CAST(p_partkey AS STRING)) AS field_id, p_name AS expected,
+  CASE p_size % 3 WHEN 0 THEN 'contains' WHEN 1 THEN 'date' END AS tolerance, CASE WHEN p_size > 20 THEN p_type END AS category,
+  split_part(p_name, ' ', 1) AS word FROM {part}"""
+
+
+@query("stored_ground_truth", f"""
+SELECT form_id, field_id, expected, coalesce(tolerance, 'exact') AS tolerance, coalesce(category, '') AS category,
+  CASE WHEN tolerance = 'contains' THEN word ELSE '' END AS keywords FROM ({plain(TRUTH)}) t""")
+def stored_ground_truth(s: Source) -> DataFrame:
+    """One file of expected values per form, written as JSON and read back as rows."""
+    path = shared_dir(s.spark, "truth")
+    keywords = F.when(F.col("tolerance") == "contains", F.array("word")).otherwise(F.array().cast("array<string>"))
+    entry = F.struct("expected", "tolerance", "category", keywords.alias("keywords"))
+    forms = s.shape(TRUTH).groupBy("form_id").agg(F.map_from_entries(F.collect_list(F.struct("field_id", entry))).alias("fields"))
+    text = F.to_json(F.struct(F.struct("form_id").alias("_meta"), "fields"))
+    forms.select(F.col("form_id").alias("form"), text.alias("value")).repartition("form").write.partitionBy("form").text(path)
+    return readers.read_ground_truth(s.spark, path).withColumn("keywords", F.array_join("keywords", " "))
