@@ -11,8 +11,9 @@ from attestary.streaming import streams as X
 
 
 def stream(s: Source, table: str) -> DataFrame:
+    """The table as a stream, whether it is one file or a folder of parts: a stream takes a single file only by a pattern."""
     schema = s.spark.read.parquet(f"{s.folder}/{table}.parquet").schema
-    return s.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(s.folder)
+    return s.spark.readStream.schema(schema).parquet(f"{s.folder}/{table}[.]parquet")
 
 
 def shaped(s: Source, table: str, sql: str) -> DataFrame:

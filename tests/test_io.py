@@ -115,3 +115,24 @@ def test_known_contents_over_runs(spark, tmp_path):
     spark.createDataFrame(rows[10:] + [(99, "new"), (98, "new")], "no int, content_hash string").write.mode("append").parquet(files)
     assert [(r.no, r.content_hash) for r in X.new_contents(read(), cache).collect()] == [(98, "new")]
     assert X.new_contents(read(), cache).collect() == []
+
+
+@pytest.mark.parametrize("parts", [0, 3])
+def test_streams_read_one_file_or_a_folder_of_parts(spark, tmp_path, parts):
+    """A table of one file has the rows of the same table as a folder, in every query that reads it as a stream."""
+    import pandas as pd
+    from attestary.plans import load
+    rows = pd.DataFrame({"doc_id": range(12), "text": [f"Text {i % 5} of some words" for i in range(12)],
+                         "lang": "fr", "source": [f"src{i % 2}" for i in range(12)], "n_chars": 10})
+    if parts:
+        (tmp_path / "documents.parquet").mkdir()
+        for i in range(parts):
+            rows[i::parts].to_parquet(tmp_path / "documents.parquet" / f"part-{i}.parquet")
+        (tmp_path / "documents.parquet" / "_SUCCESS").write_text("")
+    else:
+        rows.to_parquet(tmp_path / "documents.parquet")
+    queries = load()[0]
+    assert queries["stream_chunks"](spark, str(tmp_path)).count() == 12
+    assert queries["stream_dedupe"](spark, str(tmp_path)).count() == 5
+    # numbers divisible by 3 are known from the first run: texts 0, 3, 1 and 4
+    assert [r.doc_id for r in queries["stream_new_contents"](spark, str(tmp_path)).collect()] == [2]
