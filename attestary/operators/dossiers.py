@@ -135,6 +135,9 @@ def render_dossier(scenarios: DataFrame) -> DataFrame:
                     F.col("d.text").alias("markdown")))
 
 
+NUMBERS = 4096  # document numbers a task makes from one row
+
+
 def corpus_plan(requests: DataFrame, styles: list[str]) -> DataFrame:
     """``(job_id, doc_no, kind, style, filename)``: documents shared out over styles, then noise.
 
@@ -152,8 +155,11 @@ def corpus_plan(requests: DataFrame, styles: list[str]) -> DataFrame:
     name = F.when(style.isNotNull(), F.concat(
         F.lit("patient_"), F.format_string("%03d", n), F.lit("_"), style)) \
         .otherwise(F.concat(F.lit("noise_"), F.format_string("%03d", n)))
-    return (requests.withColumn("doc_no", F.explode(F.sequence(
-                F.lit(1).cast("bigint"), patients + F.col("noise"))))
+    # numbers come in blocks, and the blocks go to all tasks: the documents of one job are no single row's work
+    total, first = patients + F.col("noise"), F.col("_first")
+    blocks = (requests.withColumn("_first", F.explode(F.sequence(F.lit(1).cast("bigint"), total, F.lit(NUMBERS).cast("bigint"))))
+              .repartition(int(requests.sparkSession.conf.get("spark.sql.shuffle.partitions")), "job_id", "_first"))
+    return (blocks.withColumn("doc_no", F.explode(F.sequence(first, F.least(first + (NUMBERS - 1), total))))
             .select("job_id", "doc_no", style.alias("style"),
                     F.when(style.isNotNull(), "patient").otherwise("noise").alias("kind"),
                     name.alias("filename")))

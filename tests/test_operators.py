@@ -286,3 +286,26 @@ def test_dense_numbers_of_null_groups(spark):
     rows = [(None, "a", i) for i in range(3000)] + [("g", None, i) for i in range(5)]
     got = number_rows(spark.createDataFrame(rows, "g string, h string, o int"), ["g", "h"], "o", "n").collect()
     assert len(got) == 3005 and all(r.n == r.o for r in got)
+
+
+def test_corpus_requests_are_counted_apart(spark, tmp_path):
+    """The counts are those of the shaping SQL, null and repeated keys included, and no customer meets a supplier."""
+    from attestary.operators.dossiers import corpus_plan
+    from attestary.plans import scoring
+    from attestary.plans.registry import Source
+    spark.createDataFrame([(0,), (1,), (1,), (2,), (None,)], "n_nationkey long").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(1, 0), (2, 0), (2, 0), (None, 0), (3, 1), (4, None), (5, 9)], "c_custkey long, c_nationkey long") \
+        .write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(7, 0), (8, 0), (8, 1), (9, None)], "s_suppkey long, s_nationkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    s = Source(spark, str(tmp_path))
+    got = scoring.requests(s)
+    assert sorted(map(str, got.collect())) == sorted(map(str, s.shape(scoring.REQUESTS).collect()))
+    lines = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    tables = [i for i, line in enumerate(lines) if "Relation" in line]
+    aggregates = [i for i, line in enumerate(lines) if line.strip(" :+-").startswith("Aggregate")]
+    # each table is grouped on its own, below the joins
+    assert len(tables) == 3 and all(any(a < t and not any(a < o < t for o in tables) for a in aggregates) for t in tables)
+    one = spark.createDataFrame([(1, 20_000, 5_000)], "job_id long, count long, noise long")
+    plan = corpus_plan(one, scoring.STYLES)
+    assert [r[0] for r in plan.select("doc_no").orderBy("doc_no").collect()] == list(range(1, 25_001))
+    assert plan.select(F.spark_partition_id()).distinct().count() > 1  # before, one task made them all
