@@ -118,15 +118,17 @@ def match_paths(elements: DataFrame, paths: DataFrame) -> DataFrame:
     ``elements(form_id, node, parent, tag, ord)`` is the tree, ``ord`` document order, ``paths(form_id,
     path)``. The first segment may start anywhere in the tree (with an index: at that occurrence in
     document order), each further one steps to a child; the first match in document order wins.
-    The tree is walked one level per join, and the number of levels is that of the longest path.
+    The tree is walked one level per join, and the number of levels is that of the longest path. Elements
+    whose tag no path of their form names are left out first; the others are numbered once and written.
     """
     parts = F.transform(F.filter(F.split("path", "/", -1), lambda p: p != ""),
                         lambda p: split_segment(p))
-    todo = paths.select("form_id", "path").distinct().withColumn("_s", parts)
+    todo = stage(paths.select("form_id", "path").distinct().withColumn("_s", parts), "paths")
     depth = todo.agg(F.max(F.size("_s")).alias("d")).first()["d"] or 0
-    tree = number_rows(number_rows(elements, ["form_id", "tag"], "ord", "_doc"),
-                       ["form_id", "parent", "tag"], "ord", "_child")
-    tree = (tree.select("form_id", "node", "parent", "tag", "ord", "_doc", "_child"))
+    named = todo.select("form_id", F.explode(F.transform("_s", lambda p: p["tag"])).alias("tag")).distinct()
+    elements = stage(elements.select("form_id", "node", "parent", "tag", "ord").join(named, ["form_id", "tag"], "left_semi"), "path-elements")
+    tree = stage(number_rows(number_rows(elements, ["form_id", "tag"], "ord", "_doc"),
+                             ["form_id", "parent", "tag"], "ord", "_child"), "path-tree")
     step = todo.withColumn("tag", F.try_element_at("_s", F.lit(1))["tag"]) \
         .withColumn("_i", F.try_element_at("_s", F.lit(1))["index"])
     at = (step.join(tree, ["form_id", "tag"])

@@ -15,21 +15,16 @@ BLOCK = 1024
 def number_rows(df: DataFrame, group: list[str], order: str, name: str, ties: str | None = None,
                 block: int = BLOCK) -> DataFrame:
     """Adds ``name``: 0, 1, 2 … per group, by the integer column ``order``, then by ``ties``."""
-    rows = df.withColumn("_b", F.floor(F.col(order) / block))
-    before = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    # renamed, so that null groups can meet under a null-safe comparison
-    theirs = {g: f"_of_{g}" for g in [*group, "_b"]}
-    bases = (rows.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_c"))
-             .select(*[F.col(g).alias(t) for g, t in theirs.items()],
-                     F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base")))
-    same = F.lit(True)
-    for g, t in theirs.items():
-        same = same & F.col(g).eqNullSafe(F.col(t))
+    # a struct of nulls is no null: groups that are null meet by plain equality, and the join stays where the window has put the rows
+    rows = df.withColumn("_g", F.struct(*group, F.floor(F.col(order) / block).alias("_b")))
+    before = W.partitionBy(*[F.col(f"_of.{g}") for g in group]).orderBy("_of._b").rowsBetween(W.unboundedPreceding, -1)
+    bases = (rows.groupBy(F.col("_g").alias("_of")).agg(F.count(F.lit(1)).alias("_c"))
+             .select("_of", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_base")))
     by = [order] if ties is None else [order, ties]
-    inside = F.row_number().over(W.partitionBy(*group, "_b").orderBy(*by)) - 1
-    return (rows.withColumn("_in", inside).join(bases, same)
+    inside = F.row_number().over(W.partitionBy("_g").orderBy(*by)) - 1
+    return (rows.withColumn("_in", inside).join(bases, F.col("_g") == F.col("_of"))
             .withColumn(name, (F.col("_base") + F.col("_in")).cast("bigint"))
-            .drop("_b", "_in", "_base", *theirs.values()))
+            .drop("_g", "_in", "_of", "_base"))
 
 
 def running_offsets(counts: DataFrame, group: str, unit: str, n: str,
