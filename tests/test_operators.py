@@ -309,3 +309,44 @@ def test_corpus_requests_are_counted_apart(spark, tmp_path):
     plan = corpus_plan(one, scoring.STYLES)
     assert [r[0] for r in plan.select("doc_no").orderBy("doc_no").collect()] == list(range(1, 25_001))
     assert plan.select(F.spark_partition_id()).distinct().count() > 1  # before, one task made them all
+
+
+def test_nearest_chunks_come_from_few_blocks(spark, monkeypatch):
+    """However far apart the numbers of a job's chunks are, a question is scored in as many blocks as the chunks fill."""
+    rng = np.random.default_rng(5)
+    chunks = spark.createDataFrame([("j", i * 1000, rng.random(4).tolist()) for i in range(40)], "job_id string, chunk_no long, embedding array<double>")
+    asked = spark.createDataFrame([("j", "q", rng.random(4).tolist())], "job_id string, field_id string, embedding array<double>")
+    seen, rank_top = [], K.rank_top
+    monkeypatch.setattr(K, "rank_top", lambda scored, *a: seen.append(scored.count()) or rank_top(scored, *a))
+    assert K.knn(asked, chunks, 5).count() == 5 and seen == [5]  # before, 40 rows from 40 blocks
+
+
+def test_numbering_moves_rows_once(spark):
+    from attestary.operators.numbering import number_rows
+    kept = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in kept}
+    try:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+        plan = number_rows(spark.range(10).selectExpr("id % 2 AS g", "id AS o"), ["g"], "o", "n")._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    # one for the rows; the blocks' counts are summed, accumulated and brought to the rows
+    assert plan.count("Exchange hashpartitioning") == 4, plan
+
+
+def test_queries_bound_their_batches(spark):
+    from attestary.plans import registry
+    keys = ["spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"]
+    was = {k: spark.conf.get(k) for k in keys}
+    try:
+        for k, v in zip(keys, ("10000", "64m")):
+            spark.conf.set(k, v)
+        registry.query("probe")(lambda s: s.spark.range(1))
+        registry.QUERIES["probe"](spark, "none")
+        assert [int(spark.conf.get(k).rstrip("bm")) for k in keys] in ([2000, 8], [2000, 8 << 20])
+    finally:
+        registry.QUERIES.pop("probe", None)
+        for k, v in was.items():
+            spark.conf.set(k, v)
