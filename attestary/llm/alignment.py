@@ -249,14 +249,14 @@ def closed_parts(ranges: DataFrame, pair: TokenizerPair) -> DataFrame:
     task holds a document.
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = pair.units()
         for batch in batches:
             for uid, number, last, text in zip(*(c.to_pylist() for c in batch.columns)):
+                units = pair.units()  # a task without rows loads no tokenizers
                 ends, inner = fragment(text, number, number == 0, number == last, units)
                 yield _rows([_open(uid, number, ends), *_closed(uid, 2 * number + 1, inner, units)])
 
     def reduce(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, held = pair.units(), None  # held: uid, number of the step, fragment so far
+        held = None  # uid, number of the step, fragment so far
         for batch in batches:
             out = []
             for r in batch.to_pylist():
@@ -265,7 +265,7 @@ def closed_parts(ranges: DataFrame, pair: TokenizerPair) -> DataFrame:
                     both, seam = compose(held[1], mine)
                     held = (key, both)
                     if seam:
-                        out += _closed(key[0], 2 * seam[0], seam[1], units)
+                        out += _closed(key[0], 2 * seam[0], seam[1], pair.units())
                 else:
                     if held:
                         out.append(_open(*held[0], held[1]))
@@ -334,10 +334,10 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list, list]]:
 
 def _blocks(pair: TokenizerPair):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, docs, links = pair.units(), [], 0
+        docs, links = [], 0
         number = TaskContext.get().partitionId() << 32
         for names, texts in _slices(batches):
-            found = units.parts([" " + t for t in texts if t])
+            found = pair.units().parts([" " + t for t in texts if t])
             for name, text in zip(names, texts):
                 part = next(found) if text else None
                 if part and part.whole:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from attestary.llm import (alignment, centroids, fingerprints, html, linededup, mixing, packing, quality, shards, simhash, tokenfile,
                            topk, urlfilters)
 from attestary.llm.encoding import Encoder
-from attestary.session import shared_dir
+from attestary.session import bound_batches, shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -207,5 +207,6 @@ def op12(pages: DataFrame) -> DataFrame:
 
 @query("op13_token_alignment", "documents")
 def op13(docs: DataFrame) -> DataFrame:
+    bound_batches(docs.sparkSession)
     pair = alignment.TokenizerPair(tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
     return alignment.aligned(docs, pair)

@@ -93,6 +93,13 @@ def test_alignment_in_small_ranges(tables, monkeypatch):
     assert Counter(tuple(r) for r in alignment.aligned(docs, PAIR).collect()) == want
 
 
+def test_alignment_without_rows_loads_no_tokenizers(tables):
+    """Most of many shuffle partitions hold no fragment: their workers stay small."""
+    nowhere = alignment.TokenizerPair("/nowhere/a.json", "/nowhere/b.model")
+    assert alignment.aligned(tables["odd"].where("doc_id < -1"), nowhere).collect() == []
+    assert alignment.closed_parts(alignment.byte_ranges(tables["odd"].limit(0).withColumn("uid", F.lit(1).cast("long"))), nowhere).count() == 0
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(alphabet="ab \n\r\té日", max_size=40), st.lists(st.integers(0, 40), max_size=6), st.randoms())
 def test_fragments_compose_associatively(text, edges, rng):
