@@ -27,7 +27,7 @@ BITS = 64
 CHUNK = 1 << 16  # shingle hashes counted at once
 SEGMENT_SHIFT = 58  # a bucket's number: the chain's first segment above its key bits
 NOBODY = 2 ** 63 - 1  # a null id stands behind all others
-WORDS = 300_000  # words whose hashes a worker process remembers
+WORDS = 100_000  # words whose hashes a worker process remembers
 APART = [1, 2, 16, 256]  # places of two sets in their bucket from which a round of proposals begins
 EPS = 1e-9
 COUNTERS, COUNTER_CHUNK = 1 << 20, 1 << 15  # hashed counters of shingles, whatever the corpus; sent in chunks

@@ -6,13 +6,16 @@ as the next one's ``docs``. All but the last return the columns of ``documents``
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from attestary.llm import linededup, mixing, packing, quality, simhash
 from attestary.llm.encoding import Encoder
 from attestary.llm.queries import tokenizer_file
-from attestary.session import stage
+from attestary.session import bound_batches, stage
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +44,17 @@ def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
-STAGES = [("quality", good_documents), ("line dedup", first_lines), ("near dedup", one_of_each),
-          ("mixing", mixed), ("packing", sequences)]
+def _bounded(apply: Callable) -> Callable:
+    """The stage in a session that hands texts to Python in batches of bounded size."""
+    @wraps(apply)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return apply(bound_batches(spark), docs, sf_dir)
+    return run
+
+
+STAGES = [(name, _bounded(apply)) for name, apply in [
+    ("quality", good_documents), ("line dedup", first_lines), ("near dedup", one_of_each),
+    ("mixing", mixed), ("packing", sequences)]]
 ORACLE_SQL = None  # no SQL expresses the fitted classifier; tests hold each stage against brute force
 
 

@@ -694,6 +694,19 @@ def test_pipeline_stages(spark, tables):
     assert corpus_pipeline.run(spark, FOLDER).count() > 0
 
 
+def test_stages_and_alignment_bound_their_batches(spark, tables):
+    import corpus_pipeline
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    try:
+        for apply in [corpus_pipeline.STAGES[0][1], lambda s, docs, at: queries.op13(docs)]:
+            spark.conf.set(key, "10000")
+            apply(spark, tables["none"], "")
+            assert spark.conf.get(key) == "2000"
+    finally:
+        spark.conf.set(key, was)
+
+
 def test_entry_works_without_the_folder(tmp_path):
     """The rest imports when this folder and the pipeline are gone."""
     import shutil
