@@ -33,20 +33,55 @@ GRAM_FROM = GRAM + WINDOW - 1
 DOC = ["job_id", "derived", "doc_no"]
 # the filter of sought anchors: a block of 64 bits per word, four bits per anchor, one array of words per job group
 FILTER_GROUPS, FILTER_WORDS, FILTER_BITS = 16, 1 << 14, 4
+# of the needles that share a document, about this many parts go to Python apart
+PARTS = 16
 
 
 # --- anchors --------------------------------------------------------------------------------
 
-@pandas_udf(T.ArrayType(T.LongType()))
-def _grams(normals: pd.Series) -> pd.Series:
-    """Distinct minimal gram hashes over all windows of a text without its spaces."""
-    def one(text):
-        if not isinstance(text, str):
-            return None
+_PRIME = 0x9E3779B97F4A7C15
+
+
+def _spread(h: np.ndarray) -> np.ndarray:
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """``base`` to the power of 0 to n - 1, modulo 2^64."""
+    return np.multiply.accumulate(np.concatenate([[np.uint64(1)], np.full(n - 1, base, np.uint64)]), dtype=np.uint64)
+
+
+class _Hashes:
+    """Hashes of the words, word pairs and minimal grams of texts in normal form, a text at a time in a few array steps."""
+
+    def __init__(self):
+        self.up = self.down = np.empty(0, np.uint64)
+
+    def words(self, text: str) -> np.ndarray:
+        """A hash of each word: a sum of characters by powers, moved from the word's place to 0."""
+        codes = np.frombuffer(text.encode("utf-32-le"), "<u4").astype(np.uint64)
+        n = len(codes)
+        if n >= len(self.up):
+            self.up, self.down = (_powers(base, 2 * n + 1024) for base in (_PRIME, pow(_PRIME, -1, 1 << 64)))
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(codes * self.up[:n], out=sums[1:])
+        blanks = np.flatnonzero(codes == np.uint64(32))
+        starts, ends = np.concatenate([[0], blanks + 1]), np.concatenate([blanks, [n]])
+        return _spread((sums[ends] - sums[starts]) * self.down[starts])
+
+    @staticmethod
+    def pairs(words: np.ndarray) -> np.ndarray:
+        return _spread(words[:-1] * np.uint64(31) + words[1:])
+
+    @staticmethod
+    def grams(text: str) -> np.ndarray:
+        """Minimal gram hashes over all windows of a text without its spaces."""
         codes = np.frombuffer(text.replace(" ", "").encode("utf-32-le"), "<u4").astype(np.uint64)
         n = len(codes) - GRAM + 1
         if n < WINDOW:
-            return np.empty(0, np.int64)
+            return np.empty(0, np.uint64)
         h = np.zeros(n, np.uint64)
         for i in range(GRAM):
             h = h * np.uint64(1_000_003) + codes[i:i + n]
@@ -56,42 +91,42 @@ def _grams(normals: pd.Series) -> pd.Series:
         low = h[:n - WINDOW + 1].copy()
         for i in range(1, WINDOW):
             np.minimum(low, h[i:n - WINDOW + 1 + i], out=low)
-        return np.unique(low).view(np.int64)
-    return normals.map(one)
-
-
-def _word_hashes(w: Column) -> Column:
-    return F.transform(w, lambda x: F.xxhash64(x))
-
-
-def _pair_hashes(w: Column) -> Column:
-    n = F.size(w)
-    return F.when(n > 1, F.zip_with(F.slice(w, F.lit(1), n - 1), F.slice(w, F.lit(2), n - 1),
-                                    lambda a, b: F.xxhash64(a, b))) \
-        .otherwise(F.array().cast("array<bigint>"))
+        return low
+
+
+def sought_anchors(filters: np.ndarray):
+    """Distinct hashes of all words, word pairs and minimal grams of a text in normal form that pass the filter of its
+    group; ``filters``: a row of ``anchor_filter`` words for each group."""
+    @pandas_udf(T.ArrayType(T.LongType()))
+    def run(normals: pd.Series, groups: pd.Series) -> pd.Series:
+        hashes, out = _Hashes(), []
+        for text, group in zip(normals, groups):
+            words = hashes.words(text)
+            a = np.concatenate([words, hashes.pairs(words), hashes.grams(text)])
+            held = filters[group][((a >> np.uint64(30)) & np.uint64(FILTER_WORDS - 1)).astype(np.int64)]
+            passing = np.ones(len(a), bool)
+            for i in range(FILTER_BITS):
+                passing &= (held >> ((a >> np.uint64(6 * i)) & np.uint64(63))) & np.uint64(1) == 1
+            out.append(np.unique(a[passing]).view(np.int64))
+        return pd.Series(out, dtype=object)
+    return run
 
 
-def _bind(value: Column, use) -> Column:
-    """Evaluate ``value`` once for all its uses."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
-def document_anchors(normal: Column) -> Column:
-    by_word = _bind(F.split(normal, " ", -1),
-                    lambda w: F.concat(_word_hashes(w), _pair_hashes(w)))
-    return F.array_distinct(F.concat(by_word, _grams(normal)))
-
+@pandas_udf(T.ArrayType(T.LongType()))
+def needle_anchors(needles: pd.Series, wholes: pd.Series) -> pd.Series:
+    """Those of its hashes that any document with the needle must share."""
+    hashes = _Hashes()
 
-def needle_anchors(needle: Column, whole: Column) -> Column:
-    def by_word(w: Column) -> Column:
+    def one(needle, whole):
+        if not isinstance(needle, str):
+            return None
+        n = len(needle.replace(" ", ""))
+        if n >= fixed.SQUASHED_FROM or (not whole and n >= GRAM_FROM):
+            return np.unique(hashes.grams(needle)).view(np.int64)
         # inside-word matching says nothing about the first and last word
-        sure = F.when(whole, w).otherwise(F.slice(w, F.lit(2), F.greatest(F.size(w) - 2, F.lit(0))))
-        return _bind(sure, lambda s: F.when(F.size(s) > 1, _pair_hashes(s))
-                     .otherwise(_word_hashes(s)))
-    n = F.length(squash(needle))
-    gram = (n >= fixed.SQUASHED_FROM) | (~whole & (n >= GRAM_FROM))
-    return F.array_distinct(F.when(gram, _grams(needle))
-                            .otherwise(_bind(F.split(needle, " ", -1), by_word)))
+        sure = hashes.words(needle)[slice(None) if whole else slice(1, -1)]
+        return np.unique(hashes.pairs(sure) if len(sure) > 1 else sure).view(np.int64)
+    return pd.Series([one(x, w) for x, w in zip(needles, wholes)], dtype=object)
 
 
 def matches(normal: Column, needle: Column, whole: Column) -> Column:
@@ -162,6 +197,36 @@ def _checked(candidates: DataFrame, index: DataFrame) -> DataFrame:
             .join(_normals_of(index, candidates), DOC))
 
 
+@pandas_udf(T.ArrayType(T.BooleanType()))
+def _held(normals: pd.Series, needles: pd.Series) -> pd.Series:
+    """Which of its needles a text holds, as :func:`matches`; the text loses its spaces once for all of them."""
+    out = []
+    for normal, wanted in zip(normals, needles):
+        padded, tight = f" {normal} ", normal.replace(" ", "")
+
+        def one(needle: str, whole: bool) -> bool:
+            short = needle.replace(" ", "")
+            if len(short) >= fixed.SQUASHED_FROM:
+                return short in tight
+            return f" {needle} " in padded if whole else needle in normal
+        out.append([one(n["needle"], n["whole"]) for n in wanted])
+    return pd.Series(out, dtype=object)
+
+
+def _holders(candidates: DataFrame, index: DataFrame) -> DataFrame:
+    """The ``candidates(job_id, needle, whole, ord)`` whose document holds the needle.
+
+    Needles come to their document in at most ``PARTS`` groups, so no text is tested once per needle row.
+    """
+    part = F.pmod(F.xxhash64("needle"), F.lit(PARTS))
+    wanted = (candidates.groupBy("job_id", F.col("ord.derived").alias("derived"), F.col("ord.doc_no").alias("doc_no"), part.alias("_part"))
+              .agg(F.collect_set(F.struct("needle", "whole")).alias("_n")))
+    tested = _normals_of(index, candidates).join(wanted, DOC).withColumn("_ok", _held("normal", "_n"))
+    kept = F.filter(F.arrays_zip("_n", "_ok"), lambda x: x["_ok"])
+    return (tested.select("job_id", _ord().alias("ord"), F.explode(kept).alias("_k"))
+            .select("job_id", F.col("_k._n.needle").alias("needle"), F.col("_k._n.whole").alias("whole"), "ord"))
+
+
 def _job_group() -> Column:
     return F.pmod(F.xxhash64("job_id"), F.lit(FILTER_GROUPS)).cast("int")
 
@@ -200,11 +265,11 @@ def _postings(index: DataFrame, terms: DataFrame) -> DataFrame:
     Each document's anchors pass the filter of its job group before they become rows, so what goes on
     to the exact join is what is sought, and little else.
     """
-    filters = stage(anchor_filter(terms), "anchor-filter")
-    found = index.select(*DOC, _job_group().alias("grp"), document_anchors(_normal(index)).alias("anchors"))
-    passing = F.filter("anchors", lambda a: F.element_at("words", _block(a) + 1).bitwiseAND(_bits(a)) == _bits(a))
-    found = (found.join(F.broadcast(filters), "grp")  # FILTER_GROUPS rows of FILTER_WORDS numbers
-             .select("job_id", _ord().alias("ord"), F.explode(passing).alias("anchor")))
+    filters = np.zeros((FILTER_GROUPS, FILTER_WORDS), np.uint64)
+    for r in anchor_filter(terms).collect():  # FILTER_GROUPS rows of FILTER_WORDS numbers
+        filters[r.grp] = np.array(r.words, np.int64).view(np.uint64)
+    normals = index.select(*DOC, _job_group().alias("grp"), _normal(index).alias("normal")).where("normal IS NOT NULL")
+    found = normals.select("job_id", _ord().alias("ord"), F.explode(sought_anchors(filters)("normal", "grp")).alias("anchor"))
     return found.join(terms.select("job_id", "anchor").distinct(), ["job_id", "anchor"], "left_semi")
 
 
@@ -245,14 +310,12 @@ def find(needles: DataFrame, index: DataFrame) -> DataFrame:
     open_ = checked.where("NOT ok").select(*key, "anchor", F.col("ord").alias("bound"))
     later = stage(postings.join(open_, ["job_id", "anchor"]).where(F.col("ord") > F.col("bound"))
                   .select(*key, "ord"), "needle-candidates")
-    rest = _checked(later, index).where(ok).groupBy(*key).agg(F.min("ord").alias("ord"))
+    rest = _holders(later, index).groupBy(*key).agg(F.min("ord").alias("ord"))
     return found.unionByName(rest)
 
 
 # --- where in the document ------------------------------------------------------------------
 
-# of the needles that share a document, about this many parts go to Python apart
-PARTS = 16
 _SPANS = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())]))
 _NEVER = (None, None)
 

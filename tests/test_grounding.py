@@ -126,3 +126,32 @@ def test_annotate_keeps_every_value(spark):
     assert (got["1"].rerank_score, got["1"].grounding) == (0.1235, "attested")
     assert (got["2"].rerank_score, got["2"].grounding, got["2"].value) == (0.0, None, " ")
     assert (got["3"].rerank_score, got["3"].error) == (None, "extraction_failed")
+
+
+def test_anchors_of_a_needle_stand_in_every_text_that_holds_it(spark):
+    """Hashes and their filter are one array step a text: no plan evaluates an expression for each anchor."""
+    texts = ["vu le 3 mars 2019 par le docteur dupont", "a", "l4 l5 hernie discale " * 40, "日本 語 のテキスト 12 abc"]
+    needles = [("3 mars 2019", True), ("rsparledocteurdup", False), ("a", True), ("hernie discale l4 l5 hernie", False), ("日本 語", True)]
+    asked = spark.createDataFrame([("j", n, w) for n, w in needles], "job_id string, needle string, whole boolean")
+    terms = asked.select("job_id", "needle", "whole", F.explode(G.needle_anchors("needle", "whole")).alias("anchor"))
+    index = G.source_index(spark.createDataFrame([("j", i, "f", t) for i, t in enumerate(texts)], "job_id string, doc_no int, filename string, markdown string"))
+    postings = G._postings(index, terms)
+    assert "lambda" not in postings._jdf.queryExecution().optimizedPlan().toString()
+    held = {(r.ord.doc_no, r.anchor) for r in postings.collect()}
+    of = {}
+    for r in terms.collect():
+        of.setdefault((r.needle, r.whole), set()).add(r.anchor)
+    found = {(n, i) for (n, w), anchors in of.items() for i in range(len(texts)) if all((i, a) in held for a in anchors)}
+    assert set(of) == set(needles) and found == {("3 mars 2019", 0), ("rsparledocteurdup", 0), ("a", 1), ("hernie discale l4 l5 hernie", 2), ("日本 語", 3)}
+
+
+def test_candidates_are_tested_as_by_matches(spark):
+    docs = spark.createDataFrame([("j", i, "f", t) for i, t in enumerate(["abc def ghi jkl mno pqr", "abcdefghijklmnopqr", "xabc def"])],
+                                 "job_id string, doc_no int, filename string, markdown string")
+    index = G.source_index(docs)
+    needles = [("abc def", True), ("abc def", False), ("cdefghijklmnopqr", False), ("bc", True), ("bc", False)]
+    asked = spark.createDataFrame([("j", n, w) for n, w in needles], "job_id string, needle string, whole boolean")
+    pairs = asked.crossJoin(index.select(F.struct("derived", "doc_no").alias("ord")))
+    got = {(r.needle, r.whole, r.ord.doc_no) for r in G._holders(pairs, index).collect()}
+    rows = asked.crossJoin(index.select("doc_no", "markdown")).where(G.matches(F.col("markdown"), F.col("needle"), F.col("whole")))
+    assert got == {(r.needle, r.whole, r.doc_no) for r in rows.collect()} and len(got) == 9
