@@ -19,6 +19,7 @@ SAMPLE = 3000         # documents the linear scorer is fitted on, at most
 ROUNDS = 100          # of expectation-maximisation, at most
 STEPS = 400           # of gradient descent
 CHUNK = 1 << 20       # bytes whose features are hashed at once
+AT, VALUE = ">u2", ">f4"  # buckets and weights as sent to the driver: as bytes they sort like the numbers
 GOOD, BAD, NONE = "+", "-", "."
 # labeller: the statistic it looks at; at most this is good, at least that is bad, between it abstains
 LABELLERS = [
@@ -186,10 +187,10 @@ def _sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stats, octets, n = statistics((t or "").encode())
             a, v = hashed_features(stats, octets)
             votes.append(votes_of(stats, n))
-            at.append(a.astype(np.int32))
-            values.append(v.astype(np.float32))
-        yield pa.RecordBatch.from_arrays([pa.array(votes, pa.string()), pa.array(at, pa.list_(pa.int32())),
-                                          pa.array(values, pa.list_(pa.float32()))], ["votes", "at", "value"])
+            at.append(a.astype(AT).tobytes())
+            values.append(v.astype(VALUE).tobytes())
+        yield pa.RecordBatch.from_arrays([pa.array(votes, pa.string()), pa.array(at, pa.binary()),
+                                          pa.array(values, pa.binary())], ["votes", "at", "value"])
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
@@ -203,10 +204,10 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> QualityModel:
     rows = []
     if top is not None:
         rows = (docs.where(rank <= top).select("text", rank.alias("h")).limit(sample).select("text")
-                .mapInArrow(_sample, "votes string, at array<int>, value array<float>").collect())
+                .mapInArrow(_sample, "votes string, at binary, value binary").collect())
     rows.sort(key=lambda r: (r.votes, r.at, r.value))  # the sum of floats does not depend on who came first
     posterior = np.array([labels.posterior.get(r.votes, labels.prior) for r in rows])
-    weights, bias = fit_scorer([(np.array(r.at), np.array(r.value)) for r in rows], posterior)
+    weights, bias = fit_scorer([(np.frombuffer(r.at, AT), np.frombuffer(r.value, VALUE)) for r in rows], posterior)
     return QualityModel(labels, weights, bias)
 
 

@@ -439,8 +439,8 @@ def similar_roots(rows: DataFrame, docs: DataFrame, shingle: int, similarity: fl
             break
         similar = stage(similar_pairs(proposed, sets, similarity), "similar")
         if not similar.isEmpty():
-            links, before = links.union(similar), roots
-            roots = stage(components(links), "roots")
+            before = roots  # it joins what all earlier links join, so fewer rounds of stars are left
+            roots = stage(components(before.toDF("u", "v").union(similar)), "roots")
             unstage(before)
         unstage(proposed)
     unstage(sets, prefixes, by_print)

@@ -4,6 +4,7 @@ import hashlib
 import html as entities
 import os
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -336,6 +337,29 @@ def test_quality_finds_an_unreliable_labeller():
     assert all(posterior[clean[:i] + "-" + clean[i + 1:]] < 0.5 for i in range(8))
 
 
+def test_quality_sample_is_packed_in_the_driver(spark):
+    """The sample comes as packed buckets and weights, not as Python numbers, and the scorer is that of the sample in order of its numbers."""
+    rng = np.random.default_rng(5)
+    texts = ["".join(map(chr, rng.integers(32, 127, 3000))) for _ in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    tracemalloc.start()
+    try:
+        model = quality.fit(docs)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    rows = []
+    for t in texts:
+        stats, octets, n = quality.statistics(t.encode())
+        at, value = quality.hashed_features(stats, octets)
+        rows.append((quality.votes_of(stats, n), at.tolist(), value.astype(np.float32).tolist()))
+    rows.sort()
+    posterior = np.array([model.labels.posterior[v] for v, _, _ in rows])
+    weights, bias = quality.fit_scorer([(np.array(at), np.array(value)) for _, at, value in rows], posterior)
+    assert np.array_equal(model.weights, weights) and model.bias == bias
+    assert peak < 100e6, peak
+
+
 @pytest.mark.parametrize("kind", ["odd", "none"])
 def test_quality_of_awkward_rows(tables, kind):
     got = queries.op4(tables[kind]).collect()
