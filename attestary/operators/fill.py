@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from attestary import fixed
@@ -112,6 +114,22 @@ def unknown_paths(leaves: DataFrame, values: DataFrame) -> DataFrame:
     return values.join(leaves.select("form_id", "path"), ["form_id", "path"], "left_anti")
 
 
+GROUP_LIMIT = 1000  # below it Spark keeps the first rows of a group before they are shuffled
+
+
+def _first_rows(rows: DataFrame, group: list[str], name: str, most: int) -> DataFrame:
+    """``rows`` with ``name``, 0, 1, 2 … per group by ``ord``: those up to ``most`` at least."""
+    if most >= GROUP_LIMIT:
+        return number_rows(rows, group, "ord", name)
+    number = F.row_number().over(W.partitionBy(*group).orderBy("ord"))
+    return rows.withColumn("_n", number).where(F.col("_n") <= most + 1).withColumn(name, F.col("_n") - 1).drop("_n")
+
+
+def _same(a: str, b: str) -> Column:
+    """Equality that is no join key, so that a join stays where the window has put the rows."""
+    return F.col(a).cast("bigint") - F.col(b).cast("bigint") == 0
+
+
 def match_paths(elements: DataFrame, paths: DataFrame) -> DataFrame:
     """Element each path leads to: ``(form_id, path, node)``, unmatched paths left out.
 
@@ -119,31 +137,47 @@ def match_paths(elements: DataFrame, paths: DataFrame) -> DataFrame:
     path)``. The first segment may start anywhere in the tree (with an index: at that occurrence in
     document order), each further one steps to a child; the first match in document order wins.
     The tree is walked one level per join, and the number of levels is that of the longest path. Elements
-    whose tag no path of their form names are left out first; the others are numbered once and written.
+    whose tag no path names are left out first; of the others a level moves those whose tag is asked there,
+    and of the children of a node with the same tag only as many as the largest index asks for.
     """
     parts = F.transform(F.filter(F.split("path", "/", -1), lambda p: p != ""),
                         lambda p: split_segment(p))
     todo = stage(paths.select("form_id", "path").distinct().withColumn("_s", parts), "paths")
-    depth = todo.agg(F.max(F.size("_s")).alias("d")).first()["d"] or 0
-    named = todo.select("form_id", F.explode(F.transform("_s", lambda p: p["tag"])).alias("tag")).distinct()
-    elements = stage(elements.select("form_id", "node", "parent", "tag", "ord").join(named, ["form_id", "tag"], "left_semi"), "path-elements")
-    tree = stage(number_rows(number_rows(elements, ["form_id", "tag"], "ord", "_doc"),
-                             ["form_id", "parent", "tag"], "ord", "_child"), "path-tree")
-    step = todo.withColumn("tag", F.try_element_at("_s", F.lit(1))["tag"]) \
-        .withColumn("_i", F.try_element_at("_s", F.lit(1))["index"])
-    at = (step.join(tree, ["form_id", "tag"])
-          .where((F.col("_i") == 0) | (F.col("_doc") == F.col("_i")))
-          .select("form_id", "path", "_s", "node", "ord"))
-    done = at.where(F.size("_s") == 1)
-    for level in range(2, depth + 1):
-        seg = F.try_element_at("_s", F.lit(level))
+    steps = stage(todo.select(F.posexplode("_s").alias("level", "s")).groupBy("level", "s.tag")
+                  .agg(F.max("s.index").alias("most")), "path-steps")
+    largest = {r.level + 1: max(r.most or 0, 0) for r in steps.groupBy("level").agg(F.max("most").alias("most")).collect()}
+    columns = ["form_id", "node", "parent", "tag", "ord"]
+    tree = stage(elements.select(*columns).join(steps.select("tag"), "tag", "left_semi").select(*columns), "path-tree")
+
+    def named(level: int, asked: str = "true") -> DataFrame:
+        tags = steps.where((F.col("level") == level - 1) & F.expr(asked)).select("tag")
+        return tree.join(tags, "tag", "left_semi")
+    keys = ["form_id", "tag"]
+    step = F.try_element_at("_s", F.lit(1))
+    starts = todo.withColumn("tag", step["tag"]).withColumn("_i", step["index"])
+    # a path of one segment without an index asks for the first of all
+    alone = (F.size("_s") == 1) & (F.col("_i") == 0)
+    first = named(1).groupBy(*keys).agg(F.min(F.struct("ord", "node")).alias("w")).select(*keys, "w.ord", "w.node")
+    done = [starts.where(alone).join(first, keys).select("form_id", "path", "ord", "node")]
+    at = (starts.where((F.size("_s") > 1) & (F.col("_i") == 0))
+          .join(named(1).select(*keys, "node", "ord"), keys).select("form_id", "path", "_s", "node", "ord"))
+    if largest.get(1):
+        counted = _first_rows(named(1, "most > 0").select(*keys, "node", "ord"), keys, "_doc", largest[1])
+        at = at.unionByName(starts.where("_i > 0").join(counted, keys).where(_same("_doc", "_i"))
+                            .select("form_id", "path", "_s", "node", "ord"))
+    at = stage(at, "path-level")
+    done.append(at.where(F.size("_s") == 1).select("form_id", "path", "ord", "node"))
+    keys = ["form_id", "parent", "tag"]
+    for level in range(2, max(largest, default=0) + 1):
+        step = F.try_element_at("_s", F.lit(level))
+        children = _first_rows(named(level).where("form_id IS NOT NULL AND parent IS NOT NULL"), keys, "_child", largest[level])
         at = stage(at.where(F.size("_s") >= level)
-                   .select("form_id", "path", "_s", F.col("node").alias("parent"),
-                           seg["tag"].alias("tag"), seg["index"].alias("_child"))
-                   .join(tree, ["form_id", "parent", "tag", "_child"])
+                   .select("form_id", "path", "_s", F.col("node").alias("parent"), step["tag"].alias("tag"), step["index"].alias("_i"))
+                   .join(children, keys).where(_same("_child", "_i"))
                    .select("form_id", "path", "_s", "node", "ord"), "path-level")
-        done = done.unionByName(at.where(F.size("_s") == level))
-    return (done.groupBy("form_id", "path").agg(F.min(F.struct("ord", "node"))["node"].alias("node")))
+        done.append(at.where(F.size("_s") == level).select("form_id", "path", "ord", "node"))
+    return (reduce(DataFrame.unionByName, done).groupBy("form_id", "path")
+            .agg(F.min(F.struct("ord", "node"))["node"].alias("node")))
 
 
 def form_kind(forms: DataFrame) -> DataFrame:
