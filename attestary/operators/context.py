@@ -240,20 +240,22 @@ def chat_messages(requests: DataFrame, history: DataFrame, system: str = CHAT_SY
     turns = history.groupBy("conv_id", "turn").agg(F.count(F.lit(1)).alias("n"))
     total = history.groupBy("conv_id").agg(F.count(F.lit(1)).alias("_turns"))
     lead = F.when(F.length("_g") > 0, 3).otherwise(1)
-    r = (requests.withColumn("_g", given).withColumn("_lead", lead).join(total, "conv_id", "left")
-         .withColumn("_last", F.col("_lead") + F.coalesce("_turns", F.lit(0))))
+    r = requests.withColumn("_g", given).withColumn("_lead", lead)
 
     def row(seq: Column, role: str, content: Column) -> Column:
         return F.struct(seq.cast("bigint").alias("seq"), F.lit(role).alias("role"),
                         content.alias("content"))
     some = F.length("_g") > 0
+    # what is given is long and stays where it was made: only the question meets the history
     around = r.select("conv_id", F.inline(F.array(
         row(F.lit(0), "system", F.lit(system)),
         row(F.lit(1), "user", F.when(some, F.concat(F.lit(CHAT_OPEN), F.col("_g")))),
-        row(F.lit(2), "assistant", F.when(some, F.lit(CHAT_READY))),
-        row(F.col("_last"), "user", F.col("question"))))).where("content IS NOT NULL")
+        row(F.lit(2), "assistant", F.when(some, F.lit(CHAT_READY)))))).where("content IS NOT NULL")
+    last = (r.select("conv_id", "question", "_lead").join(total, "conv_id", "left")
+            .select("conv_id", (F.col("_lead") + F.coalesce("_turns", F.lit(0))).cast("bigint").alias("seq"),
+                    F.lit("user").alias("role"), F.col("question").alias("content")).where("content IS NOT NULL"))
     said = (history.join(running_offsets(turns, "conv_id", "turn", "n"), ["conv_id", "turn"])
             .join(r.select("conv_id", "_lead"), "conv_id")
             .select("conv_id", (F.col("_lead") + F.col("offset")).cast("bigint").alias("seq"),
                     "role", F.col("text").alias("content")))
-    return around.unionByName(said)
+    return around.unionByName(last).unionByName(said)

@@ -24,13 +24,14 @@ def chat_requests(questions: DataFrame, chunks: DataFrame, filled: DataFrame | N
     vectors = stage(R.embed(asked, "question", encoder).select(
         "job_id", "field_id", "embedding", R.distinct_words(F.col("question")).alias("_q")), "chat-questions")
     near = stage(R.knn(vectors.select("job_id", "field_id", "embedding"), chunks, k), "chat-near")
-    best = R.rerank(R.overlap_candidates(near, vectors.select("job_id", "field_id", "_q"), chunks), F.col("rerank_score"), keep)
+    best = stage(R.rerank(R.overlap_candidates(near, vectors.select("job_id", "field_id", "_q"), chunks), F.col("rerank_score"), keep), "chat-best")
     found = R.retrieve_context(best, chunks).select("job_id", F.col("field_id").alias("conv_id"), "context")
-    out = questions.join(found, ["job_id", "conv_id"], "left")
+    out = questions
     for part, name in ((B.field_lines(filled) if filled is not None else None, "fields_context"),
                        (synthesis, "synthesis")):
         out = out.withColumn(name, F.lit(None).cast("string")) if part is None else out.join(part.select("job_id", name), "job_id", "left")
-    return out.select("conv_id", "question", "synthesis", "fields_context", "context")
+    # contexts come last: they are long, and move once
+    return out.join(found, ["job_id", "conv_id"], "left").select("conv_id", "question", "synthesis", "fields_context", "context")
 
 
 # A conversation is about the dossier of the document of its number; its last question is asked now, what came before is its history.
@@ -75,7 +76,8 @@ SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY k) - 1 AS seq,
 def dossier_chat(s: Source) -> DataFrame:
     """Every conversation answered from its dossier: best passages, filled fields, synthesis, history and question in one table."""
     asked = stage(s.shape(ASKED), "chat-asked")
-    chunks = stage(R.embed(chunk_table(s).join(asked.select("job_id").distinct(), "job_id", "left_semi"), "text"), "chat-chunks")
+    jobs = stage(asked.select("job_id").distinct(), "chat-jobs")  # written so that its size is known before texts are moved
+    chunks = R.embed(chunk_table(s).join(jobs, "job_id", "left_semi"), "text")
     requests = chat_requests(asked.select("conv_id", "job_id", "question"), chunks, s.shape(FILLED), s.shape(SUMMED))
     before = s.table("conversations").join(asked.select("conv_id", "asked"), "conv_id").where("turn < asked").drop("asked")
     return B.chat_messages(requests, A.chat_history(before)).withColumn("content", F.md5("content"))

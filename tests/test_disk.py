@@ -2,9 +2,10 @@
 
 import random
 
+import numpy as np
 import pytest
 
-from attestary.operators import fill as W
+from attestary.operators import context as B, fill as W, retrieval as K
 from attestary.session import stage
 
 
@@ -77,3 +78,53 @@ def test_paths_move_few_elements(spark, monkeypatch):
             spark.conf.set(k, v)
     assert got == {(f, p): f"n{f + 4 * n}" for f in range(4) for p, n in (("top/leaf[1]", 2), ("leaf[2]", 3), ("leaf", 1))}
     assert max(moves) <= 3, moves  # before, ten to number the tree
+
+
+def test_chunks_move_once_however_many_questions(spark, monkeypatch):
+    monkeypatch.setattr(K, "QUESTION_BLOCK", 20)
+    monkeypatch.setattr(K, "PAIRS", 1_000_000, raising=False)
+    rng = np.random.default_rng(8)
+    vectors, questions = rng.standard_normal((4000, 64)), rng.standard_normal((400, 64))
+    chunks = spark.createDataFrame([("j", i, v) for i, v in enumerate(vectors.tolist())], "job_id string, chunk_no long, embedding array<double>")
+    asked = spark.createDataFrame([("j", i, v) for i, v in enumerate(questions.tolist())], "job_id string, field_id long, embedding array<double>")
+    before = set(shuffled(spark))
+    near = K.knn(asked, chunks, 3)
+    got = {(r.field_id, r["rank"]): r.chunk_no for r in near.collect()}
+    new = sum(size for name, size in shuffled(spark).items() if name not in before)
+    assert new < 3 * vectors.nbytes, new  # before, each vector was copied for every block of questions, 20 times
+    scores = np.round(questions @ vectors.T, 9)
+    assert got == {(i, n + 1): int(j) for i in range(400) for n, j in enumerate(np.argsort(-scores[i], kind="stable")[:3])}
+
+
+def test_parts_and_blocks_leave_the_ranks(spark, monkeypatch):
+    """Many ties, chunks and questions that come twice, rows without a vector or a job, jobs of one side only, fewer chunks than asked for."""
+    monkeypatch.setattr(K, "CHUNK_BLOCK", 9)
+    monkeypatch.setattr(K, "QUESTION_BLOCK", 4)
+    monkeypatch.setattr(K, "PAIRS", 300)
+    rng = np.random.default_rng(2)
+    chunks = [(j, 3 * i, rng.integers(0, 3, 4).astype(float).tolist()) for j, n in (("a", 130), ("b", 4), ("c", 20)) for i in range(n)]
+    asked = [(j, f, rng.integers(0, 3, 4).astype(float).tolist()) for j, n in (("a", 17), ("b", 5), ("d", 3)) for f in (*map(str, range(n)), None)]
+    chunks += [chunks[5], chunks[131], ("a", None, [1.0] * 4), (None, 1, [1.0] * 4), ("a", 1, None)]
+    asked += [asked[0], (None, "1", [1.0] * 4), ("b", "none", None)]
+    got = K.knn(spark.createDataFrame(asked, "job_id string, field_id string, embedding array<double>").repartition(3),
+                spark.createDataFrame(chunks, "job_id string, chunk_no int, embedding array<float>").repartition(5), 7).collect()
+    want = []
+    for j, f in dict.fromkeys((j, f) for j, f, v in asked if j and v):
+        scored = sorted((-float(np.dot(q, v)), no) for jq, fq, q in asked if (jq, fq) == (j, f) for jc, no, v in chunks if jc == j and no is not None and v)
+        want += [(j, f, no, -s, n) for n, (s, no) in enumerate(scored[:7], 1)]
+    order = lambda r: (r[0], str(r[1]), r[4])
+    assert sorted(map(tuple, got), key=order) == sorted(want, key=order)
+
+
+def test_a_chat_moves_its_contexts_once(spark):
+    """What is given stays where it was made; the question meets the history."""
+    requests = spark.createDataFrame([(1, "q1", None, "", "c"), (2, "q2", "s", None, None), (3, "q3", None, None, ""), (3, "q4", None, None, "d")],
+                                     "conv_id int, question string, synthesis string, fields_context string, context string")
+    history = spark.createDataFrame([(1, 0, "user", "h0"), (1, 1, "assistant", "h1"), (3, 0, "user", "h2")], "conv_id int, turn int, role string, text string")
+    out = B.chat_messages(requests, history)
+    got = sorted((r.conv_id, r.seq, r.role, r.content[-2:]) for r in out.where("seq > 0").collect())
+    assert got == sorted([(1, 1, "user", "\nc"), (1, 2, "assistant", B.CHAT_READY[-2:]), (1, 3, "user", "h0"), (1, 4, "assistant", "h1"), (1, 5, "user", "q1"),
+                          (2, 1, "user", "\ns"), (2, 2, "assistant", B.CHAT_READY[-2:]), (2, 3, "user", "q2"),
+                          (3, 1, "user", "h2"), (3, 2, "user", "q3"), (3, 1, "user", "\nd"), (3, 2, "assistant", B.CHAT_READY[-2:]), (3, 3, "user", "h2"), (3, 4, "user", "q4")])
+    given = out._jdf.queryExecution().optimizedPlan().children().apply(0).toString()
+    assert "Join" not in given, given  # before, what is given was shuffled once more, to learn how long the history is
